@@ -25,7 +25,8 @@ def month_stamps(spark: SparkSession, start: str, end: str) -> DataFrame:
     return (
         spark.range(1)
         .filter(F.add_months(first, 1) <= high)
-        .select(month.cast("timestamp_ntz").alias("as_of"))
+        .select(month.alias("as_of"))
+        .select(F.col("as_of").cast("timestamp_ntz"))
     )
 
 
