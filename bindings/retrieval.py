@@ -8,6 +8,7 @@ from bindings.tables import table
 from tidemark.functions.textfold import eligible_text, normalize_text
 from tidemark.operators import profiles
 from tidemark.operators import retrieval as rt
+from tidemark.session import spread
 
 LANGS = ("de", "en", "es", "fr")
 QUERY_ID = "Benchmark  Passage"
@@ -263,7 +264,7 @@ FROM (SELECT pmcid, {_NORMAL.format("title || chr(10) || case_summary")} AS t FR
 
 
 def word_statistics(spark, sf):
-    docs = cases(spark, sf).select(
+    docs = spread(cases(spark, sf)).select(
         "source", "pmcid", eligible_text(F.col("title"), F.col("case_summary")).alias("text")
     )
     counts = rt.term_counts(docs, rt.RELEASE_VIEWS, ["source", "pmcid"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import UNKNOWN
@@ -42,51 +42,71 @@ def day_bucket(ts: Column, width_days: int) -> Column:
     return F.floor(F.unix_date(ts.cast("date")) / F.lit(width_days)).cast("long")
 
 
-def local_time_contract(value: Column, zone: str = "America/New_York") -> Column:
-    """ISO text → struct(hour, weekday, quality).
+def with_local_time(
+    df: DataFrame, column: str, name: str = "local", zone: str = "America/New_York"
+) -> DataFrame:
+    """Adds ``name``: struct(hour, weekday, quality) of ISO text in ``column``.
 
     Text with an offset is an instant and is moved to ``zone``; text without one is already
     wall time there. Wall times a clock change skips or repeats have no single instant, so
     hour and weekday stay UNKNOWN. Monday is 0.
+
+    The steps are separate projections, so that each is evaluated once per row.
     """
-    text = F.trim(value.cast("string"))
-    date, clock, offset = (F.regexp_extract(text, ISO_PATTERN, i) for i in (1, 2, 3))
-    # Midnight is appended where the text has no time.
-    wall = F.when(
-        date != "", F.concat(date, F.lit(" "), F.when(clock == "", "00:00").otherwise(clock))
-    ).try_cast("timestamp_ntz")
-
-    hours = F.substring(offset, 2, 2).try_cast("int")
-    minutes = F.substring(F.regexp_replace(offset, ":", ""), 4, 2).try_cast("int")
-    sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
-    shift = F.when(offset == "Z", 0).otherwise(sign * (hours * 60 + minutes))
-    valid_offset = (offset == "Z") | ((hours < 24) & (minutes < 60))
-    to_zone = F.lit(zone)
-    utc = F.lit("UTC")
-    # try_ arithmetic: an impossible offset is reported as invalid, never raised.
-    instant = F.convert_timezone(
-        utc, to_zone, wall - F.make_dt_interval(mins=F.when(valid_offset, shift))
+    part = lambda i: F.regexp_extract(F.col("_text"), ISO_PATTERN, i)
+    c = F.col
+    local, utc = F.lit(zone), F.lit("UTC")
+    parsed = df.withColumn("_text", F.trim(c(column).cast("string"))).withColumns(
+        {"_date": part(1), "_clock": part(2), "_offset": part(3)}
     )
-
-    as_utc = F.convert_timezone(to_zone, utc, wall)
-    exists = F.convert_timezone(utc, to_zone, as_utc) == wall
+    # Midnight is added where the text has no time.
+    clock = F.when(c("_clock") == "", "00:00").otherwise(c("_clock"))
+    digits = F.replace(c("_offset"), F.lit(":"))
+    parsed = parsed.withColumns(
+        {
+            "_wall": F.when(c("_date") != "", F.concat("_date", F.lit(" "), clock)).try_cast(
+                "timestamp_ntz"
+            ),
+            "_hours": F.substring(digits, 2, 2).try_cast("int"),
+            "_minutes": F.substring(digits, 4, 2).try_cast("int"),
+        }
+    )
+    sign = F.when(F.startswith("_offset", F.lit("-")), -1).otherwise(1)
+    real = (c("_offset") == "") | (c("_offset") == "Z") | (
+        (c("_hours") < 24) & (c("_minutes") < 60)
+    )
+    shift = F.when(real, sign * (c("_hours") * 60 + c("_minutes")))
+    moved = c("_wall") - F.make_dt_interval(mins=F.coalesce(shift, F.lit(0)))
+    parsed = parsed.withColumns(
+        {
+            "_real": F.coalesce(real, F.lit(False)),
+            "_instant": F.convert_timezone(utc, local, moved),
+            "_as_utc": F.convert_timezone(local, utc, c("_wall")),
+        }
+    )
+    # Of a repeated wall time the earlier instant is taken; the later one reads the same.
     repeats = F.lit(False)
     for step in CLOCK_CHANGE_MINUTES:
-        again = F.convert_timezone(utc, to_zone, as_utc + F.make_dt_interval(mins=F.lit(step)))
-        repeats = repeats | (again == wall)
-
+        later = c("_as_utc") + F.make_dt_interval(mins=F.lit(step))
+        repeats = repeats | (F.convert_timezone(utc, local, later) == c("_wall"))
     quality = (
-        F.when(value.isNull(), "missing")
-        .when(wall.isNull(), "invalid")
-        .when((offset != "") & ~F.coalesce(valid_offset, F.lit(False)), "invalid")
-        .when(offset != "", "instant")
-        .when(~exists, "nonexistent")
+        F.when(c(column).isNull(), "missing")
+        .when(c("_wall").isNull() | ~c("_real"), "invalid")
+        .when(c("_offset") != "", "instant")
+        .when(F.convert_timezone(utc, local, c("_as_utc")) != c("_wall"), "nonexistent")
         .when(repeats, "ambiguous")
         .otherwise("wall")
     )
-    local = F.when(quality == "instant", instant).when(quality == "wall", wall)
-    return F.struct(
-        F.coalesce(F.hour(local).cast("string"), F.lit(UNKNOWN)).alias("hour"),
-        F.coalesce(F.weekday(local).cast("string"), F.lit(UNKNOWN)).alias("weekday"),
-        quality.alias("quality"),
+    judged = parsed.withColumn("_quality", quality).withColumn(
+        "_local",
+        F.when(c("_quality") == "instant", c("_instant")).when(c("_quality") == "wall", c("_wall")),
+    )
+    known = lambda v: F.coalesce(v.cast("string"), F.lit(UNKNOWN))
+    contract = F.struct(
+        known(F.hour("_local")).alias("hour"),
+        known(F.weekday("_local")).alias("weekday"),
+        c("_quality").alias("quality"),
     )
+    spent = ["_text", "_date", "_clock", "_offset", "_wall", "_hours", "_minutes"]
+    spent += ["_real", "_instant", "_as_utc", "_quality", "_local"]
+    return judged.withColumn(name, contract).drop(*spent)

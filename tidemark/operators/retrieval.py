@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,7 +25,7 @@ from tidemark.functions.textfold import (
 )
 from tidemark.operators.contracts import ContractError
 from tidemark.operators.ordering import ordered_positions
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, spread
 
 RRF_OFFSET = 60
 DOMAINS = ("cardiac", "systemic", "vascular")
@@ -65,14 +66,13 @@ class Index:
 def term_counts(text: DataFrame, views: Sequence[View], keep: Sequence[str]) -> DataFrame:
     """``keep, view, term, tf`` from a ``text`` column that is already normalised."""
     folded = text.select(*keep, strip_accents(F.col("text")).alias("text"))
-    per_view = F.array(
-        *[
-            F.struct(F.lit(v.name).alias("view"), _SPLITS[v.split](F.col("text")).alias("terms"))
-            for v in views
-        ]
-    )
-    views_of = folded.select(*keep, F.explode(per_view).alias("v"))
-    terms = views_of.select(*keep, F.col("v.view").alias("view"), F.explode("v.terms").alias("term"))
+    split = [
+        folded.select(
+            *keep, F.lit(v.name).alias("view"), F.explode(_SPLITS[v.split](F.col("text"))).alias("term")
+        )
+        for v in views
+    ]
+    terms = reduce(DataFrame.unionByName, split)
     return terms.groupBy(*keep, "view", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -139,7 +139,7 @@ def build_index(
     without being searchable, as the global baseline does with its query."""
     spark = documents.sparkSession
     path = scratch_path(spark, "index")
-    text = documents.select(
+    text = spread(documents).select(
         F.col("source").cast("string").alias("source"),
         F.col("pmcid").cast("string").alias("pmcid"),
         eligible_text(F.col("title"), F.col("case_summary")).alias("text"),

@@ -61,3 +61,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages read stored rows, whichever executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for work that is heavy per row.
+
+    Only a scan of few splits is moved; a large one already has more splits than cores. Meant
+    for scans and projections of them, of which the partition count is known without a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
