@@ -9,7 +9,6 @@ UNKNOWN = "UNKNOWN"
 
 # Fixed value: plain decimal text, optional exponent; excludes 'inf', 'nan', '1.0d', hex.
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_LONG_BOUND = 9.2e18
 
 
 def _as_number(value: Column) -> Column:
@@ -18,12 +17,12 @@ def _as_number(value: Column) -> Column:
 
 
 def numeric_key(value: Column) -> Column:
-    """Integer key from text or number; padding is trimmed, anything non-integral is null."""
-    text = F.trim(value.cast("string"))
-    exact = F.when(text.rlike(r"^[+-]?[0-9]{1,18}$"), text).try_cast("long")
-    number = _as_number(value)
-    whole = F.when((F.floor(number) == number) & (F.abs(number) < _LONG_BOUND), number)
-    return F.coalesce(exact, whole.try_cast("long"))
+    """Integer key from text or number; padding is trimmed, anything non-integral is null.
+
+    A decimal reads plain numbers only, so 'inf', 'nan' and '1.0d' are null without a pattern.
+    """
+    number = F.trim(value.cast("string")).try_cast("decimal(38,10)")
+    return F.when(number % 1 == 0, number).try_cast("long")
 
 
 def clean_text(value: Column) -> Column:

@@ -13,8 +13,6 @@ ISO_PATTERN = (
     r"(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)"
     r"(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 )
-# A repeated wall time recurs after the size of the clock change; zones use these sizes.
-CLOCK_CHANGE_MINUTES = (60, 30, 120)
 
 
 def days(n: int) -> Column:
@@ -61,7 +59,8 @@ def with_local_time(
     )
     # Midnight is added where the text has no time.
     clock = F.when(c("_clock") == "", "00:00").otherwise(c("_clock"))
-    digits = F.replace(c("_offset"), F.lit(":"))
+    # A failing try_cast is costly, so only offsets with digits reach it.
+    digits = F.when(F.length("_offset") > 1, F.replace(c("_offset"), F.lit(":")))
     parsed = parsed.withColumns(
         {
             "_wall": F.when(c("_date") != "", F.concat("_date", F.lit(" "), clock)).try_cast(
@@ -77,23 +76,24 @@ def with_local_time(
     )
     shift = F.when(real, sign * (c("_hours") * 60 + c("_minutes")))
     moved = c("_wall") - F.make_dt_interval(mins=F.coalesce(shift, F.lit(0)))
-    parsed = parsed.withColumns(
-        {
-            "_real": F.coalesce(real, F.lit(False)),
-            "_instant": F.convert_timezone(utc, local, moved),
-            "_as_utc": F.convert_timezone(local, utc, c("_wall")),
-        }
+    bare = c("_offset") == ""
+    day_later = c("_as_utc") + days(1)
+    parsed = (
+        parsed.withColumn("_real", F.coalesce(real, F.lit(False)))
+        .withColumn("_instant", F.when(~bare, F.convert_timezone(utc, local, moved)))
+        .withColumn("_as_utc", F.when(bare, F.convert_timezone(local, utc, c("_wall"))))
+        # Of a repeated wall time the earlier instant is taken. Read with the offset in force
+        # a day later, the same wall time is the later instant, if there is one.
+        .withColumn("_day_later", F.convert_timezone(utc, local, day_later))
+        .withColumn("_second", c("_wall") - (c("_day_later") - day_later))
     )
-    # Of a repeated wall time the earlier instant is taken; the later one reads the same.
-    repeats = F.lit(False)
-    for step in CLOCK_CHANGE_MINUTES:
-        later = c("_as_utc") + F.make_dt_interval(mins=F.lit(step))
-        repeats = repeats | (F.convert_timezone(utc, local, later) == c("_wall"))
+    reads_back = lambda u: F.convert_timezone(utc, local, u) == c("_wall")
+    repeats = (c("_second") != c("_as_utc")) & reads_back(c("_second"))
     quality = (
         F.when(c(column).isNull(), "missing")
         .when(c("_wall").isNull() | ~c("_real"), "invalid")
-        .when(c("_offset") != "", "instant")
-        .when(F.convert_timezone(utc, local, c("_as_utc")) != c("_wall"), "nonexistent")
+        .when(~bare, "instant")
+        .when(~reads_back(c("_as_utc")), "nonexistent")
         .when(repeats, "ambiguous")
         .otherwise("wall")
     )
@@ -108,5 +108,6 @@ def with_local_time(
         c("_quality").alias("quality"),
     )
     spent = ["_text", "_date", "_clock", "_offset", "_wall", "_hours", "_minutes"]
-    spent += ["_real", "_instant", "_as_utc", "_quality", "_local"]
+    spent += ["_real", "_instant", "_as_utc", "_day_later", "_second"]
+    spent += ["_quality", "_local"]
     return judged.withColumn(name, contract).drop(*spent)

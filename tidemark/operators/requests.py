@@ -21,20 +21,34 @@ def iso_seconds(wall: Column) -> Column:
     return F.replace(F.substring(wall.cast("string"), 1, 19), F.lit(" "), F.lit("T"))
 
 
-def _instant_text(wall: Column, zone: str) -> tuple[Column, Column]:
-    """Text of a wall time with its local offset, and as UTC.
+def _with_instant_texts(df: DataFrame, wall: str, zone: str) -> DataFrame:
+    """Adds ``_as_local`` (with its offset) and ``_as_utc`` texts of a wall time.
 
-    A wall time that a clock change skips moves to the first instant after the change.
+    A wall time that a clock change skips moves to the first instant after the change. The
+    steps are separate projections, so that each conversion runs once per row.
     """
+    c = F.col
     local, utc = F.lit(zone), F.lit("UTC")
-    moved = F.convert_timezone(utc, local, F.convert_timezone(local, utc, wall))
-    past_hour = F.make_dt_interval(mins=F.minute(moved), secs=F.second(moved))
-    valid = F.when(moved == wall, wall).otherwise(moved - past_hour)
-    instant = F.convert_timezone(local, utc, valid)
-    minutes = F.floor((wall_micros(valid) - wall_micros(instant)) / F.lit(60000000)).cast("int")
-    sign = F.when(minutes < 0, "-").otherwise("+")
-    offset = F.format_string("%02d:%02d", (F.abs(minutes) / 60).cast("int"), F.abs(minutes) % 60)
-    return F.concat(iso_seconds(valid), sign, offset), F.concat(iso_seconds(instant), F.lit("Z"))
+    minutes = F.floor((wall_micros(c("_valid")) - wall_micros(c("_instant"))) / F.lit(60000000))
+    past_hour = F.make_dt_interval(mins=F.minute("_moved"), secs=F.second("_moved"))
+    sign = F.when(c("_minutes") < 0, "-").otherwise("+")
+    size = F.abs(c("_minutes"))
+    offset = F.format_string("%02d:%02d", (size / 60).cast("int"), size % 60)
+    return (
+        df.withColumn("_as_if", F.convert_timezone(local, utc, c(wall)))
+        .withColumn("_moved", F.convert_timezone(utc, local, c("_as_if")))
+        .withColumn("_valid", F.when(c("_moved") == c(wall), c(wall)).otherwise(c("_moved") - past_hour))
+        .withColumn(
+            "_instant",
+            F.when(c("_valid") == c(wall), c("_as_if")).otherwise(
+                F.convert_timezone(local, utc, c("_valid"))
+            ),
+        )
+        .withColumn("_minutes", minutes.cast("int"))
+        .withColumn("_as_local", F.concat(iso_seconds(c("_valid")), sign, offset))
+        .withColumn("_as_utc", F.concat(iso_seconds(c("_instant")), F.lit("Z")))
+        .drop("_as_if", "_moved", "_valid", "_instant", "_minutes")
+    )
 
 
 def serving_payload(
@@ -56,11 +70,11 @@ def serving_payload(
     wall = F.col(pickup)
     if repeated is None:
         repeated = (F.month(wall) == 11) & (F.dayofmonth(wall) == 3) & (F.hour(wall) == 1)
-    as_local, as_utc = _instant_text(wall, zone)
     bare = (F.pmod(F.col(index), F.lit(3)) == 0) | repeated
     rendered = (
         F.when(bare, iso_seconds(wall))
-        .when(F.pmod(F.col(index), F.lit(2)) == 0, as_utc)
-        .otherwise(as_local)
+        .when(F.pmod(F.col(index), F.lit(2)) == 0, F.col("_as_utc"))
+        .otherwise(F.col("_as_local"))
     )
-    return out.withColumn(pickup, rendered)
+    out = _with_instant_texts(out, pickup, zone).withColumn(pickup, rendered)
+    return out.drop("_as_local", "_as_utc")
