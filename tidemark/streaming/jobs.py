@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.plans.serving import serve
 from tidemark.session import scratch_path
 
-IDLE_MILLIS = 24 * 3600 * 1000
+DAY_MILLIS = 24 * 3600 * 1000
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
@@ -90,15 +90,22 @@ def canary_counts(
 
 
 def funnel_stream(
-    log: DataFrame, steps: Sequence[str], session: str, op: str, order: Sequence[str]
+    log: DataFrame,
+    steps: Sequence[str],
+    session: str,
+    op: str,
+    order: Sequence[str],
+    idle_days: int = 30,
 ) -> DataFrame:
     """Ordered funnel over an append-only log; the state of a session is one cursor.
 
-    Emits a row whenever a session gets further; the furthest row is its result. Sessions
-    arrive in order across micro-batches; inside one the rows are sorted here. Only step
-    events are shuffled, and an idle session's cursor expires after a day.
+    Emits a row whenever a session gets further; the furthest row is its result. ``order``
+    starts with the event time. Sessions arrive in order across micro-batches; inside one the
+    rows are sorted here. Only step events are shuffled. A session without step events for
+    ``idle_days`` of event time is forgotten.
     """
     wanted = list(steps)
+    idle = idle_days * DAY_MILLIS
 
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -115,7 +122,8 @@ def funnel_stream(
             if cursor < len(wanted) and event[-1] == wanted[cursor]:
                 cursor += 1
         state.update((cursor,))
-        state.setTimeoutDuration(IDLE_MILLIS)
+        latest = int(events[-1][0].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle)
         if cursor > start:
             yield pd.DataFrame({session: [key[0]], "steps_reached": [cursor]})
 
@@ -124,9 +132,14 @@ def funnel_stream(
         [T.StructField(session, kind), T.StructField("steps_reached", T.IntegerType())]
     )
     cursor_type = T.StructType([T.StructField("cursor", T.IntegerType())])
-    relevant = log.filter(F.col(op).isin(*wanted)).select(session, *order, op)
+    relevant = (
+        log.filter(F.col(op).isin(*wanted))
+        .select(session, *order, op)
+        .withColumn(order[0], F.col(order[0]).cast("timestamp"))
+        .withWatermark(order[0], "1 day")
+    )
     return relevant.groupBy(session).applyInPandasWithState(
-        advance, output, cursor_type, "append", GroupStateTimeout.ProcessingTimeTimeout
+        advance, output, cursor_type, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
