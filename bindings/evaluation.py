@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.tables import table
+from bindings.tables import spread_table, table
 from tidemark.functions.hashing import seeded_fold, seeded_hash
 from tidemark.functions.keys import concat_level
 from tidemark.operators import cohort, encode, metrics, ordering, profiles, splits
@@ -55,7 +55,7 @@ SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS positives,
 
 # Outcomes: one row per line, y is 'returned', levels come from part and supplier.
 def outcomes(spark, sf):
-    lines = table(spark, sf, "lineitem")
+    lines = spread_table(spark, sf, "lineitem")
     parts = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
@@ -165,7 +165,7 @@ FROM folded GROUP BY ALL"""
 
 
 def nested_encoding(spark, sf):
-    coded = encode.target_encode_nested(folded(spark, sf), "triple", "y", "fold", "inner", OUTER)
+    coded = encode.target_encode_nested(folded(spark, sf), "triple", "y", "fold", "inner", OUTER, INNER)
     return coded.select("row_key", "fold", F.transform("rates", lambda r: F.round(r, 9)).alias("rates"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.tables import table
+from bindings.tables import spread_table, table
 from tidemark.functions import keys
 from tidemark.functions.timeutil import elapsed_minutes, with_local_time
 from tidemark.operators import cohort, contracts, dims, encode
@@ -99,7 +99,7 @@ def trips(spark, sf):
     code = F.substring("o_orderpriority", 1, 1).cast("long")
     seconds = F.pmod(o * 7919, F.lit(86400)).cast("int")
     day = F.element_at(F.array(*[F.lit(d) for d in _DAYS]), F.pmod(o, F.lit(3)).cast("int") + 1)
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders").select(
         o.alias("trip_id"),
         (F.col("o_custkey") % 30).alias("PULocationID"),
         (F.col("o_custkey") % 27).alias("DOLocationID"),
@@ -222,7 +222,7 @@ def time_texts(spark, sf):
         .when(form == 4, F.concat(day, F.lit("X"), clock))
         .when(form == 5, F.concat(day, F.lit("T"), F.date_format("ts", "HH:mm")))
     )
-    return table(spark, sf, "events").select("event_id", text.alias("text"))
+    return spread_table(spark, sf, "events").select("event_id", text.alias("text"))
 
 
 def local_times(spark, sf):
