@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.tables import spread_table, table
-from tidemark.functions.hashing import seeded_fold, seeded_hash
+from tidemark.functions.hashing import seeded_folds, seeded_hash
 from tidemark.functions.keys import concat_level
 from tidemark.operators import cohort, encode, metrics, ordering, profiles, splits
 
@@ -131,12 +131,12 @@ FROM outcomes o LEFT JOIN a ON o.supplier = a.supplier LEFT JOIN b ON o.triple =
 
 def folded(spark, sf):
     rows = splits.kfold(outcomes(spark, sf), "row_key", OUTER, SEED)
-    inner = [seeded_fold(f"{SEED}-{f}", INNER, F.col("row_key")) for f in range(OUTER)]
-    return rows.withColumn("inner", F.array(*inner))
+    return rows.withColumn("inner", seeded_folds(SEED, INNER, OUTER, F.col("row_key")))
 
 
 _INNER = ", ".join(
-    f"CAST({_hash_sql(f'{SEED}-{f}', 'row_key')} % {INNER} AS INTEGER)" for f in range(OUTER)
+    f"CAST(CAST('0x' || md5('{SEED}/0:' || row_key)[{4 * f + 1}:{4 * f + 4}] AS BIGINT) % {INNER} AS INTEGER)"
+    for f in range(OUTER)
 )
 FOLDED_SQL = f"""{OUTCOMES_SQL},
 folded AS (

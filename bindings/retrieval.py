@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.tables import table
-from tidemark.functions.textfold import eligible_text, normalize_text
+from tidemark.functions.textfold import eligible_text, normalize_text, strip_accents
 from tidemark.operators import profiles
 from tidemark.operators import retrieval as rt
 from tidemark.session import spread
@@ -264,9 +264,9 @@ FROM (SELECT pmcid, {_NORMAL.format("title || chr(10) || case_summary")} AS t FR
 
 
 def word_statistics(spark, sf):
-    docs = spread(cases(spark, sf)).select(
-        "source", "pmcid", eligible_text(F.col("title"), F.col("case_summary")).alias("text")
-    )
+    text = strip_accents(eligible_text(F.col("title"), F.col("case_summary"))).alias("text")
+    keep = ["source", "pmcid"]
+    docs = rt.by_document(spread(cases(spark, sf)).select(*keep, text), keep)
     counts = rt.term_counts(docs, rt.RELEASE_VIEWS, ["source", "pmcid"])
     return counts.groupBy("source", "view").agg(
         F.count_distinct("term").alias("terms"), F.sum("tf").alias("occurrences")

@@ -64,16 +64,25 @@ class Index:
 
 
 def term_counts(text: DataFrame, views: Sequence[View], keep: Sequence[str]) -> DataFrame:
-    """``keep, view, term, tf`` from a ``text`` column that is already normalised."""
-    folded = text.select(*keep, strip_accents(F.col("text")).alias("text"))
-    split = [
-        folded.select(
-            *keep, F.lit(v.name).alias("view"), F.explode(_SPLITS[v.split](F.col("text"))).alias("term")
-        )
+    """``keep, view, term, tf`` from a ``text`` column that is already folded.
+
+    All terms of a document come from its one row. Where the rows are already partitioned by
+    ``keep``, counting needs no further shuffle.
+    """
+    counted = [
+        text.select(*keep, F.explode(_SPLITS[v.split](F.col("text"))).alias("term"))
+        .groupBy(*keep, "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+        .select(*keep, F.lit(v.name).alias("view"), "term", "tf")
         for v in views
     ]
-    terms = reduce(DataFrame.unionByName, split)
-    return terms.groupBy(*keep, "view", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return reduce(DataFrame.unionByName, counted)
+
+
+def by_document(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One shuffle of the texts, so that the far more numerous terms are not shuffled."""
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.repartition(parts, *keep)
 
 
 def steady_sum(value: Column) -> Column:
@@ -139,21 +148,32 @@ def build_index(
     without being searchable, as the global baseline does with its query."""
     spark = documents.sparkSession
     path = scratch_path(spark, "index")
-    text = spread(documents).select(
+    keep = ["source", "pmcid"]
+    named = documents.select(
         F.col("source").cast("string").alias("source"),
         F.col("pmcid").cast("string").alias("pmcid"),
-        eligible_text(F.col("title"), F.col("case_summary")).alias("text"),
+        "title",
+        "case_summary",
     )
+    # Folding visits Python, after which the planner no longer knows the partitioning: so the
+    # texts are folded first and then shuffled once.
+    searched = strip_accents(eligible_text(F.col("title"), F.col("case_summary")))
+    text = by_document(spread(named).select(*keep, searched.alias("text")), keep)
     fitted = text
     if extra is not None:
         other = extra.select(
             F.col("source").cast("string").alias("source"),
             F.lit(None).cast("string").alias("pmcid"),
-            normalize_text(F.col("text")).alias("text"),
+            strip_accents(normalize_text(F.col("text"))).alias("text"),
         )
         fitted = text.unionByName(other)
-    sizes = fitted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
-    term_counts(fitted, views, ["source", "pmcid"]).write.parquet(f"{path}/terms")
+    sizes = named.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    if extra is not None:
+        more = extra.groupBy(F.col("source").cast("string").alias("source")).count()
+        sizes = sizes.join(more, "source", "left").select(
+            "source", (F.col("n_docs") + F.coalesce("count", F.lit(0))).alias("n_docs")
+        )
+    term_counts(fitted, views, keep).write.parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
     vocabulary = fit_vocabulary(terms, sizes, views, path)
     searchable = terms.filter(F.col("pmcid").isNotNull())
@@ -165,7 +185,7 @@ def build_index(
     )
     norms.write.parquet(f"{path}/norms")
     return Index(
-        text.select("pmcid", "source"),
+        named.select("pmcid", "source"),
         searchable,
         vocabulary,
         spark.read.parquet(f"{path}/norms"),
@@ -180,7 +200,7 @@ def query_weights(index: Index, facets: DataFrame) -> DataFrame:
     """
     asked = facets.select(
         F.col("source").cast("string").alias("source"),
-        normalize_text(F.col("text")).alias("text"),
+        strip_accents(normalize_text(F.col("text"))).alias("text"),
     )
     counts = term_counts(asked, index.views, ["source"])
     raw = _weight(F.col("view"), F.col("tf"), F.col("idf"), index.views)
