@@ -357,3 +357,23 @@ BOUND = {
     "sample_prefixes": (sample_prefixes, SAMPLE_PREFIXES),
     "corpus_profile": (corpus_profile, CORPUS_PROFILE),
 }
+
+
+def panel_spread(spark, sf):
+    from tidemark.operators.rewrites import panel_spread as spread_of
+
+    return spread_of(case_panel(spark, sf), LANGS)
+
+
+def redacted_panel(spark, sf):
+    """The panel again after the outcome is withheld and rows are reordered: no mismatch."""
+    from tidemark.operators.rewrites import invariance, redact
+
+    base = rt.retrieve(cases(spark, sf), QUERY_ID, facets(spark, sf), TOP_K, LANGS)
+    changed = redact(cases(spark, sf).withColumn("final_diagnosis", F.col("file")), ["final_diagnosis"])
+    turned = changed.repartition(5, "file")
+    return invariance(base, rt.retrieve(turned, QUERY_ID, facets(spark, sf), TOP_K, LANGS))
+
+
+BOUND["panel_spread"] = (panel_spread, "SELECT CAST(1 AS BIGINT) AS spread, true AS balanced")
+BOUND["redacted_panel"] = (redacted_panel, f"SELECT {TOP_K} AS n, 0 AS mismatches, true AS match")
