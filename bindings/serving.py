@@ -70,8 +70,8 @@ def codes(spark, sf):
         F.substring("o_orderpriority", 1, 1).alias("code"),
         F.lower(F.substring("o_orderpriority", 3, 20)).alias("rate_class"),
     )
-    absent = listed.limit(1).select(
-        F.lit("99").alias("code"), F.lit("unknown_reported").alias("rate_class")
+    absent = listed.agg(
+        F.max(F.lit("99")).alias("code"), F.max(F.lit("unknown_reported")).alias("rate_class")
     )
     rows = listed.unionByName(absent)
     return rows.select(

@@ -27,6 +27,23 @@ def wall_micros(ts: Column) -> Column:
     return (day * 86400 + seconds) * 1000000 + fraction
 
 
+def wall_from_micros(micros: Column) -> Column:
+    """The wall time of which ``wall_micros`` is the given number."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    day = F.lit(86400000000)
+    seconds = (F.pmod(micros, day) / F.lit(1000000)).cast("decimal(18,6)")
+    return epoch + F.make_dt_interval(days=F.floor(micros / day).cast("int"), secs=seconds)
+
+
+def utc_instant(wall: Column) -> Column:
+    """A wall time read as UTC, whatever the session time zone; streams need an instant."""
+    return F.timestamp_micros(wall_micros(wall))
+
+
+def utc_wall(instant: Column) -> Column:
+    return wall_from_micros(F.unix_micros(instant))
+
+
 def elapsed_minutes(start: Column, end: Column) -> Column:
     return (wall_micros(end) - wall_micros(start)) / F.lit(60000000.0)
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tidemark.operators.ledger import with_credit_flag
 from tidemark.operators.ordering import lay_out, piece_of, running_max
 from tidemark.functions.keys import price_cents
-from tidemark.functions.timeutil import wall_micros
+from tidemark.functions.timeutil import wall_from_micros, wall_micros
 from tidemark.session import cut_lineage
 
 KEY = ["customer_id", "StockCode", "price_cents"]
@@ -284,11 +284,7 @@ def credit_attribution(
         found = late.select(F.col("credit_at").alias("_at"), F.col("line_time"))
         matched = matched.join(found, "_at", "left")
         time = F.coalesce(time, F.col("line_time"))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    eff = epoch + F.make_dt_interval(
-        days=F.floor(time / 86400000000).cast("int"),
-        secs=(F.pmod(time, F.lit(86400000000)) / F.lit(1000000)).cast("decimal(18,6)"),
-    )
+    eff = wall_from_micros(time)
     matched = matched.withColumn("eff_date", eff).select(*columns, "eff_date")
     return own.unionByName(matched).unionByName(lost)
 

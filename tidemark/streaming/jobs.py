@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.timeutil import utc_instant, utc_wall
 from tidemark.plans.serving import serve
 from tidemark.session import scratch_path
 
@@ -61,7 +62,7 @@ def late_credit_windows(lines: DataFrame, allowed_days: int, window: str = "7 da
     the side table of ``split_late`` and none is dropped in silence.
     """
     in_time, _ = split_late(lines, allowed_days)
-    timed = in_time.withColumn("_event", F.col("eff_date").cast("timestamp"))
+    timed = in_time.withColumn("_event", utc_instant(F.col("eff_date")))
     return (
         timed.withWatermark("_event", f"{allowed_days} days")
         .groupBy(F.window("_event", window).alias("w"))
@@ -70,7 +71,7 @@ def late_credit_windows(lines: DataFrame, allowed_days: int, window: str = "7 da
             F.sum(F.col("is_credit").cast("long")).alias("n_credit"),
             F.sum("Quantity").alias("quantity"),
         )
-        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_lines", "n_credit", "quantity")
+        .select(utc_wall(F.col("w.start")).alias("window_start"), "n_lines", "n_credit", "quantity")
     )
 
 
@@ -80,12 +81,12 @@ def canary_counts(
 ) -> DataFrame:
     """Rows served per window on the narrow slice, and how many lie outside the value domain."""
     routed = events.filter(~F.col(label).isin(*held_back))
-    timed = routed.withColumn("_event", F.col(time).cast("timestamp"))
+    timed = routed.withColumn("_event", utc_instant(F.col(time)))
     return (
         timed.withWatermark("_event", delay)
         .groupBy(F.window("_event", window).alias("w"))
         .agg(F.count(F.lit(1)).alias("rows_served"), F.count_if(F.col("value").isNull()).alias("bad"))
-        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "rows_served", "bad")
+        .select(utc_wall(F.col("w.start")).alias("window_start"), "rows_served", "bad")
     )
 
 
@@ -135,7 +136,7 @@ def funnel_stream(
     relevant = (
         log.filter(F.col(op).isin(*wanted))
         .select(session, *order, op)
-        .withColumn(order[0], F.col(order[0]).cast("timestamp"))
+        .withColumn(order[0], utc_instant(F.col(order[0])))
         .withWatermark(order[0], "1 day")
     )
     return relevant.groupBy(session).applyInPandasWithState(
