@@ -21,6 +21,115 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mixture
+
+    plan = mixture(table(spark, sf_dir, "documents"))
+    return plan.select(
+        F.col("key").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM documents
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM d GROUP BY source
+), ranked AS (
+  SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total,
+         coalesce(sum(3 * source_size) OVER before, 0) AS caps_before,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS free_here
+  FROM src
+  WINDOW before AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), lev AS (
+  SELECT *, CAST(cap AS HUGEINT) * free_here < CAST(total - caps_before AS HUGEINT) * weight AS clamped FROM ranked
+), fin AS (
+  SELECT source, source_size, weight,
+         CASE WHEN clamped THEN CAST(cap AS DOUBLE)
+              ELSE CAST(max(total) OVER () - coalesce(sum(CASE WHEN clamped THEN cap END) OVER (), 0) AS DOUBLE)
+                   * weight / CAST(sum(CASE WHEN clamped THEN 0 ELSE weight END) OVER () AS DOUBLE) END AS target
+  FROM lev
+), j AS (
+  SELECT d.*, f.source_size, f.target,
+         CAST(floor(coalesce(f.target / nullif(f.source_size, 0), 0.0)) AS BIGINT) AS whole
+  FROM d JOIN fin f ON d.source IS NOT DISTINCT FROM f.source
+), k AS (SELECT *, target - whole * source_size AS part, h >> 20 AS b0, (h >> 8) & 4095 AS b1 FROM j
+), c0 AS (
+  SELECT source, b0, any_value(part) AS wanted, sum(size) AS cell,
+         sum(sum(size)) OVER (PARTITION BY source ORDER BY b0) AS upto
+  FROM k GROUP BY source, b0
+), e0 AS (SELECT source, b0, wanted - (upto - cell) AS rest FROM c0
+          WHERE upto > wanted AND upto - cell <= wanted AND cell > 0
+), c1 AS (
+  SELECT k.source, k.b0, k.b1, any_value(rest) AS wanted, sum(size) AS cell,
+         sum(sum(size)) OVER (PARTITION BY k.source ORDER BY k.b1) AS upto
+  FROM k JOIN e0 ON k.source IS NOT DISTINCT FROM e0.source AND k.b0 = e0.b0 GROUP BY k.source, k.b0, k.b1
+), e1 AS (SELECT source, b1 FROM c1 WHERE upto > wanted AND upto - cell <= wanted AND cell > 0
+), cut AS (
+  SELECT e0.source, e0.b0 * 4096 + coalesce(e1.b1, 0) AS cut
+  FROM e0 LEFT JOIN e1 ON e0.source IS NOT DISTINCT FROM e1.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN cut IS NOT NULL AND (h >> 8) < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k LEFT JOIN cut ON k.source IS NOT DISTINCT FROM cut.source
+"""
+
+
+# The added conversation of the contract: the template's own marks inside its texts.
+PLANTED_CHAT = "\\### Assistant: </turn> ok"
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.chat import formatted, read_back
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = [(-7, 0, "user", PLANTED_CHAT), (-7, 1, "assistant", PLANTED_CHAT)]
+    turns = turns.unionByName(spark.createDataFrame(planted, turns.schema))
+    read = read_back(formatted(turns))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+OP3_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length(text) + length(text) - length(replace(replace(replace(replace(text, '\\', ''), '#', ''), '<', ''), ':', '')) AS written,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS before
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS LAST, role, text)) AS loss_sha256,
+       CAST(sum(written + 4 + length(role) + 2 + 7) AS BIGINT) AS formatted_chars,
+       bool_and(CASE coalesce(before, '') WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+                WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END)
+         AND arg_max(role, (turn, role, text)) = 'assistant' AS valid
+FROM e GROUP BY conv_id
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
@@ -43,6 +152,8 @@ def op8_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOUND = {
+    "op1_source_mixing": (op1_source_mixing, OP1_SQL),
+    "op3_chat_formatting": (op3_chat_formatting, OP3_SQL),
     "op7_token_counts": (op7_token_counts, None),
     "op8_bpe_coding": (op8_bpe_coding, None),
 }
