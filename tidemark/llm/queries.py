@@ -151,9 +151,17 @@ def op8_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", coded.alias("c")).select("doc_id", "c.*")
 
 
+def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.minhash import near_duplicates
+
+    # The contract fixes shingles of four words for this query.
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 BOUND = {
     "op1_source_mixing": (op1_source_mixing, OP1_SQL),
     "op3_chat_formatting": (op3_chat_formatting, OP3_SQL),
+    "op9_minhash_near_duplicates": (op9_minhash_near_duplicates, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_bpe_coding": (op8_bpe_coding, None),
 }
