@@ -158,10 +158,48 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.samples import remainder
+    from tidemark.llm.toxicity import fit_toxicity, toxicity_score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL").distinct()
+    model = fit_toxicity(docs.join(labels, "doc_id").filter(remainder("doc_id", 3) != 1))
+    scored = docs.withColumn("score", toxicity_score(docs, F.col("text"), model))
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_text import extracted
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.select("page_id", "url", extracted(pages, F.col("html")).alias("text")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import fit_language, language
+    from tidemark.llm.samples import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs.filter(remainder("doc_id", 5) != 0))
+    labelled = docs.select("doc_id", language(docs, F.col("text"), model).alias("l"))
+    return labelled.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "l.lang_pred", "l.score")
+
+
 BOUND = {
     "op1_source_mixing": (op1_source_mixing, OP1_SQL),
     "op3_chat_formatting": (op3_chat_formatting, OP3_SQL),
     "op9_minhash_near_duplicates": (op9_minhash_near_duplicates, None),
+    "op4_toxicity": (op4_toxicity, None),
+    "op5_html_extraction": (op5_html_extraction, None),
+    "op10_language": (op10_language, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_bpe_coding": (op8_bpe_coding, None),
 }
