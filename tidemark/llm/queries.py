@@ -193,6 +193,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "l.lang_pred", "l.score")
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 BOUND = {
     "op1_source_mixing": (op1_source_mixing, OP1_SQL),
     "op3_chat_formatting": (op3_chat_formatting, OP3_SQL),
@@ -200,6 +206,7 @@ BOUND = {
     "op4_toxicity": (op4_toxicity, None),
     "op5_html_extraction": (op5_html_extraction, None),
     "op10_language": (op10_language, None),
+    "op6_near_vectors": (op6_near_vectors, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_bpe_coding": (op8_bpe_coding, None),
 }
