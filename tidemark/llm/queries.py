@@ -199,8 +199,15 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import edit_likeness
+
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
 BOUND = {
     "op1_source_mixing": (op1_source_mixing, OP1_SQL),
+    "op2_fingerprints": (op2_fingerprints, None),
     "op3_chat_formatting": (op3_chat_formatting, OP3_SQL),
     "op9_minhash_near_duplicates": (op9_minhash_near_duplicates, None),
     "op4_toxicity": (op4_toxicity, None),
