@@ -212,11 +212,11 @@ class TextCoder:
                     held = []
             yield held
 
-    def encode(self, text: str) -> tuple[list[int], str]:
+    def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Identifiers and decoded text."""
         parts = [p for piece in self.pieces(text) for p in piece if p[0]]
         ids = np.frombuffer(b"".join([p[1] for p in parts]), dtype="<u4")
-        return ids.tolist(), " ".join([p[2] for p in parts])
+        return ids.astype(np.int32), " ".join([p[2] for p in parts])
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Token count and the digests of identifiers and decoded text, piece by piece."""

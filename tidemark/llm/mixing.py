@@ -87,42 +87,38 @@ def _edge(rows: DataFrame, bits: Column, wanted: str, out: str) -> DataFrame:
     return cells.filter(holds & (F.col("_cell") > 0)).select("_source", out, rest)
 
 
-def repetitions(rows: DataFrame, targets: DataFrame, seed: int | str) -> DataFrame:
-    """``rows`` of ``key``, ``source``, ``size`` with the targets and ``copies`` of every row.
+def plan_of(rows: DataFrame, targets: DataFrame, seed: int | str) -> DataFrame:
+    """Per source: size, target, whole repetitions, and the hash cut under which one more is taken.
 
-    The histograms have 2^12 cells a source, whatever the number of rows; a window over the
-    cells of one source is bounded by that. The targets, one row a source, are joined by an
-    adaptive join that splits hot sources.
+    ``rows`` have ``key``, ``source`` and ``size``. The histograms have 2^12 cells a source,
+    whatever the number of rows; a window over the cells of one source is bounded by that.
     """
+    times = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     facts = targets.select(
-        F.struct("source").alias("_source"),
-        F.floor(F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
-        .cast("long")
-        .alias("_whole"),
-        "source_size",
-        "target",
+        F.struct("source").alias("_source"), "source_size", "target", F.floor(times).cast("long").alias("_whole")
     )
     facts = facts.withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
-    hashed = rows.withColumns(
-        {
-            "_source": F.struct("source"),
-            "_size": F.coalesce("size", F.lit(0)),
-            "_hash": seeded_hash(seed, F.coalesce(F.col("key").cast("string"), F.lit(""))),
-        }
-    )
-    joined = hashed.join(facts, "_source", "left")
+    hashed = rows.select(F.struct("source").alias("_source"), F.col("size").alias("_size"), drawn(F.col("key"), seed).alias("_hash"))
+    joined = hashed.join(facts, "_source")
     first = _edge(joined, _level(F.col("_hash"), 0), "_part", "_b0")
     inside = joined.join(first, "_source").filter(_level(F.col("_hash"), 0) == F.col("_b0"))
     second = _edge(inside, _level(F.col("_hash"), 1), "_rest", "_b1").select("_source", "_b1")
-    cuts = first.select("_source", "_b0").join(second, "_source", "left")
     cut = F.col("_b0") * (1 << LEVEL_BITS) + F.coalesce("_b1", F.lit(0))
+    cuts = first.join(second, "_source", "left").select("_source", cut.alias("_cut"))
+    return stored(facts.join(cuts, "_source", "left").drop("_part"), "mix")
+
+
+def drawn(key: Column, seed: int | str) -> Column:
+    return seeded_hash(seed, F.coalesce(key.cast("string"), F.lit("")))
+
+
+def taken(rows: DataFrame, plan: DataFrame, seed: int | str) -> DataFrame:
+    """``rows`` with ``source_size``, ``target`` and ``copies``; the plan has one row a source."""
+    marked = rows.withColumns({"_source": F.struct("source"), "_hash": drawn(F.col("key"), seed)}).join(plan, "_source", "left")
     place = F.shiftright("_hash", 32 - 2 * LEVEL_BITS)
-    marked = joined.join(cuts.withColumn("_cut", cut).select("_source", "_cut"), "_source", "left")
     extra = (F.col("_cut").isNotNull() & (place < F.col("_cut"))).cast("long")
-    copies = F.when(F.col("_size") > 0, F.coalesce("_whole", F.lit(0)) + extra).otherwise(0)
-    return marked.withColumn("copies", copies.cast("long")).drop(
-        "_source", "_size", "_hash", "_whole", "_part", "_cut"
-    )
+    copies = F.when(F.col("size") > 0, F.coalesce("_whole", F.lit(0)) + extra).otherwise(0)
+    return marked.withColumn("copies", copies.cast("long")).drop("_source", "_hash", "_whole", "_cut")
 
 
 def source_targets(rows: DataFrame, epochs: int = 3) -> DataFrame:
@@ -138,7 +134,7 @@ def mixture(docs: DataFrame, epochs: int = 3, seed: int | str = 1) -> DataFrame:
         ),
         "sizes",
     )
-    return repetitions(rows, source_targets(rows, epochs), seed)
+    return taken(rows, plan_of(rows, source_targets(rows, epochs), seed), seed)
 
 
 def mixed(docs: DataFrame, epochs: int = 3, seed: int | str = 1) -> DataFrame:
@@ -152,7 +148,6 @@ def mixed(docs: DataFrame, epochs: int = 3, seed: int | str = 1) -> DataFrame:
         word_size(F.col("row.text")).alias("size"),
     )
     rows = stored(sized.select("key", "source", "size"), "sizes")
-    taken = repetitions(sized, source_targets(rows, epochs), seed)
-    return taken.withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    ).filter("copies > 0").select("row.*")
+    plan = plan_of(rows, source_targets(rows, epochs), seed)
+    often = taken(sized, plan, seed).filter("copies > 0")
+    return often.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
