@@ -3,13 +3,13 @@
 Terms whose document frequency lies inside a band make the lexicon. Randomised subsets of it
 keep a term with probability 1, 1/2, 1/4, …, several independent subsets for each density. A
 text's distinct lexicon terms are sorted, and those in a subset hashed together. A fingerprint
-holds the subsets of four neighbouring densities around one term per subset, chosen by the
-number of the text's terms, so that short and long texts both have informative subsets. Two
+holds the subsets of neighbouring densities around one term per subset, chosen by the number
+of the text's distinct terms, so that short and long texts both have informative subsets. Two
 fingerprints are as alike as the share of equal subsets among those that either text fills.
 
 The lexicon is broadcast behind a count: a term in a share ``least`` of all texts makes up
 that share of the distinct terms, so the lexicon has at most (mean distinct terms) / ``least``
-terms, however many texts there are.
+terms, however many texts there are. Terms meet the lexicon by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tidemark.llm.common import empty_if_null, stored
 
 LEAST_SHARE, MOST_SHARE = 0.002, 0.2
 SUBSETS = 16  # independent subsets of each density
-DENSITIES = 4  # neighbouring densities that a fingerprint holds
+DENSITIES = 3  # neighbouring densities that a fingerprint holds
 BROADCAST_TERMS = 1_000_000
 PIECE_CHARS = 4_000_000
 MOST_PIECES = 100_000
@@ -30,18 +30,24 @@ SPLIT = "[^\\p{L}\\p{N}]+"
 
 
 def terms_of(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), SPLIT)), lambda t: t != "")
+    """Distinct lower-case runs of letters and digits; the empty term is always the first."""
+    return F.array_union(F.array(F.lit("")), F.split(F.lower(text), SPLIT))
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """Terms inside the band with ``depths``: subset r keeps a term at densities up to 2^-depth."""
+    """Hashes of the terms inside the band with ``depths``, and ``top``, the largest of them.
+
+    Subset r keeps a term at densities up to 2^-depth[r].
+    """
     terms = docs.select(F.explode(terms_of(empty_if_null(F.col("text")))).alias("term"))
-    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    hashed = terms.filter("term != ''").select(F.xxhash64("term").alias("code"))
+    counted = hashed.groupBy("code").agg(F.count(F.lit(1)).alias("_df"))
     total = docs.count()
     band = counted.filter((F.col("_df") >= least * total) & (F.col("_df") <= max(most * total, 1.0)))
-    low = lambda r: F.xxhash64(F.lit(r), "term").bitwiseAND(0x7FFFFFFF)
+    low = lambda r: F.xxhash64(F.lit(r), "code").bitwiseAND(0x7FFFFFFF)
     depth = lambda r: (31 - F.floor(F.log2(low(r) + 1))).cast("tinyint")
-    return stored(band.select("term", F.array(*[depth(r) for r in range(SUBSETS)]).alias("depths")), "lexicon")
+    depths = band.select("code", F.array(*[depth(r) for r in range(SUBSETS)]).alias("depths"))
+    return stored(depths.withColumn("top", F.array_max("depths")), "lexicon")
 
 
 def _place(key: Column, bounds: list) -> Column:
@@ -94,7 +100,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     # Only pieces' first rows are looked up across pieces: one identifier, then one text a piece.
     heads = held.groupBy("piece").agg(F.max("doc_id").alias("head_id"))
     texts = (
-        held.join(heads.withColumnRenamed("piece", "head_piece"), F.col("doc_id").eqNullSafe(F.col("head_id")))
+        held.join(  # one identifier a piece, and pieces are at most MOST_PIECES
+            F.broadcast(heads.withColumnRenamed("piece", "head_piece")), F.col("doc_id").eqNullSafe(F.col("head_id"))
+        )
         .filter("piece = head_piece")
         .groupBy("head_piece")
         .agg(F.min("text").alias("head_text"))
@@ -127,76 +135,71 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def marks(kept: Column) -> Column:
-    """Struct of ``level`` and one hash per subset from terms and depths; 0 marks an empty subset."""
-    count = F.size(kept)
-    level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(count, F.lit(1)))).cast("int"))
-    whole = F.struct(F.array_sort(kept).alias("kept"), level.alias("level"), count.alias("terms"))
+def level_of(terms: Column) -> Column:
+    """The density exponent at which a subset keeps about one of a text's terms."""
+    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(terms), F.lit(1)))).cast("int"))
+
 
-    def hashed(text: Column) -> Column:
-        return F.when(text == "", 0).otherwise(_once(F.hash(text), lambda h: F.when(h == 0, 1).otherwise(h)))
+def marks(kept: Column, level: Column) -> Column:
+    """One number per subset that holds a term: its slot above 32 bits, its hash below."""
+    whole = F.struct(F.array_sort(kept).alias("kept"), level.alias("level"))
 
     def of_whole(w: Column) -> Column:
         def of_subset(r: Column) -> Column:
             def of_densities(some: Column) -> Column:
                 def of_density(k: Column) -> Column:
                     inside = F.filter(some, lambda t: F.get(t["depths"], r) >= w["level"] + k)
-                    return _once(F.array_join(F.transform(inside, lambda t: t["term"]), " "), hashed)
+                    terms = F.array_join(F.transform(inside, lambda t: t["term"]), " ")
+                    slot = F.shiftleft(((w["level"] + k) * SUBSETS + r).cast("long"), 32)
+                    mark = lambda x: F.when(x != "", slot + F.hash(x).cast("long").bitwiseAND(0xFFFFFFFF))
+                    return _once(terms, mark)
 
                 return F.transform(F.sequence(F.lit(0), F.lit(DENSITIES - 1)), of_density)
 
             return _once(F.filter(w["kept"], lambda t: F.get(t["depths"], r) >= w["level"]), of_densities)
 
-        every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), of_subset))
-        return F.struct(w["level"].alias("level"), w["terms"].alias("terms"), every.alias("marks"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), of_subset)
+        return F.array_compact(F.flatten(every))
 
-    return _once(whole, of_whole)
+    return F.when(F.size(kept) == 0, F.array().cast("array<bigint>")).otherwise(_once(whole, of_whole))
 
 
-def written(print_: Column, digest: Column) -> Column:
-    """A fingerprint as text; a text without lexicon terms is told by its digest alone."""
-    hashes = F.array_join(F.transform(print_["marks"], lambda m: F.hex(m.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), ".")
-    return F.when(print_["terms"] == 0, F.concat(F.lit("raw:"), digest)).otherwise(
-        F.concat(print_["level"].cast("string"), F.lit(":"), hashes)
+def written(marks_: Column, digest: Column) -> Column:
+    """A fingerprint as text; a text without marks is told by its digest alone."""
+    return F.when(F.size(marks_) == 0, F.concat(F.lit("raw:"), digest)).otherwise(
+        F.array_join(F.transform(marks_, lambda m: F.hex(m)), ".")
     )
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:
-    """Equal subsets among those either text fills, at the densities both fingerprints hold."""
-    shift = a["level"] - b["level"]
-
-    def step(sums: Column, i: Column) -> Column:
-        k = i % DENSITIES + shift
-        x = F.get(a["marks"], i)
-        y = F.when((k >= 0) & (k < DENSITIES), F.get(b["marks"], i + shift))
-        both = y.isNotNull() & (x != 0) & (x == y)
-        some = y.isNotNull() & ((x != 0) | (y != 0))
-        return F.struct((sums["same"] + both.cast("int")).alias("same"), (sums["some"] + some.cast("int")).alias("some"))
-
-    start = F.struct(F.lit(0).alias("same"), F.lit(0).alias("some"))
-    sums = F.aggregate(F.sequence(F.lit(0), F.lit(SUBSETS * DENSITIES - 1)), start, step)
-    ratio = F.coalesce(F.try_divide(sums["same"].cast("double"), sums["some"].cast("double")), F.lit(0.0))
-    known = (a["terms"] > 0) & (b["terms"] > 0)
-    return F.when(equal, F.lit(1.0)).when(known, ratio).otherwise(F.lit(0.0))
+    """Equal subsets among those that either text fills."""
+    slots = lambda m: F.transform(m, lambda x: F.shiftright(x, 32))
+    same = F.size(F.array_intersect(a, b)).cast("double")
+    some = F.size(F.array_union(slots(a), slots(b))).cast("double")
+    return F.when(equal, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(same, some), F.lit(0.0)))
 
 
 def prints(rows: DataFrame, key: list[str], text: str, terms: DataFrame) -> DataFrame:
     """``key`` columns and ``print`` (see ``marks``) of every row; no shuffle if laid out by a key.
 
-    Lexicon terms of a text meet again in one aggregate on ``key``; they are at most as many as
-    its distinct terms.
+    Only terms that some subset of the text's densities keeps meet again in the aggregate on
+    ``key``: a bounded number, whatever the length of the text.
     """
     spark = rows.sparkSession
     # Groups come one after another; a low bound would sort every term instead.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "8192")
-    look = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    marker = spark.createDataFrame([("", None)], terms.schema)  # every text holds the empty term
-    look = look.unionByName(marker) if look is terms else F.broadcast(terms.unionByName(marker))
-    spread = rows.select(*key, F.explode(F.array_insert(terms_of(F.col(text)), 1, F.lit(""))).alias("term"))
-    found = spread.join(look, "term").groupBy(*key).agg(
+    few = terms.count() <= BROADCAST_TERMS
+    empty = spark.range(1).select(  # every text holds the empty term
+        F.xxhash64(F.lit("")).alias("code"), F.lit(None).cast("array<tinyint>").alias("depths"), F.lit(127).cast("tinyint").alias("top")
+    )
+    look = terms.unionByName(empty)
+    spread = rows.withColumn("_terms", terms_of(F.col(text))).withColumn("_level", level_of(F.col("_terms")))
+    spread = spread.select(*key, "_level", F.explode("_terms").alias("term")).withColumn("code", F.xxhash64("term"))
+    met = spread.join(F.broadcast(look) if few else look, "code").filter(F.col("top") >= F.col("_level"))
+    found = met.groupBy(*key, "_level").agg(
         F.collect_list(F.when(F.col("term") != "", F.struct("term", "depths"))).alias("_kept")
     )
-    return found.withColumn("print", marks(F.col("_kept"))).drop("_kept")
+    return found.withColumn("print", marks(F.col("_kept"), F.col("_level"))).drop("_kept", "_level")
 
 
 def edit_likeness(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:

@@ -189,7 +189,7 @@ def main_text(page: str) -> str:
     nodes: dict[int, Node] = {}
     for block, text, linked in blocks:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
-        share, node = 1.0, block if block.name in CONTAINERS else block.parent
+        share, node = 1.0, block if block.name in CONTAINERS or block.parent is None else block.parent
         depth = 0
         line = block
         while line is not None:
