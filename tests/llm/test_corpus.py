@@ -141,8 +141,9 @@ def test_near_duplicates_against_all_pairs(spark):
         assert got == classes(texts, width, 80)
 
 
-def test_pivot_rounds_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr("tidemark.llm.minhash.FEW_PAIRS", 0)
+def test_blocks_alone_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.minhash.PIVOT_ROUNDS", 0)
+    monkeypatch.setattr("tidemark.llm.minhash.BLOCK", 7)
     test_near_duplicates_against_all_pairs(spark)
 
 

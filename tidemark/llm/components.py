@@ -11,38 +11,29 @@ from tidemark.session import cut_lineage
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of every end of an edge (a, b).
 
-    Each round hooks every node to the smallest label around it and then shortens chains by
-    one look-up of the label's label; labels of a chain fall at least by half, so the rounds
-    grow with the logarithm of a component's width. Only one count a round reaches the driver.
+    Each round leads every edge to the labels of its ends, hooks the larger label to the
+    smallest label met, and shortens the chains of labels. Edges inside one label leave, so
+    later rounds are smaller; rounds grow with the logarithm of a component's width. Only one
+    count a round reaches the driver.
     """
-    both = cut_lineage(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a != b").distinct()
-    )
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    labels = cut_lineage(labels.select("node", F.least("node", "least").alias("component")))
-    while True:
-        around = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("far")), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("far").alias("far"))
-        )
-        hooked = labels.join(around, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "far").alias("new")
-        )
-        # A node's own label may also learn from those who carry it: the root hooks further down.
-        roots = hooked.groupBy(F.col("old").alias("node")).agg(F.min("new").alias("root"))
-        joined = hooked.join(roots, "node", "left").select(
-            "node", "old", F.least("new", F.coalesce("root", "new")).alias("new")
-        )
-        up = joined.select(F.col("node").alias("new"), F.col("new").alias("above"))
-        nxt = cut_lineage(
-            joined.join(up, "new", "left").select(
-                "node",
-                "old",
-                F.least("new", F.coalesce("above", "new")).alias("component"),
+    rest = cut_lineage(edges.filter("a != b").select("a", "b").distinct())
+    nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
+    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
+    while not rest.isEmpty():
+        ends = rest.select("a", "b").union(rest.select("b", "a"))
+        hooks = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
+        # Two look-ups of the hook's own hook: chains become a quarter as long.
+        for _ in range(2):
+            above = hooks.select(F.col("a").alias("up"), F.col("up").alias("above"))
+            hooks = hooks.join(above, "up").select("a", F.col("above").alias("up"))
+        hooks = cut_lineage(hooks)
+        labels = cut_lineage(
+            labels.join(hooks, labels["component"] == hooks["a"], "left").select(
+                "node", F.coalesce("up", "component").alias("component")
             )
         )
-        changed = nxt.filter("component != old").limit(1).count()
-        labels = nxt.select("node", "component")
-        if not changed:
-            return labels
+        one = hooks.select("a", F.col("up").alias("x"))
+        two = hooks.select(F.col("a").alias("b"), F.col("up").alias("y"))
+        led = rest.join(one, "a").join(two, "b").filter("x != y")
+        rest = cut_lineage(led.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return labels

@@ -185,6 +185,8 @@ class Labeller:
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """Per text the class probabilities; rows of zeros where no letter is."""
         totals = np.zeros((len(texts), len(self.languages) + 1))
+        if not self.languages:
+            return np.zeros((len(texts), 0))
         held: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         count = 0

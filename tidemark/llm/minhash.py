@@ -5,14 +5,16 @@ retained values give candidate pairs, an estimate on the union sketch filters th
 texts' whole shingle sets confirm each link.
 
 Texts of equal words are one class from the start, so copies never meet each other. Of a
-sketch only the rarest values enter the lists: two texts whose sketches share at least half
-always meet in one of them, while values that very many texts hold stay out. The estimate of
-a pair at 0.8 falls below one half with a probability under 1e-9 at k = 64.
-
-Members of a list are first compared with one pivot each, over several rounds with other
-pivots; members that a round has joined need no comparison with each other any more. What a
-list still holds of different components is then compared pair by pair, so no link between
-different texts is lost whatever the rounds have found.
+sketch only the rarest values enter the lists: two texts whose sketches share SHARED of their
+values always meet in one of them, while values that very many texts hold stay out. At k = 64
+a pair at 0.8 shares less, or is estimated lower, with a probability of about 3e-5 if one text
+contains the other and far below otherwise; at 0.85 it is under 1e-8.
+
+Members of a list are first compared with one pivot each; members that this joins need no
+comparison with each other any more. What a list still holds of different components is then
+compared in blocks of bounded size, by sketches inside the task; only pairs that the estimate
+lets through leave it. So no link between different texts is lost, whatever the pivots found,
+and no list is enumerated as rows.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from tidemark.llm.components import components
 from tidemark.session import cut_lineage
 
 SKETCH = 64
-PIVOT_ROUNDS = 4
-FEW_PAIRS = 4
+SHARED = 0.6
+PIVOT_ROUNDS = 1
+BLOCK = 512
 WORD_HASHES = 300_000
 
 SKETCHED = "digest binary, n_shingles long, sketch array<long>"
@@ -113,8 +116,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFram
     )
     union = F.slice(F.array_sort(F.array_union("_sa", "_sb")), 1, k)
     shared = F.size(F.array_intersect(union, F.array_intersect("_sa", "_sb")))
-    # Sketches of a whole union are exact; otherwise one half is far below the similarity asked.
-    return sized.filter(shared * 2 >= F.size(union)).select("a", "b")
+    # Sketches of a whole union are exact; otherwise SHARED is far below the similarity asked.
+    return sized.filter(shared >= F.size(union) * SHARED).select("a", "b")
 
 
 def _lists(reps: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def _lists(reps: DataFrame) -> DataFrame:
     # Values of one text only come first in its order and take up places without a list.
     rank = F.row_number().over(W.partitionBy("rep").orderBy("_df", "value"))
     count = F.count(F.lit(1)).over(W.partitionBy("rep"))
-    room = F.floor(F.col("_s") / 2) + 1 - (F.col("_s") - count)
+    room = F.col("_s") - F.ceil(F.col("_s") * SHARED) + 1 - (F.col("_s") - count)
     return held.withColumn("_room", room).withColumn("_rank", rank).filter("_rank <= _room").select(
         "value", "rep"
     )
@@ -137,14 +140,50 @@ def _still_open(lists: DataFrame) -> DataFrame:
     return lists.join(spans.filter("_lo != _hi").select("value"), "value", "left_semi")
 
 
-def _open_pairs(entries: DataFrame) -> tuple[int, int]:
-    """Number of entries, and of pairs of different components within their lists."""
-    groups = entries.groupBy("value", "component").agg(F.count(F.lit(1)).alias("_n"))
-    lists = groups.groupBy("value").agg(
-        F.sum("_n").alias("_all"), F.sum(F.col("_n").cast("double") * F.col("_n")).alias("_same")
+def _compared(percent: int, k: int):
+    """Pairs of different components in a block pair that sizes and union sketches let through."""
+
+    def run(key, block: pd.DataFrame) -> pd.DataFrame:
+        one, two = int(key[1]), int(key[2])
+        own = block["own"].to_numpy()
+        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        sketch = block["sketch"].to_numpy()
+        size = block["n_shingles"].to_numpy(dtype=np.int64)
+        part = block["component"].to_numpy()
+        rep = block["rep"].to_numpy()
+        flat = np.concatenate(sketch)
+        owner = np.repeat(np.arange(len(block)), [len(x) for x in sketch])
+        values, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+        # Only values held twice can be shared: they make a small table of who holds what.
+        column = np.cumsum(often > 1) - 1
+        twice = often[place] > 1
+        holds = np.zeros((len(block), int((often > 1).sum())), dtype=np.float32)
+        holds[owner[twice], column[place[twice]]] = 1
+        both = holds[left] @ holds[right].T
+        a, b = size[left][:, None], size[right][None, :]
+        least = SHARED * np.minimum(np.minimum(a, b), k)  # the union sketch is at least so long
+        fits = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (both >= least)
+        fits &= part[left][:, None] != part[right][None, :]
+        if one == two:
+            fits &= rep[left][:, None] < rep[right][None, :]
+        i, j = np.nonzero(fits)
+        p, q = rep[left[i]], rep[right[j]]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    return run
+
+
+def _block_pairs(entries: DataFrame, sketch: DataFrame, percent: int, k: int) -> DataFrame:
+    """Candidate pairs of the open lists, from blocks of about BLOCK members a side."""
+    sizes = entries.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    cut = entries.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+    every = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    placed = every.select(
+        "value", F.least("own", "_other").alias("one"), F.greatest("own", "_other").alias("two"), "own", "rep", "component"
     )
-    row = lists.agg(F.sum("_all"), F.sum((F.col("_all").cast("double") * F.col("_all") - F.col("_same")) / 2)).first()
-    return row[0] or 0, row[1] or 0
+    full = placed.join(sketch, "rep")
+    kind = dict(entries.dtypes)["rep"]
+    return full.groupBy("value", "one", "two").applyInPandas(_compared(percent, k), f"a {kind}, b {kind}").distinct()
 
 
 def links_to_components(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -> DataFrame:
@@ -159,23 +198,21 @@ def links_to_components(docs: DataFrame, reps: DataFrame, width: int, percent: i
     turn, last = 0, False
     while not last:
         entries = cut_lineage(_still_open(lists))
-        held, cross = _open_pairs(entries)
-        if not held:
+        if entries.isEmpty():
             break
-        # The last turn compares all pairs left; earlier turns only make them few.
-        last = turn >= PIVOT_ROUNDS or cross <= FEW_PAIRS * held
+        last = turn >= PIVOT_ROUNDS
         if not last:
-            # The pivot of a list changes with the round and differs between lists.
+            # The pivot of a list is drawn anew in every round, and for every list.
             draw = F.xxhash64(F.lit(turn), "value", "rep")
             pivots = entries.groupBy("value").agg(
                 F.min_by(F.struct(F.col("rep").alias("p"), F.col("component").alias("pc")), draw).alias("_p")
             )
-            pairs = entries.join(pivots, "value").filter("component != _p.pc").select("rep", F.col("_p.p").alias("p"))
+            pairs = entries.join(pivots, "value").filter("component != _p.pc").select(
+                F.least("rep", "_p.p").alias("a"), F.greatest("rep", "_p.p").alias("b")
+            ).distinct()
         else:
-            other = entries.select("value", F.col("rep").alias("p"), F.col("component").alias("pc"))
-            pairs = entries.join(other, "value").filter("component < pc").select("rep", "p")
+            pairs = _block_pairs(entries, sketch, percent, k)
         turn += 1
-        pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         if found is not None:
             pairs = pairs.join(found, ["a", "b"], "left_anti")
         pairs = cut_lineage(_likely(pairs, sketch, percent, k))
