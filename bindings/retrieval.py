@@ -114,7 +114,7 @@ limited AS (
   FROM counted c JOIN sizes s ON c.source = s.source
   WHERE df >= 2 AND (view = 'char' OR df <= 0.98 * n_docs)
 ),
-vocabulary AS (SELECT * FROM limited WHERE view = 'word' OR place <= 60000),
+vocabulary AS (SELECT * FROM limited),
 norms AS (
   SELECT t.source, t.view, pmcid, sqrt(fsum(((1 + ln(tf)) * idf) * ((1 + ln(tf)) * idf))) AS norm
   FROM terms t JOIN vocabulary v ON t.source = v.source AND t.view = v.view AND t.term = v.term

@@ -362,7 +362,7 @@ def trip_design(spark, sf):
 
 
 TRIP_DESIGN = f"""WITH {SERVED_SQL}
-SELECT trip_id, pu_borough, pu_service_zone, do_borough, do_service_zone, rate_class, fare_basis,
+SELECT trip_id, pu_borough, pu_service_zone, do_borough, do_service_zone, rate_class, fare_basis, time_quality,
   coalesce(TRY_CAST(pickup_hour AS DOUBLE), -1.0) AS pickup_hour,
   coalesce(TRY_CAST(pickup_dayofweek AS DOUBLE), -1.0) AS pickup_dayofweek,
   CASE WHEN trip_id % 4 <> 0 THEN CAST(trip_id % 6 AS DOUBLE) ELSE 1.0 END AS passenger_count,

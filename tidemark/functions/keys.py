@@ -12,22 +12,27 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _as_number(value: Column) -> Column:
-    text = F.trim(value.cast("string"))
+    text = stripped(value)
     return F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double")
 
 
 def numeric_key(value: Column) -> Column:
-    """Integer key from text or number; padding is trimmed, anything non-integral is null.
+    """Integer key from text or number; white space around it is dropped, anything non-integral is null.
 
     A decimal reads plain numbers only, so 'inf', 'nan' and '1.0d' are null without a pattern.
     """
-    number = F.trim(value.cast("string")).try_cast("decimal(38,10)")
+    number = stripped(value).try_cast("decimal(38,10)")
     return F.when(number % 1 == 0, number).try_cast("long")
 
 
+def stripped(value: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(value: Column) -> Column:
     """Trimmed text; empty and ``N/A`` are null."""
-    text = F.trim(value.cast("string"))
+    text = stripped(value)
     return F.when((text != "") & (text != "N/A"), text)
 
 

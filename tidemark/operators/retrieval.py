@@ -46,7 +46,7 @@ class View:
 
 
 WORD_VIEW = View("word", "word_pairs", min_df=2, max_df=0.98)
-CHAR_VIEW = View("char", "char_edges", min_df=2, max_features=60_000)
+CHAR_VIEW = View("char", "char_edges", min_df=2)
 RELEASE_VIEWS = (WORD_VIEW, CHAR_VIEW)
 # The deployed candidate: one vocabulary over everything, single words, raw counts.
 GLOBAL_VIEWS = (View("word", "words", sublinear=False),)
@@ -283,7 +283,7 @@ def balanced_panel(ranked: DataFrame, cycle: DataFrame, k: int) -> DataFrame:
     ``k`` below 1 or above the number of rows is an error.
     """
     if k < 1:
-        raise ContractError("top_k must be positive")
+        raise ContractError("a panel needs at least one place")
     # One row per domain: the cycle is bounded by the list of domains.
     turns = F.broadcast(cycle.select("source", "cycle_pos"))
     first = ranked.join(turns, "source").orderBy("rank", "cycle_pos").limit(k)
@@ -295,7 +295,7 @@ def balanced_panel(ranked: DataFrame, cycle: DataFrame, k: int) -> DataFrame:
         F.round("score", SCORE_DIGITS).alias("score"),
         F.count(F.lit(1)).over(W.partitionBy()).alias("_size"),
     )
-    message = F.lit("top_k exceeds available release rows")
+    message = F.lit("fewer ranked rows than places of the panel")
     whole = F.when(F.col("_size") == k, F.col("position")).otherwise(F.raise_error(message))
     return panel.withColumn("position", whole.cast("int")).drop("_size")
 

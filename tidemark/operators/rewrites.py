@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.contracts import results_match
 from tidemark.operators.ordering import ordered_positions
 
-WITHHELD = "withheld_post_adjudication"
+WITHHELD = "[outcome removed]"
 
 
 def redact(cases: DataFrame, columns: Sequence[str], value: str = WITHHELD) -> DataFrame:
@@ -20,7 +20,7 @@ def redact(cases: DataFrame, columns: Sequence[str], value: str = WITHHELD) -> D
 
 def project_identity(cases: DataFrame, every: str, display: str = "pmcid") -> DataFrame:
     """The display id moves to ``display_id`` or is replaced, by parity of ``every``."""
-    number = F.format_string("citation-%04d", F.col(every))
+    number = F.format_string("ref%06d", F.col(every))
     shown = F.when(F.pmod(F.col(every), F.lit(2)) == 0, F.col(display)).otherwise(number)
     return cases.withColumn("display_id", shown).drop(display)
 

@@ -1,4 +1,4 @@
-"""Seeded folds, splits and samples that do not depend on partitioning or row order."""
+"""Seeded folds, splits and thinning that do not depend on partitioning or row order."""
 
 from __future__ import annotations
 
