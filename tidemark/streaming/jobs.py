@@ -1,22 +1,21 @@
 """Streams that use the batch operators. Each ends with the result of the batch form when it
-is run over all available input."""
+is run over all available input, whatever the number of micro-batches and the order of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions.timeutil import utc_instant, utc_wall
+from tidemark.functions.timeutil import wall_from_micros, wall_micros
 from tidemark.plans.serving import serve
 from tidemark.session import scratch_path
 
-DAY_MILLIS = 24 * 3600 * 1000
-
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
     return (
@@ -54,93 +53,120 @@ def split_late(lines: DataFrame, allowed_days: int) -> tuple[DataFrame, DataFram
     return dated.filter(in_time), dated.filter(~in_time)
 
 
-def late_credit_windows(lines: DataFrame, allowed_days: int, window: str = "7 days") -> DataFrame:
-    """Tumbling windows on the effective date, closed ``allowed_days`` behind the latest one.
+def window_sums(
+    rows: DataFrame, wall: Column, width: timedelta, measures: Mapping[str, Column]
+) -> DataFrame:
+    """Partial sums per tumbling window, folded inside each task; ``merged`` adds them up.
 
-    Documents arrive in document order. A line in time has an effective date at most
-    ``allowed_days`` before its document, hence never behind the watermark; later ones go to
-    the side table of ``split_late`` and none is dropped in silence.
+    No state, no watermark and no shuffle: a row counts whenever it arrives, and the sink's
+    partial rows are as few as the windows a batch touches. Rows without a time have no window.
     """
-    in_time, _ = split_late(lines, allowed_days)
-    timed = in_time.withColumn("_event", utc_instant(F.col("eff_date")))
-    return (
-        timed.withWatermark("_event", f"{allowed_days} days")
-        .groupBy(F.window("_event", window).alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.sum(F.col("is_credit").cast("long")).alias("n_credit"),
-            F.sum("Quantity").alias("quantity"),
-        )
-        .select(utc_wall(F.col("w.start")).alias("window_start"), "n_lines", "n_credit", "quantity")
+    size = width // timedelta(microseconds=1)
+    micros = wall_micros(wall)
+    narrow = rows.filter(wall.isNotNull()).select(
+        (micros - F.pmod(micros, F.lit(size))).alias("window_start"),
+        *[F.coalesce(value.cast("long"), F.lit(0)).alias(name) for name, value in measures.items()],
     )
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby("window_start", as_index=False, sort=False).sum()
+
+    return narrow.mapInPandas(fold, narrow.schema)
+
+
+def merged(partials: DataFrame) -> DataFrame:
+    """One row per window of the written partial sums."""
+    names = [c for c in partials.columns if c != "window_start"]
+    total = partials.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in names])
+    return total.withColumn("window_start", wall_from_micros(F.col("window_start")))
+
+
+def late_credit_windows(
+    lines: DataFrame, allowed_days: int, width: timedelta = timedelta(days=7)
+) -> DataFrame:
+    """Partial sums of tumbling windows on the effective date, of lines in time.
+
+    Later lines go to the side table of ``split_late``; between the two none is lost, in
+    whatever order and in however many micro-batches they arrive.
+    """
+    in_time, _ = split_late(lines, allowed_days)
+    measures = {
+        "n_lines": F.lit(1),
+        "n_credit": F.col("is_credit"),
+        "quantity": F.col("Quantity"),
+    }
+    return window_sums(in_time, F.col("eff_date"), width, measures)
+
 
 def canary_counts(
-    events: DataFrame, time: str, label: str, held_back: Sequence, window: str = "1 hour",
-    delay: str = "10 minutes",
+    events: DataFrame, time: str, label: str, held_back: Sequence,
+    width: timedelta = timedelta(hours=1),
 ) -> DataFrame:
-    """Rows served per window on the narrow slice, and how many lie outside the value domain."""
+    """Partial sums of rows served per window on the narrow slice, and of those whose value is
+    outside its domain."""
     routed = events.filter(~F.col(label).isin(*held_back))
-    timed = routed.withColumn("_event", utc_instant(F.col(time)))
-    return (
-        timed.withWatermark("_event", delay)
-        .groupBy(F.window("_event", window).alias("w"))
-        .agg(F.count(F.lit(1)).alias("rows_served"), F.count_if(F.col("value").isNull()).alias("bad"))
-        .select(utc_wall(F.col("w.start")).alias("window_start"), "rows_served", "bad")
-    )
+    measures = {"rows_served": F.lit(1), "bad": F.col("value").isNull()}
+    return window_sums(routed, F.col(time), width, measures)
 
 
 def funnel_stream(
-    log: DataFrame,
-    steps: Sequence[str],
-    session: str,
-    op: str,
-    order: Sequence[str],
-    idle_days: int = 30,
+    log: DataFrame, steps: Sequence[str], session: str, op: str, order: Sequence[str]
 ) -> DataFrame:
-    """Ordered funnel over an append-only log; the state of a session is one cursor.
+    """Ordered funnel over an append-only log that may arrive in any order.
 
     Emits a row whenever a session gets further; the furthest row is its result. ``order``
-    starts with the event time. Sessions arrive in order across micro-batches; inside one the
-    rows are sorted here. Only step events are shuffled. A session without step events for
-    ``idle_days`` of event time is forgotten.
+    starts with the event time. A late event can only move the time a step was reached to an
+    earlier one, so a session's state holds, per step, the events up to that time, and all of
+    its later steps; a finished session keeps its number alone. Sessions do not expire: that
+    would change their result. Only step events are shuffled.
     """
     wanted = list(steps)
-    idle = idle_days * DAY_MILLIS
+    places: dict[str, list[int]] = {}
+    for place, step in enumerate(wanted):
+        places.setdefault(step, []).append(place)
 
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cursor = state.get[0] if state.exists else 0
-        start = cursor
-        events = sorted(
-            row for pdf in batches for row in pdf[[*order, op]].itertuples(index=False, name=None)
-        )
-        for event in events:
-            if cursor < len(wanted) and event[-1] == wanted[cursor]:
-                cursor += 1
-        state.update((cursor,))
-        latest = int(events[-1][0].timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle)
-        if cursor > start:
-            yield pd.DataFrame({session: [key[0]], "steps_reached": [cursor]})
-
-    kind = log.schema[session].dataType
-    output = T.StructType(
-        [T.StructField(session, kind), T.StructField("steps_reached", T.IntegerType())]
-    )
-    cursor_type = T.StructType([T.StructField("cursor", T.IntegerType())])
+        before, stored = state.get if state.exists else (0, [])
+        held: list[set] = [set() for _ in wanted]
+        for place, *at in stored:
+            held[place].add(tuple(at))
+        for batch in batches:
+            for step, *at in zip(batch[op].tolist(), *[batch[c].tolist() for c in order]):
+                for place in places[step]:
+                    held[place].add(tuple(at))
+        reached, cursor = 0, None
+        for place, events in enumerate(held):
+            later = [at for at in events if cursor is None or at > cursor]
+            if not later:
+                break
+            reached, cursor = place + 1, min(later)
+            held[place] = {at for at in events if at <= cursor}
+        if before == len(wanted) or reached == len(wanted):
+            reached, held = len(wanted), []
+        state.update((reached, [(place, *at) for place, events in enumerate(held) for at in events]))
+        if reached > before:
+            yield pd.DataFrame({session: [key[0]], "steps_reached": [reached]})
+
     relevant = (
         log.filter(F.col(op).isin(*wanted))
+        .dropna(subset=list(order))
         .select(session, *order, op)
-        .withColumn(order[0], utc_instant(F.col(order[0])))
-        .withWatermark(order[0], "1 day")
+        .withColumn(order[0], wall_micros(F.col(order[0])))
+    )
+    output = T.StructType(
+        [log.schema[session], T.StructField("steps_reached", T.IntegerType())]
+    )
+    event = T.StructType(
+        [T.StructField("place", T.IntegerType()), *[relevant.schema[c] for c in order]]
+    )
+    kept = T.StructType(
+        [T.StructField("reached", T.IntegerType()), T.StructField("held", T.ArrayType(event))]
     )
     return relevant.groupBy(session).applyInPandasWithState(
-        advance, output, cursor_type, "append", GroupStateTimeout.EventTimeTimeout
+        advance, output, kept, "append", GroupStateTimeout.NoTimeout
     )
 
 
