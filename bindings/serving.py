@@ -209,11 +209,13 @@ ZONE_TABLE = f"WITH {ZONES_SQL} SELECT * FROM zones"
 
 
 def time_texts(spark, sf):
-    """Event times of day on three dates, as bare text, with offset, as UTC, broken or absent."""
+    """Event times of day on three dates: bare, basic, by week, with offset, as UTC, broken or absent."""
     e = F.col("event_id")
     day = F.element_at(F.array(*[F.lit(d) for d in _DAYS]), F.pmod(e, F.lit(3)).cast("int") + 1)
     clock = F.date_format("ts", "HH:mm:ss")
-    form = F.pmod(F.floor(e / 3), F.lit(7))
+    form = F.pmod(F.floor(e / 3), F.lit(10))
+    date = day.cast("date")
+    week = F.format_string("%04d-W%02d-%d", F.extract(F.lit("YEAROFWEEK"), date), F.weekofyear(date), F.weekday(date) + 1)
     text = (
         F.when(form == 0, F.concat(day, F.lit("T"), clock))
         .when(form == 1, F.concat(F.lit(" "), day, F.lit(" "), clock, F.lit(" ")))
@@ -221,6 +223,9 @@ def time_texts(spark, sf):
         .when(form == 3, F.concat(day, F.lit("T"), clock, F.lit("-04:00")))
         .when(form == 4, F.concat(day, F.lit("X"), clock))
         .when(form == 5, F.concat(day, F.lit("T"), F.date_format("ts", "HH:mm")))
+        .when(form == 7, F.concat(day, F.lit("T"), clock, F.lit("+99:00")))
+        .when(form == 8, F.concat(F.replace(day, F.lit("-")), F.lit("T"), F.date_format("ts", "HHmmss"), F.lit("-04")))
+        .when(form == 9, F.concat(week, F.lit("T"), clock, F.lit(",1234567")))
     )
     return spread_table(spark, sf, "events").select("event_id", text.alias("text"))
 
@@ -232,21 +237,21 @@ def local_times(spark, sf):
 
 LOCAL_TIMES = f"""
 WITH walls AS (
-  SELECT event_id, (event_id // 3) % 7 AS form,
+  SELECT event_id, (event_id // 3) % 10 AS form,
          CAST({_DAYS!r}[event_id % 3 + 1] AS TIMESTAMP) + (date_trunc('second', ts) - date_trunc('day', ts)) AS wall
   FROM events
 ),
 judged AS (
   SELECT *, {_WALL_QUALITY} AS wall_quality,
-    timezone('America/New_York', timezone('UTC', wall + CASE WHEN form = 3 THEN INTERVAL 4 HOUR ELSE INTERVAL 0 HOUR END)) AS moved
+    timezone('America/New_York', timezone('UTC', wall + CASE WHEN form IN (3, 8) THEN INTERVAL 4 HOUR ELSE INTERVAL 0 HOUR END)) AS moved
   FROM walls
 )
 SELECT event_id,
-  CASE WHEN form IN (2, 3) THEN CAST(hour(moved) AS VARCHAR)
-       WHEN form IN (0, 1, 5) AND wall_quality = 'wall' THEN CAST(hour(wall) AS VARCHAR) ELSE 'UNKNOWN' END AS hour,
-  CASE WHEN form IN (2, 3) THEN CAST(isodow(moved) - 1 AS VARCHAR)
-       WHEN form IN (0, 1, 5) AND wall_quality = 'wall' THEN CAST(isodow(wall) - 1 AS VARCHAR) ELSE 'UNKNOWN' END AS weekday,
-  CASE WHEN form IN (2, 3) THEN 'instant' WHEN form = 4 THEN 'invalid' WHEN form = 6 THEN 'missing'
+  CASE WHEN form IN (2, 3, 8) THEN CAST(hour(moved) AS VARCHAR)
+       WHEN form IN (0, 1, 4, 5, 9) AND wall_quality = 'wall' THEN CAST(hour(wall) AS VARCHAR) ELSE 'UNKNOWN' END AS hour,
+  CASE WHEN form IN (2, 3, 8) THEN CAST(isodow(moved) - 1 AS VARCHAR)
+       WHEN form IN (0, 1, 4, 5, 9) AND wall_quality = 'wall' THEN CAST(isodow(wall) - 1 AS VARCHAR) ELSE 'UNKNOWN' END AS weekday,
+  CASE WHEN form IN (2, 3, 8) THEN 'instant' WHEN form = 7 THEN 'invalid' WHEN form = 6 THEN 'missing'
        ELSE wall_quality END AS quality
 FROM judged"""
 

@@ -109,6 +109,19 @@ def test_time_forms(spark):
         ("2024-03-10T03:00:00", "3", "6", "wall"),
         ("2024-11-03T00:59:59", "0", "6", "wall"),
         ("2024-11-03T02:00:00", "2", "6", "wall"),
+        ("2024-03-08X08:15:00", "8", "4", "wall"),
+        ("20240308T081500", "8", "4", "wall"),
+        ("2024-03-08T08", "8", "4", "wall"),
+        ("2024-03-08T08:15:00+04", "23", "3", "instant"),
+        ("2024-03-08T08:15:00.1234567", "8", "4", "wall"),
+        ("2024-03-08T08:15:00,5", "8", "4", "wall"),
+        ("2024-W10-5T08:15", "8", "4", "wall"),
+        ("2024W10", "0", "0", "wall"),
+        ("2024-W53-1", U, U, "invalid"),
+        ("2020-W53-5T01:00", "1", "4", "wall"),
+        ("2024-03-08T05:00:10+00:00:20", "23", "3", "instant"),
+        ("\t2024-03-08T08:15\n", "8", "4", "wall"),
+        ("2024-03-08T0815:00", U, U, "invalid"),
     ]
     frame = spark.createDataFrame([(t[0],) for t in texts], "t string")
     got = with_local_time(frame, "t").select("t", "local.*").collect()

@@ -134,6 +134,8 @@ def test_panel_limits(spark):
         rt.balanced_panel(ranked, cycle, 0)
     with pytest.raises(Exception, match="fewer ranked rows"):
         rt.balanced_panel(ranked, cycle, 4).collect()
+    with pytest.raises(Exception, match="fewer ranked rows"):
+        rt.balanced_panel(ranked.limit(0), cycle, 1).collect()
 
 
 def test_folding(spark):

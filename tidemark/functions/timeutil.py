@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import UNKNOWN
+from tidemark.functions.keys import UNKNOWN, stripped
 
-# Fixed value: date, optional time after 'T' or a space, optional fraction, optional offset.
+# Fixed value: the ISO 8601 forms: calendar or week date, extended or basic; any one character
+# before the time; hours alone or with minutes, seconds and a fraction; an offset of the same forms.
 ISO_PATTERN = (
-    r"^([0-9]{4}-[0-9]{2}-[0-9]{2})"
-    r"(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)"
-    r"(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+    r"(?s)^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8}|[0-9]{4}-W[0-9]{2}(?:-[0-9])?|[0-9]{4}W[0-9]{2}[0-9]?)"
+    r"(?:.([0-9]{2}(?::[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?)?|[0-9]{4}(?:[0-9]{2}(?:[.,][0-9]+)?)?)"
+    r"(Z|[+-][0-9]{2}(?:(?::[0-9]{2}){1,2}|[0-9]{2}(?:[0-9]{2})?)?)?)?\z"
 )
 
 
@@ -57,6 +58,28 @@ def day_bucket(ts: Column, width_days: int) -> Column:
     return F.floor(F.unix_date(ts.cast("date")) / F.lit(width_days)).cast("long")
 
 
+def _iso_day(text: Column) -> Column:
+    """Text yyyy-MM-dd of an ISO date in any form of the pattern; null where a week is not real."""
+    plain = F.replace(text, F.lit("-"))
+    calendar = F.concat_ws("-", F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))
+    number = lambda start, size: F.substring(plain, start, size).try_cast("int")
+    week, day = number(6, 2), F.coalesce(number(8, 1), F.lit(1))
+    # The first week is the one that holds 4 January.
+    fourth = F.concat(F.substring(plain, 1, 4), F.lit("-01-04")).try_cast("date")
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+    real = (F.weekofyear(monday) == week) & day.between(1, 7)
+    by_week = F.when(real, F.date_add(monday, day - 1).cast("string"))
+    return F.when(F.contains(text, F.lit("W")), by_week).otherwise(calendar)
+
+
+def _iso_clock(text: Column) -> Column:
+    """Text HH:mm:ss with at most six digits of a fraction; what is absent is zero."""
+    plain = F.replace(F.replace(text, F.lit(":")), F.lit(","), F.lit("."))
+    whole = F.rpad(F.substring(plain, 1, 6), 6, "0")
+    parts = F.concat_ws(":", F.substring(whole, 1, 2), F.substring(whole, 3, 2), F.substring(whole, 5, 2))
+    return F.concat(parts, F.substring(plain, 7, 7))
+
+
 def with_local_time(
     df: DataFrame, column: str, name: str = "local", zone: str = "America/New_York"
 ) -> DataFrame:
@@ -71,28 +94,27 @@ def with_local_time(
     part = lambda i: F.regexp_extract(F.col("_text"), ISO_PATTERN, i)
     c = F.col
     local, utc = F.lit(zone), F.lit("UTC")
-    parsed = df.withColumn("_text", F.trim(c(column).cast("string"))).withColumns(
+    parsed = df.withColumn("_text", stripped(c(column))).withColumns(
         {"_date": part(1), "_clock": part(2), "_offset": part(3)}
     )
-    # Midnight is added where the text has no time.
-    clock = F.when(c("_clock") == "", "00:00").otherwise(c("_clock"))
     # A failing try_cast is costly, so only offsets with digits reach it.
-    digits = F.when(F.length("_offset") > 1, F.replace(c("_offset"), F.lit(":")))
+    digits = F.when(F.length("_offset") > 1, F.rpad(F.replace(c("_offset"), F.lit(":")), 7, "0"))
     parsed = parsed.withColumns(
         {
-            "_wall": F.when(c("_date") != "", F.concat("_date", F.lit(" "), clock)).try_cast(
+            "_wall": F.when(c("_date") != "", F.concat(_iso_day(c("_date")), F.lit(" "), _iso_clock(c("_clock")))).try_cast(
                 "timestamp_ntz"
             ),
             "_hours": F.substring(digits, 2, 2).try_cast("int"),
             "_minutes": F.substring(digits, 4, 2).try_cast("int"),
+            "_seconds": F.substring(digits, 6, 2).try_cast("int"),
         }
     )
     sign = F.when(F.startswith("_offset", F.lit("-")), -1).otherwise(1)
     real = (c("_offset") == "") | (c("_offset") == "Z") | (
-        (c("_hours") < 24) & (c("_minutes") < 60)
+        (c("_hours") < 24) & (c("_minutes") < 60) & (c("_seconds") < 60)
     )
-    shift = F.when(real, sign * (c("_hours") * 60 + c("_minutes")))
-    moved = c("_wall") - F.make_dt_interval(mins=F.coalesce(shift, F.lit(0)))
+    shift = F.when(real, sign * (c("_hours") * 3600 + c("_minutes") * 60 + c("_seconds")))
+    moved = c("_wall") - F.make_dt_interval(secs=F.coalesce(shift, F.lit(0)).cast("decimal(18,6)"))
     bare = c("_offset") == ""
     day_later = c("_as_utc") + days(1)
     parsed = (
@@ -124,7 +146,7 @@ def with_local_time(
         known(F.weekday("_local")).alias("weekday"),
         c("_quality").alias("quality"),
     )
-    spent = ["_text", "_date", "_clock", "_offset", "_wall", "_hours", "_minutes"]
+    spent = ["_text", "_date", "_clock", "_offset", "_wall", "_hours", "_minutes", "_seconds"]
     spent += ["_real", "_instant", "_as_utc", "_day_later", "_second"]
     spent += ["_quality", "_local"]
     return judged.withColumn(name, contract).drop(*spent)

@@ -289,15 +289,14 @@ def balanced_panel(ranked: DataFrame, cycle: DataFrame, k: int) -> DataFrame:
     first = ranked.join(turns, "source").orderBy("rank", "cycle_pos").limit(k)
     place = F.row_number().over(W.orderBy("rank", "cycle_pos"))
     panel = first.select(
-        place.alias("position"),
-        "pmcid",
-        "source",
-        F.round("score", SCORE_DIGITS).alias("score"),
-        F.count(F.lit(1)).over(W.partitionBy()).alias("_size"),
+        place.alias("position"), "pmcid", "source", F.round("score", SCORE_DIGITS).alias("score")
     )
+    # An aggregate has its row also over an empty ranking, where the panel has none to fail on.
     message = F.lit("fewer ranked rows than places of the panel")
-    whole = F.when(F.col("_size") == k, F.col("position")).otherwise(F.raise_error(message))
-    return panel.withColumn("position", whole.cast("int")).drop("_size")
+    size = first.agg(F.count(F.lit(1)).alias("_size"))
+    whole = size.select(F.when(F.col("_size") < k, F.raise_error(message)).alias("_short"))
+    checked = panel.join(F.broadcast(whole), F.lit(True), "right").filter("_short IS NULL")
+    return checked.select(F.col("position").cast("int").alias("position"), "pmcid", "source", "score")
 
 
 def retrieve(
