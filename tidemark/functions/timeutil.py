@@ -36,15 +36,6 @@ def wall_from_micros(micros: Column) -> Column:
     return epoch + F.make_dt_interval(days=F.floor(micros / day).cast("int"), secs=seconds)
 
 
-def utc_instant(wall: Column) -> Column:
-    """A wall time read as UTC, whatever the session time zone; streams need an instant."""
-    return F.timestamp_micros(wall_micros(wall))
-
-
-def utc_wall(instant: Column) -> Column:
-    return wall_from_micros(F.unix_micros(instant))
-
-
 def elapsed_minutes(start: Column, end: Column) -> Column:
     return (wall_micros(end) - wall_micros(start)) / F.lit(60000000.0)
 
