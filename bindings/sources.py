@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bindings import evaluation, ledger as ledger_bindings, retrieval, serving as serving_bindings
@@ -15,12 +16,15 @@ from tidemark.sources import governed, readers, writers
 def csv_lookup(spark, sf):
     path = scratch_path(spark, "csv")
     parts = table(spark, sf, "part")
-    parts.write.csv(path, header=True)
+    parts.repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").write.csv(path, header=True)
     rows = readers.read_csv(spark, path, parts.schema, order="row_no")
-    return rows.drop("row_no")
+    # Files were written sorted, so the key must rise along the file order; a split is bounded.
+    here = W.partitionBy("row_no.file", "row_no.split").orderBy("row_no")
+    rises = F.coalesce(F.lag("p_partkey").over(here) < F.col("p_partkey"), F.lit(True))
+    return rows.withColumn("rises", rises).drop("row_no")
 
 
-CSV_LOOKUP = "SELECT * FROM part"
+CSV_LOOKUP = "SELECT *, true AS rises FROM part"
 
 
 def jsonl_cases(spark, sf):
@@ -79,7 +83,7 @@ def delivery(spark, sf):
         F.col("pmcid").alias("canonical"),
     )
     body = docs.drop("canonical")
-    body.repartition("domain").write.partitionBy("domain").json(f"{root}/cases")
+    body.write.partitionBy("domain").json(f"{root}/cases")
     docs.select("record_key", F.col("canonical").alias("pmcid"), "domain").write.json(f"{root}/registry")
     below = lambda c: governed.relative_path(F.col(c), root)
     digests = governed.file_digests(spark, f"{root}/cases/*/*.json").withColumn("path", below("path"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import encode, metrics, splits
 from tidemark.operators.contracts import ContractError, assert_columns, table_digest
-from tidemark.operators.encode import CellFeatures
+from tidemark.operators.encode import CellFeatures, level_codes, one_hot_vector, ordinal_encode
 from tidemark.operators.ordering import exact_median, hash_cut, ordered_positions, running_sums
 from tidemark.session import scratch_path
-from tidemark.sources import governed, writers
+from tidemark.sources import governed, readers, writers
 
 
 @pytest.fixture(scope="module")
@@ -129,16 +129,16 @@ def _delivery(spark, tmp_path, change=None):
 
 
 BREACHES = {
-    "sha256": lambda m, r: m["files"][0].update(sha256="0" * 64),
-    "row count": lambda m, r: m["files"][0].update(rows=4),
-    "unsafe": lambda m, r: m["files"][0].update(path="../cases/cardiac.jsonl"),
-    "missing serving": lambda m, r: m["files"][0]["_rows"][0].pop("title"),
-    "unregistered": lambda m, r: r.pop(0),
-    "domain mismatch": lambda m, r: r[0].update(domain="vascular"),
+    "file content": lambda m, r: m["files"][0].update(sha256="0" * 64),
+    "another number": lambda m, r: m["files"][0].update(rows=4),
+    "outside the delivery": lambda m, r: m["files"][0].update(path="../cases/cardiac.jsonl"),
+    "lack a required key": lambda m, r: m["files"][0]["_rows"][0].pop("title"),
+    "does not know": lambda m, r: r.pop(0),
+    "another domain": lambda m, r: r[0].update(domain="vascular"),
     "repeats": lambda m, r: r.append(dict(r[0])),
-    "duplicate active": lambda m, r: r[0].update(pmcid=r[1]["pmcid"]),
-    "active total": lambda m, r: m.update(expected_total_rows=7),
-    "distinct id": lambda m, r: m.update(expected_distinct_pmcids=5),
+    "delivered twice": lambda m, r: r[0].update(pmcid=r[1]["pmcid"]),
+    "6 rows, manifest says 7": lambda m, r: m.update(expected_total_rows=7),
+    "6 ids, manifest says 5": lambda m, r: m.update(expected_distinct_pmcids=5),
 }
 
 
@@ -156,6 +156,12 @@ def test_governed_read_refuses(spark, tmp_path, breach):
         governed.governed_read(spark, root).collect()
 
 
+def test_a_required_key_may_hold_null(spark, tmp_path):
+    root = _delivery(spark, tmp_path, lambda m, r: m["files"][0]["_rows"][0].update(title=None))
+    rows = governed.governed_read(spark, root)
+    assert rows.count() == 6 and rows.filter("title IS NULL").count() == 1
+
+
 def test_inactive_files_are_not_read(spark, tmp_path):
     def change(m, r):
         m["files"][1].update(active=False)
@@ -183,3 +189,34 @@ def test_verified_table_is_rebuilt_when_spoilt(spark):
     folder = stored.inputFiles()[0].rsplit("/", 1)[0]
     spark.range(6).write.mode("overwrite").parquet(folder)
     assert writers.verified(spark, path, {"v": 1}, build).count() == 5 and len(calls) == 2
+
+
+def test_csv_order_follows_files_and_splits(spark, tmp_path):
+    lines = {"a.csv": range(0, 40), "b.csv": range(40, 2000), "c.csv": range(2000, 2003)}
+    for name, ids in lines.items():
+        (tmp_path / name).write_text("n\n" + "".join(f"{i}\n" for i in ids))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.read_csv(spark, str(tmp_path), "n int", order="row_no")
+        assert rows.rdd.getNumPartitions() > 3
+        assert [r.n for r in rows.orderBy("row_no").collect()] == list(range(2003))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_levels_beyond_any_former_limit(spark):
+    rows = spark.range(10_500).select("id", F.when(F.col("id") > 0, F.format_string("l%06d", "id")).alias("level"))
+    codes = level_codes(rows, "level")
+    coded = ordinal_encode(rows.union(spark.createDataFrame([(-5, "new")], rows.schema)), "level", codes, "code")
+    assert coded.filter("id > 0 AND code <> id - 1").isEmpty()  # the missing level sorts last, as "nan"
+    assert {(r.id, r.code) for r in coded.filter("id <= 0").collect()} == {(-5, -1), (0, 10_499)}
+    sparse = one_hot_vector(rows, "level", codes, "v")
+    assert {(r.id, r.v.size, tuple(r.v.indices)) for r in sparse.filter("id IN (0, 1, 2)").collect()} == {
+        (0, 10_499, (10_498,)), (1, 10_499, ()), (2, 10_499, (0,))
+    }
+
+
+def test_reports_of_gap_and_staleness(spark, skewed):
+    assert writers.stale(skewed, skewed.repartition(3), ["id", "v"])
+    assert not writers.stale(skewed.filter("id > 0"), skewed, ["id", "v"])

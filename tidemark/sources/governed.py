@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.contracts import ContractError, assert_unique, duplicate_keys
-from tidemark.operators.dims import registry_join
+from tidemark.session import cut_lineage
 from tidemark.sources.readers import CASE_SCHEMA, MANIFEST_SCHEMA, REGISTRY_SCHEMA, read_jsonl
 
 REQUIRED = ("record_key", "title", "case_summary")
-FILE_LIMIT = 100_000
+BREACHES = {
+    "incomplete": "file with cases that lack a required key",
+    "alien": "case the registry does not know",
+    "misplaced": "case filed under another domain than registered",
+}
 
 
 def read_manifest(spark: SparkSession, root: str, name: str = "source_manifest.json"):
@@ -54,6 +58,29 @@ def relative_path(path: Column, root: str) -> Column:
     return F.substring_index(path, f"/{folder}/", -1)
 
 
+def _complete(line: Column) -> Column:
+    """Does the raw line carry every required key? A key with a null value is there."""
+    keys = F.coalesce(F.json_object_keys(line), F.array())
+    return F.size(F.array_intersect(keys, F.array(*map(F.lit, REQUIRED)))) == len(REQUIRED)
+
+
+def _examined(rows: DataFrame) -> dict:
+    """Counts of the whole delivery and one example of each breach, from one aggregate."""
+    key = F.coalesce("record_key", F.lit("(null)"))
+    alien = F.col("_known").isNull()
+    return (
+        rows.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_distinct("_id").alias("ids"),
+            F.min(F.when(~F.col("_complete"), F.col("_path"))).alias("incomplete"),
+            F.min(F.when(alien, key)).alias("alien"),
+            F.min(F.when(F.col("_registered") != F.col("_declared"), key)).alias("misplaced"),
+        )
+        .first()
+        .asDict()
+    )
+
+
 def governed_read(
     spark: SparkSession,
     root: str,
@@ -64,26 +91,25 @@ def governed_read(
     """Cases of the active files with canonical ``pmcid`` and ``source``.
 
     Checked first: path safety, file digests, row counts, required fields, registration,
-    domain agreement, unique identity, totals. Any breach is an error.
+    domain agreement, unique identity, totals. Any breach is an error. The lines are read
+    once, joined with their file and the registry, and stored; every check and the result
+    come from the stored rows.
     """
     manifest = manifest if manifest is not None else read_manifest(spark, root)
     head = manifest.select(
         "expected_total_rows", "expected_distinct_pmcids", "identity_registry"
     ).first()
     if head is None:
-        raise ContractError("manifest is empty")
+        raise ContractError("no manifest")
     if registry is None:
         registry = read_registry(spark, f"{root}/{head.identity_registry}")
     else:
         assert_unique(registry, ["record_key"])
 
     active = manifest_files(manifest).filter("active")
-    _fail_if_any(unsafe_paths(active).select("path"), "unsafe manifest path")
-    # The manifest is a list of files, control data of a checked length.
-    listed = active.select("path").limit(FILE_LIMIT + 1).collect()
-    if len(listed) > FILE_LIMIT:
-        raise ContractError(f"manifest lists more than {FILE_LIMIT} files")
-    paths = [f"{root}/{r.path}" for r in listed]
+    _fail_if_any(unsafe_paths(active).select("path"), "listed file lies outside the delivery")
+    # The manifest is one document, a single row: its file names fit wherever that row does.
+    paths = [f"{root}/{r.path}" for r in active.select("path").collect()]
 
     digests = file_digests(spark, paths).select(
         relative_path(F.col("path"), root).alias("path"), F.col("sha256").alias("actual")
@@ -91,43 +117,40 @@ def governed_read(
     wrong = active.join(digests, "path", "left").filter(
         ~F.coalesce(F.col("sha256") == F.col("actual"), F.lit(False))
     )
-    _fail_if_any(wrong.select("path"), "sha256 mismatch")
-
-    rows = read_jsonl(spark, paths, schema).withColumn(
-        "_path", relative_path(F.col("_metadata.file_path"), root)
-    )
-    per_file = rows.groupBy("_path").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_if(
-            F.greatest(*[F.col(c).isNull().cast("int") for c in REQUIRED]) == 1
-        ).alias("_incomplete"),
+    _fail_if_any(wrong.select("path"), "file content is not what was listed")
+
+    lines = spark.read.text(paths).filter(F.col("value").rlike("\\S"))
+    cases = lines.select(
+        F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_case"),
+        _complete(F.col("value")).alias("_complete"),
+        relative_path(F.col("_metadata.file_path"), root).alias("_path"),
+    ).select("_case.*", "_complete", "_path")
+    declared = active.select(F.col("path").alias("_path"), F.col("domain").alias("_declared"))
+    known = registry.select(
+        "record_key",
+        F.col("pmcid").alias("_id"),
+        F.col("domain").alias("_registered"),
+        F.lit(True).alias("_known"),
     )
+    placed = cut_lineage(cases.join(declared, "_path", "left").join(known, "record_key", "left"))
+
+    per_file = placed.groupBy("_path").agg(F.count(F.lit(1)).alias("_rows"))
     counted = active.join(per_file, F.col("path") == F.col("_path"), "left")
     _fail_if_any(
         counted.filter(F.coalesce("_rows", F.lit(0)) != F.col("rows")).select("path", "_rows"),
-        "row count mismatch",
+        "file holds another number of rows than listed",
     )
-    _fail_if_any(counted.filter("_incomplete > 0").select("path"), "missing serving fields")
-
-    known = registry.select("record_key", "pmcid", F.col("domain").alias("_registered"))
-    _fail_if_any(
-        rows.join(known, "record_key", "left_anti").select("record_key"), "unregistered record_key"
-    )
-    declared = active.select(F.col("path").alias("_path"), F.col("domain").alias("_declared"))
-    placed = rows.drop("pmcid").join(declared, "_path").join(known, "record_key")
-    _fail_if_any(
-        placed.filter("_registered <> _declared").select("record_key"), "registry domain mismatch"
-    )
-    for key in ("record_key", "pmcid"):
-        _fail_if_any(duplicate_keys(placed, [key]), "duplicate active release identity")
-    totals = placed.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("pmcid").alias("ids")
-    ).first()
-    if totals.rows != head.expected_total_rows:
-        raise ContractError("active total does not match manifest")
-    if totals.ids != head.expected_distinct_pmcids:
-        raise ContractError("distinct id total does not match manifest")
-    return registry_join(rows.drop("_path"), registry)
+    seen = _examined(placed)
+    for breach, message in BREACHES.items():
+        if seen[breach] is not None:
+            raise ContractError(f"{message}: {seen[breach]}")
+    for key in ("record_key", "_id"):
+        _fail_if_any(duplicate_keys(placed, [key]), "one case delivered twice")
+    for found, expected in (("rows", head.expected_total_rows), ("ids", head.expected_distinct_pmcids)):
+        if seen[found] != expected:
+            raise ContractError(f"delivery has {seen[found]} {found}, manifest says {expected}")
+    fields = [c for c in cases.columns if c not in ("pmcid", "source", "_complete", "_path")]
+    return placed.select(*fields, F.col("_registered").alias("source"), F.col("_id").alias("pmcid"))
 
 
 def landing_inventory(

@@ -41,11 +41,17 @@ def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema, order: str | None = None) -> DataFrame:
     """CSV with a header; empty is an error. ``order`` names a column for the file order.
 
-    Lookup files are read by one task in file order, so the id that Spark hands out follows it.
+    The order is a struct of the file, the split's offset in it and an id that rises inside a
+    split, so it holds for any number of files and splits, however Spark packs them.
     """
     rows = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", enforceSchema=False)
     if order:
-        rows = rows.withColumn(order, F.monotonically_increasing_id())
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("line"),
+        )
+        rows = rows.select("*", place.alias(order))
     return non_empty(rows)
 
 

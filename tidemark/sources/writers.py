@@ -56,7 +56,3 @@ def stale(current: DataFrame, stored: DataFrame, columns: Sequence[str], salt: s
     """Does the stored artifact still equal the one from before a change?"""
     a, b = (table_digest(d, columns, salt).first() for d in (current, stored))
     return tuple(a) == tuple(b)
-
-
-def with_file_order(df: DataFrame, name: str = "position") -> DataFrame:
-    return df.withColumn(name, F.monotonically_increasing_id())
