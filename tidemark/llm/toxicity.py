@@ -11,7 +11,7 @@ mean of the whole text into a probability. Misspelt words share n-grams with kno
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ SPANS = (12, 48)
 SAMPLE_ROWS = 5_000  # labelled texts that a model is fitted on, at most twice as many
 STEPS = 70
 WORDS_KEPT = 600_000
+HASHED_WORDS = 10_000
 GROUP_WORDS = 50_000
 EDGES = ".,;:!?\"'()[]{}<>|*&%$#@~`=+-_/\\«»“”„’‘…¡¿"
 
@@ -76,21 +77,36 @@ def features(values: np.ndarray) -> list[float]:
 
 
 class Bags:
-    """The n-grams of a fitted vocabulary, flat, with where each word begins."""
+    """The n-grams of a fitted vocabulary, flat, with where each word begins.
 
-    def __init__(self, texts: list[list[str]]):
+    Texts are split one at a time and n-grams hashed for a few words at a time, so that beside
+    the flat arrays only the vocabulary's own strings are held.
+    """
+
+    def __init__(self, texts: Iterable[str]):
         index: dict[str, int] = {}
-        self.docs = [np.array([index.setdefault(w, len(index)) for w in t], dtype=np.int32) for t in texts]
+        self.docs = [
+            np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int32) for t in texts
+        ]
         words = list(index)
-        flat, owner = grams(words) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        self.size = np.bincount(owner, minlength=len(words))
+        flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), HASHED_WORDS):
+            piece = words[at : at + HASHED_WORDS]
+            found, owner = grams(piece)
+            flat.append(found[np.argsort(owner, kind="stable")])
+            size.append(np.bincount(owner, minlength=len(piece)))
+        self.flat, self.size = np.concatenate(flat), np.concatenate(size)
         self.start = np.cumsum(self.size) - self.size
-        self.flat = flat[np.argsort(owner, kind="stable")]
 
     def scores(self, bucket_scores: np.ndarray) -> np.ndarray:
-        if not len(self.size):
-            return np.zeros(0)
-        return np.add.reduceat(bucket_scores[self.flat], self.start) / self.size
+        """Mean bucket score of every word."""
+        out = np.zeros(len(self.size), dtype=bucket_scores.dtype)
+        for at in range(0, len(self.size), HASHED_WORDS):
+            starts = self.start[at : at + HASHED_WORDS]
+            end = starts[-1] + self.size[at + len(starts) - 1]
+            held = bucket_scores[self.flat[starts[0] : end]]
+            out[at : at + len(starts)] = np.add.reduceat(held, starts - starts[0])
+        return out / self.size
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat n-grams of the chosen words, and the place in ``words`` of each."""
@@ -110,8 +126,7 @@ def _adam(value, slope, memory, step, rate):
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
     """Vectors, layer and calibration from labelled texts; plain arrays of a fixed size."""
     random = np.random.default_rng(seed)
-    rows = [words_of(t) for t in texts]
-    usable = np.array([i for i, r in enumerate(rows) if r], dtype=int)
+    usable = np.array([i for i, t in enumerate(texts) if t and not t.isspace()], dtype=int)
     y = np.array(labels, dtype=int)
     model = {"bucket": np.zeros(BUCKETS), "weights": [0.0] * len(features(np.zeros(1))), "bias": -2.0}
     if len(usable) < 20 or len(set(y[usable])) < 2:
@@ -119,7 +134,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
     usable = random.permutation(usable)
     held = usable[: len(usable) // 4]
     train = usable[len(usable) // 4 :]
-    bags = Bags([rows[i] for i in train])
+    bags = Bags(texts[i] for i in train)
     vectors = random.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
     layer = random.normal(0, 0.5, (SIZE, 2)).astype(np.float32)
     memory = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, layer)]
@@ -163,7 +178,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
         _adam(vectors, vector_slope, memory[0], step, 0.03)
         _adam(layer, layer_slope, memory[1], step, 0.03)
     bucket = (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64)
-    unseen = Bags([rows[i] for i in held])
+    del bags, word_scores, flat, of_word, words, place
+    unseen = Bags(texts[i] for i in held)
     word_scores = unseen.scores(bucket)
     x = np.array([features(word_scores[d]) for d in unseen.docs])
     scale = np.abs(x).mean(0) + 1e-9
