@@ -1,14 +1,21 @@
 """Near-duplicate vectors by product quantisation.
 
 Vectors of unit length go to the list of their nearest coarse centre; what is left of them is
-coded by the nearest entry of a codebook per subspace. A query visits its nearest lists, adds
-table entries for the codes there, and pairs that come near the asked cosine are compared
-exactly, in double precision. Coarse centres and codebooks are trained on a bounded sample.
+coded by the nearest entry of a codebook per subspace. A query visits lists, adds table entries
+for the codes there, and pairs that come near the asked cosine are compared exactly, in double
+precision. Coarse centres and codebooks are trained on a bounded sample.
+
+A query visits its PROBES nearest centres and every other centre within twice the distance that
+the asked cosine leaves two vectors. By the triangle inequality that meets every link of a
+vector no farther from its own centre than that distance, however many lists a group of near
+vectors is spread over; only a link of two vectors that both lie farther from their centres
+depends on PROBES. Centres within the asked angle of a leader make one list, so a query is not
+copied once for every centre of such a group.
 
 Equal vectors are one class with a weight from the start. Lists and the queries that visit
 them are cut into blocks of bounded size, so a list that holds a third of all vectors is many
 tasks. Pairs never leave a task: it returns, per vector, how many links it found and the
-smallest vector it is joined to. A pair found from both sides is counted from both sides; one
+smallest vector it is joined to; nor does a task hold the pairs of its whole block. A pair found from both sides is counted from both sides; one
 found from one side only is counted for both by the side that finds it.
 """
 
@@ -30,8 +37,9 @@ SAMPLE_A_LIST = 8  # sampled vectors a list for training: MOST_LISTS * SAMPLE_A_
 LEAST_SAMPLE = 4_096
 SUBSPACES = 8
 CODES = 256
-PROBES = 12
+PROBES = 12  # centres visited at least; those within 2 * reach(least) come on top
 MARGIN = 0.3  # codes may understate a cosine by this much before the exact comparison
+DENSE = 0.02  # share of near pairs from which one matrix product is cheaper than single ones
 MEMBER_BLOCK = 1_024
 QUERY_BLOCK = 4_096
 
@@ -65,14 +73,51 @@ def centres_of(points: np.ndarray, count: int, random: np.random.Generator, roun
     return centres
 
 
-def train(points: np.ndarray, lists: int, seed: int = 5) -> dict:
-    """Coarse centres and residual codebooks from sampled unit vectors."""
+def reach(least: float) -> float:
+    """The largest distance of two unit vectors whose cosine is at least ``least``."""
+    return float(np.sqrt(max(0.0, 2 - 2 * least)))
+
+
+def visited(points: np.ndarray, centres: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of unit vectors the nearest centre, and all centres they visit."""
+    half = (centres * centres).sum(1) / 2
+    count = min(PROBES, len(centres))
+    within = ((2 * reach(least)) ** 2 - 1) / 2 + 1e-9  # of |x - c|^2 = 1 + 2 * gap
+    home, visits = [], []
+    for at in range(0, len(points), 1_024):
+        gap = half - points[at : at + 1_024] @ centres.T
+        home.append(gap.argmin(1))
+        close = gap <= within
+        np.put_along_axis(close, np.argpartition(gap, count - 1, axis=1)[:, :count], True, 1)
+        close[np.arange(len(gap)), home[-1]] = True
+        visits += [np.flatnonzero(row) for row in close]
+    return np.concatenate(home), visits
+
+
+def merged(centres: np.ndarray, least: float) -> np.ndarray:
+    """Per centre the leader whose list it belongs to: one within the asked angle, or itself."""
+    size = np.linalg.norm(centres, axis=1, keepdims=True)
+    way = np.divide(centres, size, out=np.zeros_like(centres), where=size > 0)
+    close = np.concatenate([(way[at : at + 1_024] @ way.T >= least).sum(1) for at in range(0, len(way), 1_024)])
+    leader = np.arange(len(way))
+    free = close > 1
+    for c in np.argsort(-close, kind="stable"):
+        if free[c]:
+            mine = free & (way @ way[c] >= least)
+            mine[c] = True
+            leader[mine] = c
+            free &= ~mine
+    return leader
+
+
+def train(points: np.ndarray, lists: int, least: float, seed: int = 5) -> dict:
+    """Coarse centres, their leaders, and residual codebooks from sampled unit vectors."""
     random = np.random.default_rng(seed)
     coarse = centres_of(points, lists, random)
     rest = points - coarse[nearest(points, coarse)[:, 0]]
     bounds = np.linspace(0, points.shape[1], min(SUBSPACES, points.shape[1]) + 1).astype(int)
     books = [centres_of(rest[:, a:b], CODES, random) for a, b in zip(bounds, bounds[1:])]
-    return {"coarse": coarse, "books": books, "bounds": bounds}
+    return {"coarse": coarse, "leader": merged(coarse, least), "books": books, "bounds": bounds}
 
 
 def unit(rows: list) -> np.ndarray:
@@ -89,8 +134,8 @@ def can_link() -> Column:
     return F.coalesce(F.col("vec_id").isNotNull() & finite & some, F.lit(False))
 
 
-def indexed(classes: DataFrame, model: dict) -> DataFrame:
-    """Every class with its list, the lists it visits and its codes."""
+def indexed(classes: DataFrame, model: dict, least: float) -> DataFrame:
+    """Every class with its centre, its list, the lists it visits and its codes."""
     bounded_batches(classes.sparkSession, 2_048)
     shared = share(classes, model)
 
@@ -98,8 +143,10 @@ def indexed(classes: DataFrame, model: dict) -> DataFrame:
         m = shared.value
         for batch in batches:
             x = unit(list(batch["embedding"]))
-            probes = nearest(x, m["coarse"], min(PROBES, len(m["coarse"])))
-            rest = x - m["coarse"][probes[:, 0]]
+            if not len(x):
+                continue
+            cell, visits = visited(x, m["coarse"], least)
+            rest = x - m["coarse"][cell]
             codes = np.stack(
                 [nearest(rest[:, a:b], book)[:, 0] for book, a, b in zip(m["books"], m["bounds"], m["bounds"][1:])], 1
             ).astype(np.uint8)
@@ -107,15 +154,16 @@ def indexed(classes: DataFrame, model: dict) -> DataFrame:
                 {
                     "rep": batch["rep"],
                     "weight": batch["weight"],
-                    "list": probes[:, 0].astype(np.int32),
-                    "probes": list(probes.astype(np.int32)),
+                    "cell": cell.astype(np.int32),
+                    "list": m["leader"][cell].astype(np.int32),
+                    "probes": [np.unique(m["leader"][v]).astype(np.int32) for v in visits],
                     "codes": [c.tobytes() for c in codes],
                     "vector": [v.tobytes() for v in x],
                 }
             )
 
     return classes.mapInPandas(
-        assign, "rep long, weight long, list int, probes array<int>, codes binary, vector binary"
+        assign, "rep long, weight long, cell int, list int, probes array<int>, codes binary, vector binary"
     )
 
 
@@ -129,48 +177,50 @@ def linked_blocks(model: dict, least: float):
         nothing = pd.DataFrame({"rep": [], "added": [], "root": []}).astype("int64")
         if not len(queries) or not len(members):
             return nothing
-        here = int(key[0])
         members = members.rename(columns=lambda c: c.removeprefix("m_"))
         x, y = (np.frombuffer(b"".join(f["vector"]), dtype=np.float64).reshape(len(f), -1) for f in (queries, members))
         codes = np.frombuffer(b"".join(members["codes"]), dtype=np.uint8).reshape(len(members), -1)
+        cells, cell = np.unique(members["cell"].to_numpy(), return_inverse=True)
         a, b = (f["rep"].to_numpy(dtype=np.int64) for f in (queries, members))
         wa, wb = (f["weight"].to_numpy(dtype=np.int64) for f in (queries, members))
-        home = queries["list"].to_numpy()
         # Members that do not visit a query's own list will not find it themselves.
+        homes, place = np.unique(queries["list"].to_numpy(), return_inverse=True)
         visits = [frozenset(p) for p in members["probes"]]
-        left, right = [], []
+        missed = np.array([[h not in v for v in visits] for h in homes.tolist()])
+        ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = np.arange(len(ids))
+        for_a, for_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
         for at in range(0, len(x), 256):
             part = x[at : at + 256]
-            near = np.repeat((part @ model["coarse"][here])[:, None], len(y), 1)
+            near = (part @ model["coarse"][cells].T)[:, cell]
             for s, book in enumerate(model["books"]):
                 table = part[:, model["bounds"][s] : model["bounds"][s + 1]] @ book.T
                 near += table[:, codes[:, s]]
-            i, j = np.nonzero(near >= least - MARGIN)
-            for cut in range(0, len(i), 65_536):
-                ii, jj = i[cut : cut + 65_536] + at, j[cut : cut + 65_536]
-                hit = (np.einsum("pd,pd->p", x[ii], y[jj]) >= least) & (a[ii] != b[jj])
-                left.append(ii[hit])
-                right.append(jj[hit])
-        i, j = np.concatenate(left), np.concatenate(right)
-        if not len(i):
-            return nothing
-        for_a = np.bincount(i, wb[j], len(a)).astype(np.int64)
-        homes, place = np.unique(home, return_inverse=True)
-        missed = np.array([[h not in v for v in visits] for h in homes.tolist()])
-        alone = missed[place[i], j]
-        for_b = np.bincount(j[alone], wa[i[alone]], len(b)).astype(np.int64)
-        ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        p, q = where[: len(a)][i], where[len(a) :][j]
-        root = np.arange(len(ids))
-        while True:
-            low = np.minimum(root[p], root[q])
-            nxt = root.copy()
-            np.minimum.at(nxt, p, low)
-            np.minimum.at(nxt, q, low)
-            nxt = nxt[nxt]
-            if (nxt == root).all():
-                break
-            root = nxt
+            likely = near >= least - MARGIN
+            if likely.mean() > DENSE:
+                i, j = np.nonzero(likely & (part @ y.T >= least))
+            else:
+                i, j = np.nonzero(likely)
+                hit = np.einsum("pd,pd->p", part[i], y[j]) >= least
+                i, j = i[hit], j[hit]
+            i = i + at
+            other = a[i] != b[j]
+            i, j = i[other], j[other]
+            if not len(i):
+                continue
+            for_a += np.bincount(i, wb[j], len(a)).astype(np.int64)
+            alone = missed[place[i], j]
+            for_b += np.bincount(j[alone], wa[i[alone]], len(b)).astype(np.int64)
+            p, q = where[: len(a)][i], where[len(a) :][j]
+            while True:
+                one, two = root[p], root[q]
+                if (one == two).all():
+                    break
+                low = np.minimum(one, two)
+                np.minimum.at(root, one, low)
+                np.minimum.at(root, two, low)
+                while (root[root] != root).any():
+                    root = root[root]
         out = pd.DataFrame({"rep": np.concatenate([a, b]), "added": np.concatenate([for_a, for_b]), "root": ids[root[where]]})
         return out[(out["added"] > 0) | (out["root"] != out["rep"])]
 
@@ -208,7 +258,7 @@ def class_links(index: DataFrame, model: dict, least: float) -> DataFrame:
             F.col("at").alias("at2"),
             F.col("qb").alias("qb2"),
             F.col("mb").alias("mb2"),
-            *[F.col(c).alias(f"m_{c}") for c in ("rep", "weight", "probes", "codes", "vector")],
+            *[F.col(c).alias(f"m_{c}") for c in ("rep", "weight", "cell", "probes", "codes", "vector")],
         )
     )
     shared = spark.sparkContext.broadcast(model)
@@ -246,8 +296,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         sample = classes.filter(drawn).limit(2 * wanted).select("rep", "embedding").toPandas().sort_values("rep")
         if not len(sample):
             sample = classes.limit(1).toPandas()
-        model = train(unit(list(sample["embedding"])), lists)
-        index = stored(indexed(classes, model), "index")
+        model = train(unit(list(sample["embedding"])), lists, least)
+        index = stored(indexed(classes, model, least), "index")
         found = stored(class_links(index, model, least), "links")
         label = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
         counted = found.groupBy("rep").agg(F.sum("added").alias("added"))
