@@ -6,6 +6,11 @@ source is above its cap. Every row is then taken a whole number of times, and on
 its seeded hash lies under its source's cut, which is found from two histograms of hash
 prefixes: rows are never sorted, ranked or gathered.
 
+The row at which a source passes its target is left out, and what is missing is filled from the
+rows behind it that are no longer than that, round by round. Where more than SHORT of the part
+asked still misses then, that row is taken after all and the rest is filled anew; a row longer
+than the part is taken alone if that is nearer. Without ``fill`` a source ends before that row.
+
 Nulls: a null source is a source of its own; a null size counts as 0. Sources of size 0 have
 target 0 and their rows are taken no time. Repeated rows share their hash and are taken
 alike. An empty table gives an empty result. Extra columns stay with the rows.
@@ -13,6 +18,8 @@ alike. An empty table gives an empty result. Extra columns stay with the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +30,7 @@ from tidemark.operators.ordering import ordered_positions
 
 # Hash bits of one histogram level; two levels tell 2^24 places apart.
 LEVEL_BITS = 12
+SHORT = 0.01
 
 
 def word_size(text: Column) -> Column:
@@ -70,9 +78,9 @@ def water_fill(sources: DataFrame, epochs: int = 3) -> DataFrame:
     return filled.withColumn("target", target).drop("cap", "clamped")
 
 
-def _level(hashed: Column, level: int) -> Column:
-    """The ``level``-th group of bits of a 32-bit hash."""
-    return F.shiftright(hashed, 32 - LEVEL_BITS * (level + 1)).bitwiseAND((1 << LEVEL_BITS) - 1)
+def _level(place: Column, level: int) -> Column:
+    """The ``level``-th group of bits of a place."""
+    return F.shiftright(place, LEVEL_BITS * (1 - level)).bitwiseAND((1 << LEVEL_BITS) - 1)
 
 
 def _edge(rows: DataFrame, bits: Column, wanted: str, out: str) -> DataFrame:
@@ -84,11 +92,11 @@ def _edge(rows: DataFrame, bits: Column, wanted: str, out: str) -> DataFrame:
     cells = cells.withColumn("_upto", F.sum("_cell").over(upto))
     holds = (F.col("_upto") > F.col("_wanted")) & (F.col("_upto") - F.col("_cell") <= F.col("_wanted"))
     rest = (F.col("_wanted") - (F.col("_upto") - F.col("_cell"))).alias("_rest")
-    return cells.filter(holds & (F.col("_cell") > 0)).select("_source", out, rest)
+    return cells.filter(holds & (F.col("_cell") > 0)).select("_source", out, rest, "_cell")
 
 
-def plan_of(rows: DataFrame, targets: DataFrame, seed: int | str) -> DataFrame:
-    """Per source: size, target, whole repetitions, and the hash cut under which one more is taken.
+def plan_of(rows: DataFrame, targets: DataFrame, seed: int | str, fill: bool = True) -> DataFrame:
+    """Per source: size, target, whole repetitions, and the hash ranges in which one more is taken.
 
     ``rows`` have ``key``, ``source`` and ``size``. The histograms have 2^12 cells a source,
     whatever the number of rows; a window over the cells of one source is bounded by that.
@@ -98,27 +106,68 @@ def plan_of(rows: DataFrame, targets: DataFrame, seed: int | str) -> DataFrame:
         F.struct("source").alias("_source"), "source_size", "target", F.floor(times).cast("long").alias("_whole")
     )
     facts = facts.withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
-    hashed = rows.select(F.struct("source").alias("_source"), F.col("size").alias("_size"), drawn(F.col("key"), seed).alias("_hash"))
-    joined = hashed.join(facts, "_source")
-    first = _edge(joined, _level(F.col("_hash"), 0), "_part", "_b0")
-    inside = joined.join(first, "_source").filter(_level(F.col("_hash"), 0) == F.col("_b0"))
-    second = _edge(inside, _level(F.col("_hash"), 1), "_rest", "_b1").select("_source", "_b1")
-    cut = F.col("_b0") * (1 << LEVEL_BITS) + F.coalesce("_b1", F.lit(0))
-    cuts = first.join(second, "_source", "left").select("_source", cut.alias("_cut"))
-    return stored(facts.join(cuts, "_source", "left").drop("_part"), "mix")
+    hashed = rows.select(F.struct("source").alias("_source"), F.col("size").alias("_size"), _place(F.col("key"), seed).alias("_place"))
+    start = {"_from": F.lit(0), "_most": F.lit(float("inf")), "_ranges": F.expr("CAST(array() AS ARRAY<STRUCT<_from: INT, _upto: INT, _most: DOUBLE>>)")}
+    start["_long"] = F.expr("CAST(NULL AS STRUCT<place: INT, size: BIGINT>)")
+    asked = facts.select("_source", "_part", F.col("_part").alias("_gap"), F.expr("CAST(array() AS ARRAY<INT>)").alias("_also"))
+    asked, done = asked.withColumns(start), []
+    while True:
+        found = stored(_round(hashed, asked, fill), "mix_round")
+        done.append(found.filter("_next = 'done'").select("_source", "_ranges", "_also"))
+        behind = found.filter("_next = 'behind'").withColumns({"_from": F.col("_cut") + 1, "_gap": F.col("_left"), "_most": F.col("_left")})
+        anew = found.filter("_next = 'anew'").withColumns({"_gap": F.col("_part"), **start})
+        asked = behind.unionByName(anew).select(asked.columns)
+        if not fill or asked.isEmpty():
+            break
+    return stored(facts.join(reduce(DataFrame.unionByName, done), "_source", "left").drop("_part"), "mix")
+
+
+def _round(hashed: DataFrame, asked: DataFrame, fill: bool) -> DataFrame:
+    """``asked`` with one more range a source, and whether it goes on behind it, anew, or is done."""
+    fitting = hashed.join(asked, "_source").filter("_place >= _from AND _size <= _most AND NOT array_contains(_also, _place)")
+    first = _edge(fitting, _level(F.col("_place"), 0), "_gap", "_b0").drop("_cell")
+    inside = fitting.join(first, "_source").filter(_level(F.col("_place"), 0) == F.col("_b0"))
+    second = _edge(inside, _level(F.col("_place"), 1), "_rest", "_b1").withColumnRenamed("_rest", "_left")
+    cut = (F.col("_b0") * (1 << LEVEL_BITS) + F.coalesce("_b1", F.lit(0))).cast("int")
+    crossed = first.join(second, "_source", "left").select("_source", cut.alias("_cut"), "_left", "_cell")
+    sums = fitting.groupBy("_source").agg(F.sum("_size").alias("_sum"))
+    found = asked.join(crossed, "_source", "left").join(sums, "_source", "left")
+    # Where no cell passes the target, all rows fit.
+    upto = F.coalesce("_cut", F.lit(1 << 2 * LEVEL_BITS))
+    short = F.when(F.col("_cut").isNull(), F.col("_gap") - F.coalesce("_sum", F.lit(0))).otherwise(0.0)
+    over = F.col("_long")["size"] - F.col("_part")
+    swap = F.lit(fill) & F.coalesce((short >= 1) & (short > F.col("_part") * SHORT) & (over < short), F.lit(False))
+    on = F.lit(fill) & F.coalesce(F.col("_left") >= 1, F.lit(False))
+    found = found.withColumns(
+        {
+            "_next": F.when(swap & (over <= 0), "anew").when(on, "behind").otherwise("done"),
+            "_ranges": F.when(swap, F.slice("_ranges", 1, 0)).otherwise(
+                F.array_append("_ranges", F.struct(F.col("_from"), upto.alias("_upto"), F.col("_most").cast("double").alias("_most")))
+            ),
+            "_also": F.when(swap, F.array_append("_also", F.col("_long")["place"])).otherwise(F.col("_also")),
+            "_part": F.when(swap, -over).otherwise(F.col("_part")),
+            "_long": F.coalesce("_long", F.struct(F.col("_cut").alias("place"), F.col("_cell").alias("size"))),
+        }
+    )
+    return found.drop("_sum")
 
 
 def drawn(key: Column, seed: int | str) -> Column:
     return seeded_hash(seed, F.coalesce(key.cast("string"), F.lit("")))
 
 
+def _place(key: Column, seed: int | str) -> Column:
+    """The leading bits of a row's hash that the histograms tell apart."""
+    return F.shiftright(drawn(key, seed), 32 - 2 * LEVEL_BITS).cast("int")
+
+
 def taken(rows: DataFrame, plan: DataFrame, seed: int | str) -> DataFrame:
     """``rows`` with ``source_size``, ``target`` and ``copies``; the plan has one row a source."""
-    marked = rows.withColumns({"_source": F.struct("source"), "_hash": drawn(F.col("key"), seed)}).join(plan, "_source", "left")
-    place = F.shiftright("_hash", 32 - 2 * LEVEL_BITS)
-    extra = (F.col("_cut").isNotNull() & (place < F.col("_cut"))).cast("long")
+    marked = rows.withColumns({"_source": F.struct("source"), "_place": _place(F.col("key"), seed)}).join(plan, "_source", "left")
+    within = lambda r: (F.col("_place") >= r["_from"]) & (F.col("_place") < r["_upto"]) & (F.col("size") <= r["_most"])
+    extra = F.coalesce(F.exists("_ranges", within) | F.array_contains("_also", F.col("_place")), F.lit(False)).cast("long")
     copies = F.when(F.col("size") > 0, F.coalesce("_whole", F.lit(0)) + extra).otherwise(0)
-    return marked.withColumn("copies", copies.cast("long")).drop("_source", "_hash", "_whole", "_cut")
+    return marked.withColumn("copies", copies.cast("long")).drop("_source", "_place", "_whole", "_ranges", "_also")
 
 
 def source_targets(rows: DataFrame, epochs: int = 3) -> DataFrame:
@@ -126,7 +175,7 @@ def source_targets(rows: DataFrame, epochs: int = 3) -> DataFrame:
     return water_fill(cyclic_weights(sizes), epochs)
 
 
-def mixture(docs: DataFrame, epochs: int = 3, seed: int | str = 1) -> DataFrame:
+def mixture(docs: DataFrame, epochs: int = 3, seed: int | str = 1, fill: bool = True) -> DataFrame:
     """The plan of a mix: ``key``, ``source``, ``size``, ``source_size``, ``target``, ``copies``."""
     rows = stored(
         docs.select(
@@ -134,7 +183,7 @@ def mixture(docs: DataFrame, epochs: int = 3, seed: int | str = 1) -> DataFrame:
         ),
         "sizes",
     )
-    return taken(rows, plan_of(rows, source_targets(rows, epochs), seed), seed)
+    return taken(rows, plan_of(rows, source_targets(rows, epochs), seed, fill), seed)
 
 
 def mixed(docs: DataFrame, epochs: int = 3, seed: int | str = 1) -> DataFrame:
