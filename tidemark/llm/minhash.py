@@ -7,8 +7,8 @@ texts' whole shingle sets confirm each link.
 Texts of equal words are one class from the start, so copies never meet each other. Of a
 sketch only the rarest values enter the lists: two texts whose sketches share SHARED of their
 values always meet in one of them, while values that very many texts hold stay out. At k = 64
-a pair at 0.8 shares less, or is estimated lower, with a probability of about 3e-5 if one text
-contains the other and far below otherwise; at 0.85 it is under 1e-8.
+a pair of long texts at exactly 0.8 is estimated lower with a probability of 1.3e-4, whether or
+not one contains the other (38 or fewer of 64 values shared); at 0.85 with one of 6e-7.
 
 Members of a list are first compared with one pivot each; members that this joins need no
 comparison with each other any more. What a list still holds of different components is then
