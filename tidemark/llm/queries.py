@@ -206,6 +206,93 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+# The rules of the contract, in its order.
+URL_RULES = [
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.url_graph import judged, rule_table
+
+    return judged(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+def url_filter_sql() -> str:
+    """The rules, then one table a round of the propagation."""
+    from tidemark.llm.url_graph import DAMPING, LINK, MARGIN, NOISE, ROUNDS
+
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rules = ", ".join(
+        f"({quoted(r.partition('/')[0])}, {quoted('/' + r.partition('/')[2])}, {quoted(r)}, {quoted(v)})"
+        for v, r in URL_RULES
+    )
+    lowered = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rounds = "".join(
+        f"""), r{i} AS MATERIALIZED (
+  SELECT r.host, r.allowed, r.blocked, r.out_links, r.in_links,
+         r.allowed + coalesce(f.got, 0) AS trust, r.blocked + coalesce(b.got, 0) AS distrust
+  FROM r{i - 1} r
+  LEFT JOIN (SELECT l.dst AS host, sum({DAMPING} * s.trust / s.out_links) AS got
+             FROM links l JOIN r{i - 1} s ON s.host = l.src GROUP BY l.dst) f ON f.host = r.host
+  LEFT JOIN (SELECT l.src AS host, sum({DAMPING} * s.distrust / s.in_links) AS got
+             FROM links l JOIN r{i - 1} s ON s.host = l.dst GROUP BY l.src) b ON b.host = r.host
+"""
+        for i in range(1, ROUNDS + 1)
+    )
+    return f"""
+WITH rules(rule_host, rule_path, rule, judgement) AS (VALUES {rules}
+), cut AS (
+  SELECT page_id, html, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+                             THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), rows_ AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, page_id, html, {lowered.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), links AS MATERIALIZED (
+  SELECT DISTINCT src, dst FROM (
+    SELECT host AS src, {lowered.format("unnest(regexp_extract_all(html, " + quoted(LINK) + ", 1))")} AS dst FROM rows_
+  ) WHERE src <> dst AND src <> ''
+), ruled AS MATERIALIZED (
+  SELECT p.place, any_value(p.page_id) AS page_id, any_value(p.host) AS host, any_value(p.path) AS path,
+         arg_min(r.rule, (-length(r.rule), CASE r.judgement WHEN 'block' THEN 0 ELSE 1 END, r.rule)) AS rule,
+         arg_min(r.judgement, (-length(r.rule), CASE r.judgement WHEN 'block' THEN 0 ELSE 1 END, r.rule)) AS judgement
+  FROM rows_ p LEFT JOIN rules r
+    ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+  GROUP BY p.place
+), seen AS (
+  SELECT host, avg(CASE WHEN judgement = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed,
+         avg(CASE WHEN judgement = 'block' THEN 1.0 ELSE 0.0 END) AS blocked
+  FROM ruled GROUP BY host
+), met AS (
+  SELECT DISTINCT dst AS host FROM links WHERE dst NOT IN (SELECT host FROM seen)
+), unseen AS (
+  SELECT m.host,
+         arg_min(r.judgement, (-length(r.rule), CASE r.judgement WHEN 'block' THEN 0 ELSE 1 END, r.rule)) AS judgement
+  FROM met m LEFT JOIN rules r
+    ON (m.host = r.rule_host OR ends_with(m.host, '.' || r.rule_host)) AND starts_with('/', r.rule_path)
+  GROUP BY m.host
+), seeds AS (
+  SELECT * FROM seen UNION ALL
+  SELECT host, CASE WHEN judgement = 'allow' THEN 1.0 ELSE 0.0 END, CASE WHEN judgement = 'block' THEN 1.0 ELSE 0.0 END
+  FROM unseen
+), r0 AS MATERIALIZED (
+  SELECT s.host, CAST(s.allowed AS DOUBLE) AS allowed, CAST(s.blocked AS DOUBLE) AS blocked,
+         o.n AS out_links, i.n AS in_links,
+         CAST(s.allowed AS DOUBLE) AS trust, CAST(s.blocked AS DOUBLE) AS distrust
+  FROM seeds s LEFT JOIN (SELECT src AS host, count(*) AS n FROM links GROUP BY src) o ON o.host = s.host
+  LEFT JOIN (SELECT dst AS host, count(*) AS n FROM links GROUP BY dst) i ON i.host = s.host
+{rounds})
+SELECT p.page_id, p.host, p.path, p.rule,
+       coalesce(p.judgement, CASE WHEN r.distrust - r.trust > {MARGIN} + {NOISE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled p JOIN r{ROUNDS} r ON r.host = p.host
+"""
+
+
 BOUND = {
     "op1_source_mixing": (op1_source_mixing, OP1_SQL),
     "op2_fingerprints": (op2_fingerprints, None),
@@ -217,4 +304,5 @@ BOUND = {
     "op6_near_vectors": (op6_near_vectors, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_bpe_coding": (op8_bpe_coding, None),
+    "op13_url_filter": (op13_url_filter, url_filter_sql()),
 }
