@@ -231,4 +231,4 @@ def test_pipeline_drops_copies_and_keeps_clean_rows(spark):
 
 
 def test_every_operator_is_bound():
-    assert {int(re.match(r"op(\d+)_", n).group(1)) for n in BOUND} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n).group(1)) for n in BOUND} == set(range(1, 14))

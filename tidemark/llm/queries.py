@@ -206,6 +206,88 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ranked_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS ts
+  FROM documents
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term
+  FROM benchmark
+), totals AS (SELECT count(*) FILTER (len(ts) > 0) AS documents, CAST(sum(len(ts)) AS BIGINT) AS words FROM d
+), tf AS (
+  SELECT place, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT place, doc_id, len(ts) AS n, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY place, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(documents) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, totals GROUP BY term
+), s AS (
+  SELECT q.item_id, tf.place, any_value(tf.doc_id) AS doc_id,
+         CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (100 - 50 + (50 * tf.n * totals.documents) // totals.words)))) AS BIGINT) AS score
+  FROM wanted q JOIN tf ON tf.term = q.term JOIN w ON w.term = q.term, totals
+  GROUP BY q.item_id, tf.place
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM d
+), u AS MATERIALIZED (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM p) GROUP BY lang, w
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM u GROUP BY lang
+), b AS MATERIALIZED (
+  SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, count(*) AS f
+  FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM p) GROUP BY ALL
+), t AS MATERIALIZED (
+  SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3, count(*) AS f
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM p) GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, w1, w2, max(f) AS f
+  FROM (SELECT lang, w1, w2, f FROM t UNION ALL SELECT lang, w2, w3, f FROM t) GROUP BY lang, w1, w2
+), cuts AS (
+  SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM b JOIN u x ON x.lang = b.lang AND x.w = b.w1 JOIN u y ON y.lang = b.lang AND y.w = b.w2
+  LEFT JOIN longer g ON g.lang = b.lang AND g.w1 = b.w1 AND g.w2 = b.w2
+  WHERE b.f >= 10 AND NOT coalesce(100 * g.f >= 50 * b.f, false)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, x.f, y.f
+  FROM t JOIN u x ON x.lang = t.lang AND x.w = t.w1 JOIN b y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f
+  FROM t JOIN b x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN u y ON y.lang = t.lang AND y.w = t.w3
+), scored AS (
+  SELECT *, CAST(1000000 * a::HUGEINT * a::HUGEINT // (l::HUGEINT * r::HUGEINT) AS BIGINT) AS score FROM cuts
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score
+FROM ranked r JOIN n ON n.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
 # The rules of the contract, in its order.
 URL_RULES = [
     ("block", "net/"),
@@ -304,5 +386,7 @@ BOUND = {
     "op6_near_vectors": (op6_near_vectors, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_bpe_coding": (op8_bpe_coding, None),
+    "op11_ranked_search": (op11_ranked_search, OP11_SQL),
+    "op12_phrases": (op12_phrases, OP12_SQL),
     "op13_url_filter": (op13_url_filter, url_filter_sql()),
 }
