@@ -248,11 +248,11 @@ def phrase_rows(seed):
 
 
 @pytest.mark.parametrize(
-    ("top", "frontier", "known", "floors"),
-    [(2000, 16_384, 1 << 18, (100_000, 5_000, 0)), (15, 6, 20, (600_000, 200_000, 0)), (25, 40, 1, (50_000, 0))],
+    ("top", "known", "slots", "floors"),
+    [(2000, 1 << 20, 23, (50_000, 2_000, 0)), (15, 20, 6, (600_000, 200_000, 0)), (25, 0, 12, (50_000, 0))],
 )
-def test_phrases_against_all_phrases(spark, monkeypatch, top, frontier, known, floors):
-    for name, value in {"FRONTIER": frontier, "KNOWN_WORDS": known, "FLOORS": floors, "CHARS": 900, "LOCAL": 500}.items():
+def test_phrases_against_all_phrases(spark, monkeypatch, top, known, slots, floors):
+    for name, value in {"KNOWN": known, "SLOT_BITS": slots, "FLOORS": floors, "CHARS": 900, "LOCAL": 500}.items():
         monkeypatch.setattr(phrases, name, value)
     rows = phrase_rows(top)
     frame = spark.createDataFrame([(*r, "x", 7) for r in rows], "lang string, text string, phrase string, a int").repartition(3)

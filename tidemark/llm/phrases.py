@@ -1,24 +1,22 @@
 """Phrases of two and three words that belong together, per language, by best-first growth.
 
-A phrase scores the lowest ``a^2 / (l · r)`` of its cuts. Its count ``a`` is at most the smallest
-count of its words, and ``r`` of a cut after the first word is at least ``a``, so
-
-    two words:    score <= min(f1, f2) / max(f1, f2)
-    three words:  score <= min(f1, f2, f3) / max(f1, f3), and with its own count a / max(f1, f3).
-
-Words are counted first. Growth then goes from the best bounds downwards: phrases whose bound
-reaches a floor are counted (``grown``); the best of them by bound and count, ``FRONTIER`` a
-language at a time, are expanded: inner pairs of three words give the exact cuts, the words on
-either side of a pair tell which longer phrase drops it. A language is settled when its last
-wanted survivor, ties included, is better than every bound that is left; otherwise the next of
-the frontier are expanded, and after them the floor falls, finally to zero: then every phrase
-has been counted. The floors change which phrases are counted when, never the result.
-
-Texts are read again for every floor and expansion, and only counts are shuffled, summed in each
-task first. What is broadcast: the ``KNOWN_WORDS`` commonest words at most, for bounds (a word
-that is not among them has fewer occurrences than those), and expansions of ``PHRASES_A_SCAN``
-phrases at most. A task holds the words of about ``CHARS`` characters, or of the longest stretch
-without a separator.
+A phrase scores the lowest ``a^2 / (l · r)`` of its cuts. Words are counted first; a pair's bound
+is that of its rarer word, which never rules a pair out before the last, so all pairs of words
+that are frequent enough are counted. They are the frontier. What grows from a pair of count
+``b`` cannot score above ``b / f`` with the count ``f`` of its outer word: as the beginning of
+three words that is the first, as their end the last.
+
+Growth goes from the best bounds downwards. At each floor, the three-word phrases both of whose
+pairs have bounds at or above it are counted, and those around pairs that score as much
+themselves, as these may drop them. A language is settled when its last wanted survivor, ties
+included, is at or above the floor, for everything not counted yet is below; else the floor
+falls, finally to zero. The floors change which phrases are counted when, never the result.
+
+Texts are read again for every floor; only counts are shuffled, summed in each task first. Phrases
+of the ``KNOWN`` commonest words travel as one number, all others as text. What is broadcast has
+a fixed size: those words, and a table of ``SLOTS`` hashed marks of pairs. A mark that two
+pairs share lets more be counted than needed. A task holds the words of about ``CHARS``
+characters, or of the longest stretch without a separator.
 """
 
 from __future__ import annotations
@@ -28,23 +26,27 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, empty_if_null, share, stored
 
-FLOORS = (100_000, 5_000, 0)
-FRONTIER = 16_384
-KNOWN_WORDS = 1 << 18
-PHRASES_A_SCAN = 1 << 18
-CHARS = 1 << 22
-# Entries of a task's local tables; beyond them it hands on what it has counted.
+FLOORS = (50_000, 2_000, 0)
+KNOWN_BITS = 20
+KNOWN = 1 << KNOWN_BITS
+SLOT_BITS = 23
+CHARS = 1 << 23
+# Words that a task counts before it hands them on.
 LOCAL = 1 << 20
 SALTS = 64
 FULL = 1_000_000
 UNKNOWN = "und"
+# Marks of a pair: frequent; scores at the floor; its phrase may, as a beginning, as an end.
+FREQUENT, SCORES, BEGINS, ENDS = 1, 2, 4, 8
 
 _LOWER = {b: b + 32 for b in range(65, 91)}
 _BREAKS = {b: 10 for b in (*b".,;:!?", *range(10, 14))}
@@ -86,115 +88,134 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), empty_if_null(F.col("text")).alias("text"))
 
 
-def _counts(texts: DataFrame, scan) -> DataFrame:
-    """``lang``, ``phrase``, ``a`` over all texts; ``scan(lang, words)`` yields (phrases, counts)."""
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """``lang``, ``word``, ``f`` over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}
 
         def handed(lang: str) -> pa.RecordBatch:
             counted = totals.pop(lang)
-            phrases = pa.array(list(counted.keys()), pa.binary()).cast(pa.string())
-            columns = [pa.array([lang] * len(counted), pa.string()), phrases, pa.array(list(counted.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
+            counted.pop(b"", None)
+            counted.pop(BREAK, None)
+            words = pa.array(list(counted.keys()), pa.binary()).cast(pa.string())
+            columns = [pa.array([lang] * len(counted), pa.string()), words, pa.array(list(counted.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "f"])
 
         for lang, words in _stretches(batches):
-            counted = totals.setdefault(lang, Counter())
-            scan(lang, words, counted)
+            totals.setdefault(lang, Counter()).update(words)
             if sum(map(len, totals.values())) > LOCAL:
                 for held in list(totals):
                     yield handed(held)
         for held in list(totals):
             yield handed(held)
 
-    rows = texts.mapInArrow(run, "lang string, phrase string, a long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-
-
-def _count_words(lang: str, words: list[bytes], counted: Counter) -> None:
-    found = Counter(words)
-    found.pop(b"", None)
-    found.pop(BREAK, None)
-    counted.update(found)
-
-
-def _rows_of(codes: np.ndarray, names: list[bytes], counted: Counter) -> None:
-    """Add the phrases whose words are the rows of ``codes``."""
-    if not len(codes):
-        return
-    pairs, back = np.unique((codes[:, 0] << 32) | codes[:, 1], return_inverse=True)
-    if codes.shape[1] == 3:
-        key, times = np.unique((back.astype(np.int64) << 32) | codes[:, 2], return_counts=True)
-        pair, third = pairs[key >> 32], key & 0xFFFFFFFF
-        found = zip(pair >> 32, pair & 0xFFFFFFFF, third)
-    else:
-        times = np.bincount(back, minlength=len(pairs))
-        found = zip(pairs >> 32, pairs & 0xFFFFFFFF)
-    for ids, n in zip(found, times.tolist()):
-        counted[b" ".join([names[i] for i in ids])] += n
-
-
-def _grower(state: dict):
-    """Counts the phrases of two and three words whose bound reaches the language's floor."""
-
-    def scan(lang: str, words: list[bytes], counted: Counter) -> None:
-        floor = state["floors"].get(lang)
-        if floor is None:
-            return
-        least, known, cap = state["least"], state["known"].get(lang, {}), state["cap"]
+    rows = texts.mapInArrow(run, "lang string, word string, f long")
+    return rows.groupBy("lang", "word").agg(F.sum("f").alias("f"))
+
+
+def _slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where the mark of a pair lies, from the hashes of its words."""
+    mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(0x632BE59BD9B4E019))
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _hash(lang: str, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word)
+
+
+class Stretch:
+    """Words of a stretch as codes, with what is known of each."""
+
+    def __init__(self, lang: str, words: list[bytes], state: dict):
+        self.lang = lang
         # Codes: -2 nothing, -1 a break, else the place in the list of distinct words.
         place = {b"": -2, BREAK: -1}
-        names = []
+        self.names = names = []
         for w in set(words):
             if w not in place:
                 place[w] = len(names)
                 names.append(w)
         codes = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
-        codes = codes[codes != -2]
-        # A word that is not known occurs ``cap`` times at most and once at least.
-        of = np.array([known.get(w, 0) for w in names] + [0], dtype=np.int64)
-        most, fewest = np.where(of > 0, of, cap).astype(np.float64), np.maximum(of, 1).astype(np.float64)
-        most[-1] = 0
-        a, b = codes[:-1], codes[1:]
-        top = np.minimum(most[a], most[b])
-        _rows_of(_kept(top, np.maximum(fewest[a], fewest[b]), floor, least, (a, b)), names, counted)
-        a, b, c = codes[:-2], codes[1:-1], codes[2:]
-        top = np.minimum(np.minimum(most[a], most[b]), most[c])
-        _rows_of(_kept(top, np.maximum(fewest[a], fewest[c]), floor, least, (a, b, c)), names, counted)
-
-    return scan
-
-
-def _kept(top: np.ndarray, under: np.ndarray, floor: int, least: int, codes: tuple) -> np.ndarray:
-    keep = (top >= least) & (top * FULL >= floor * under)
-    return np.stack([c[keep] for c in codes], axis=1)
-
-
-def _expander(state: dict):
-    """Counts inner pairs that are asked for, and three words around the pairs of the frontier."""
-
-    def scan(lang: str, words: list[bytes], counted: Counter) -> None:
-        inner, around = state["inner"].get(lang), state["around"].get(lang)
-        if not inner and not around:
-            return
-        inner, around = inner or (), around or ()
-        met = state["words"][lang]
-        words = [w for w in words if w]
-        for i in [i for i, w in enumerate(words) if w in met]:
-            if i + 1 >= len(words) or words[i + 1] == BREAK:
-                continue
-            pair = words[i] + b" " + words[i + 1]
-            if pair in inner:
-                counted[pair] += 1
-            if pair in around:
-                if i and words[i - 1] != BREAK:
-                    counted[words[i - 1] + b" " + pair] += 1
-                # Two pairs of the frontier side by side are one phrase of three words: count it once.
-                after = words[i + 2] if i + 2 < len(words) else BREAK
-                if after != BREAK and words[i + 1] + b" " + after not in around:
-                    counted[pair + b" " + after] += 1
-
-    return scan
+        self.codes = codes[codes != -2]
+        known = state["known"].get(lang, {})
+        # The last entry stands for a break.
+        self.ids = np.array([known.get(w, -1) for w in names] + [-1], dtype=np.int64)
+        usable = (self.ids >= 0) | (state["cap"] >= state["least"])
+        usable[-1] = False
+        self.usable = usable
+
+    def rows(self, keep: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+        """Counts of the phrases of ``width`` words that begin at the places in ``keep``."""
+        parts = [self.codes[keep + i] for i in range(width)]
+        ids = [self.ids[c] for c in parts]
+        known = np.logical_and.reduce([i >= 0 for i in ids])
+        key = np.zeros(int(known.sum()), dtype=np.int64)
+        for i in ids:
+            key = (key << KNOWN_BITS) | i[known]
+        key, times = np.unique(key, return_counts=True)
+        yield self.batch(pa.nulls(len(key), pa.string()), pa.array(key), pa.nulls(len(key), pa.string()), times)
+        if not known.all():
+            # Places of codes are below 2^21 or so: three of them fit one number as well.
+            bits = max(1, len(self.names).bit_length())
+            key = np.zeros(int((~known).sum()), dtype=object if bits * width > 62 else np.int64)
+            for c in parts:
+                key = (key << bits) | c[~known]
+            key, times = np.unique(key, return_counts=True)
+            mask = (1 << bits) - 1
+            words = [[self.names[(k >> (bits * i)) & mask] for i in reversed(range(width))] for k in key.tolist()]
+            phrases = pa.array([b" ".join(w) for w in words], pa.binary()).cast(pa.string())
+            yield self.batch(pa.array([self.lang] * len(key), pa.string()), pa.nulls(len(key), pa.int64()), phrases, times)
+
+    @staticmethod
+    def batch(lang, key, phrase, times) -> pa.RecordBatch:
+        columns = [lang, key, phrase, pa.array(times, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "key", "phrase", "a"])
+
+
+def _pairs_in(stretch: Stretch, state: dict) -> np.ndarray:
+    codes, usable = stretch.codes, stretch.usable
+    return np.flatnonzero(usable[codes[:-1]] & usable[codes[1:]])
+
+
+def _triples_in(stretch: Stretch, state: dict) -> np.ndarray:
+    """Where three words begin whose pairs' marks allow them."""
+    codes = stretch.codes
+    of = np.array([_hash(stretch.lang, w) for w in stretch.names] + [0], dtype=np.uint64)
+    marks = state["marks"][_slots(of[codes[:-1]], of[codes[1:]])]
+    marks[(codes[:-1] < 0) | (codes[1:] < 0)] = 0
+    one, two = marks[:-1], marks[1:]
+    scores = ((one & SCORES > 0) & (two & FREQUENT > 0)) | ((one & FREQUENT > 0) & (two & SCORES > 0))
+    return np.flatnonzero(scores | ((one & BEGINS > 0) & (two & ENDS > 0)))
+
+
+def _phrase_counts(texts: DataFrame, state: dict, width: int) -> DataFrame:
+    """``lang``, ``phrase``, ``a`` of the phrases of ``width`` words that occur ``least`` times."""
+    shared = share(texts, state)
+    choose = _pairs_in if width == 2 else _triples_in
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words in _stretches(batches):
+            stretch = Stretch(lang, words, shared.value)
+            if len(stretch.codes) >= width:
+                yield from stretch.rows(choose(stretch, shared.value), width)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [(lang, w) for lang, ws in shared.value["known"].items() for w in ws]
+        mask = (1 << KNOWN_BITS) - 1
+        for batch in batches:
+            langs, keys, phrases = (batch.column(i).to_pylist() for i in range(3))
+            for row, key in enumerate(keys):
+                if key is not None:
+                    words = [names[(key >> (KNOWN_BITS * i)) & mask] for i in reversed(range(width))]
+                    langs[row], phrases[row] = words[0][0], b" ".join([w for _, w in words]).decode()
+            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
+
+    rows = texts.mapInArrow(run, "lang string, key long, phrase string, a long")
+    sums = rows.groupBy("lang", "key", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= state["least"])
+    return sums.mapInArrow(named, "lang string, phrase string, a long")
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -205,14 +226,14 @@ def _score(a: str, left: str, right: str) -> Column:
 
 
 def _known(words: DataFrame, least: int) -> tuple[int, int]:
-    """From which count on words are known (``KNOWN_WORDS`` at most), and the largest count below."""
+    """From which count on words are known (``KNOWN`` at most), and the largest count below."""
     bucket = F.floor(4 * F.log2(F.col("f"))).alias("bucket")
     counts = words.filter(F.col("f") >= least).groupBy(bucket)
     rows = counts.agg(F.count(F.lit(1)).alias("words"), F.min("f").alias("low"), F.max("f").alias("high")).collect()
     seen, low = 0, math.inf
     for r in sorted(rows, key=lambda r: -r.bucket):
         seen += r.words
-        if seen > KNOWN_WORDS:
+        if seen > KNOWN:
             return (low if low < math.inf else r.high + 1), r.high
         low = r.low
     return least, least - 1
@@ -225,83 +246,61 @@ def _with_count(rows: DataFrame, word: Column, words: DataFrame, known: int, lea
     it has occurrences, so no key of the shuffled join is hot.
     """
     rows = rows.withColumn("_word", word)
-    usual = words.filter(F.col("f") >= known).select("lang", F.col("phrase").alias("_word"), F.col("f").alias("_usual"))
-    rare = words.filter((F.col("f") < known) & (F.col("f") >= least))
-    out = rows.join(F.broadcast(usual), ["lang", "_word"], "left")
+    counts = words.select("lang", F.col("word").alias("_word"), F.col("f").alias(name))
+    out = rows.join(F.broadcast(counts.filter(F.col(name) >= known)), ["lang", "_word"], "left")
     if known > least:
-        rare = rare.select("lang", F.col("phrase").alias("_word"), F.col("f").alias("_rare"))
-        # Rows of known words go round the shuffle's key.
-        met = out.filter("_usual IS NOT NULL").withColumn("_rare", F.lit(None).cast("long"))
-        out = met.unionByName(out.filter("_usual IS NULL").join(rare, ["lang", "_word"], "left"))
-        out = out.withColumn("_usual", F.coalesce("_usual", "_rare")).drop("_rare")
-    return out.withColumnRenamed("_usual", name).drop("_word")
+        rest = counts.filter((F.col(name) < known) & (F.col(name) >= least))
+        unknown = out.filter(F.col(name).isNull()).drop(name)
+        out = out.filter(F.col(name).isNotNull()).unionByName(unknown.join(rest, ["lang", "_word"]))
+    return out.drop("_word")
 
 
-def _best(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+def _best(rows: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` rows of every language, with ``rank``; chosen in parts first."""
+    order = [F.col("score").desc(), F.col("a").desc(), "phrase"]
     parts = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
-    few = rows.withColumn("rank", F.row_number().over(parts)).filter(F.col("rank") <= limit)
+    chosen = rows.withColumn("rank", F.row_number().over(parts)).filter(F.col("rank") <= limit)
     whole = W.partitionBy("lang").orderBy(*order)
-    return few.withColumn("rank", F.row_number().over(whole).cast("long")).filter(F.col("rank") <= limit)
-
-
-def _grown(texts: DataFrame, words: DataFrame, known: tuple[int, int], lists: dict, floors: dict, least: int) -> DataFrame:
-    """``lang``, ``phrase``, ``a``, ``bound``, ``l``, ``r``: counted phrases at or above the floors.
-
-    For two words ``bound`` is the score; ``l`` and ``r`` are the counts of first and last word.
-    """
-    state = {"floors": floors, "known": lists, "cap": known[1], "least": least}
-    shared = share(texts, state)
-    counted = _counts(texts, lambda *args: _grower(shared.value)(*args)).filter(F.col("a") >= least)
-    parts = F.split("phrase", " ")
-    rows = counted.withColumn("k", F.size(parts))
-    rows = _with_count(rows, F.get(parts, F.lit(0)), words, known[0], least, "l")
-    rows = _with_count(rows, F.get(parts, F.col("k") - 1), words, known[0], least, "r")
-    bound = F.when(F.col("k") == 2, _score("a", "l", "r")).otherwise(
-        F.expr(f"CAST(CAST({FULL} AS DECIMAL(7,0)) * CAST(a AS DECIMAL(15,0)) div greatest(l, r) AS BIGINT)")
-    )
-    floor = F.coalesce(*[F.when(F.col("lang") == v, f) for v, f in floors.items()])
-    return stored(rows.withColumn("bound", bound).filter(F.col("bound") >= floor), "grown")
-
-
-def _expanded(texts: DataFrame, chosen: DataFrame, least: int, drop: int) -> DataFrame:
-    """``chosen`` phrases with exact ``l``, ``r``, ``score`` and whether a longer one drops them."""
-    around, inner, met = {}, {}, {}
-    for r in chosen.select("lang", "phrase", "k").collect():
-        ws = r.phrase.encode().split(b" ")
-        pairs = [b" ".join(ws[i : i + 2]) for i in range(r.k - 1)]
-        (around if r.k == 2 else inner).setdefault(r.lang, set()).update(pairs)
-        met.setdefault(r.lang, set()).update(ws[: r.k - 1])
-    shared = share(texts, {"around": around, "inner": inner, "words": met})
-    texts = texts.filter(F.col("lang").isin(sorted(met)))
-    counted = stored(_counts(texts, lambda *args: _expander(shared.value)(*args)), "expanded")
-    counted = counted.withColumn("ws", F.split("phrase", " "))
-    of = lambda i: F.array_join(F.slice("ws", i, 2), " ")
-    pairs = counted.filter(F.size("ws") == 2).select("lang", F.col("phrase").alias("pair"), F.col("a").alias("f"))
-    longer = counted.filter((F.size("ws") == 3) & (F.col("a") >= least))
-    longer = longer.select("lang", F.explode(F.array_distinct(F.array(of(1), of(2)))).alias("phrase"), "a")
-    longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    two = chosen.filter("k = 2").join(longer, ["lang", "phrase"], "left").select(
-        "lang", "phrase", "a", "l", "r", F.col("bound").alias("score"),
-        F.coalesce(100 * F.col("longer") >= drop * F.col("a"), F.lit(False)).alias("dropped"),
-    )
-    three = chosen.filter("k = 3").withColumn("ws", F.split("phrase", " "))
-    three = three.withColumns({"head": of(1), "tail": of(2)})
-    three = three.join(pairs.select("lang", F.col("pair").alias("head"), F.col("f").alias("f_head")), ["lang", "head"])
-    three = three.join(pairs.select("lang", F.col("pair").alias("tail"), F.col("f").alias("f_tail")), ["lang", "tail"])
+    return chosen.withColumn("rank", F.row_number().over(whole).cast("long")).filter(F.col("rank") <= limit)
+
+
+def _marks(pairs: DataFrame, floor: int) -> np.ndarray:
+    """The marks of all pairs by slot; as many rows as the table has cells of eight reach the driver."""
+    bound = lambda outer: FULL * F.col("a") >= floor * F.col(outer)
+    flags = F.lit(FREQUENT)
+    for met, flag in ((F.col("score") >= floor, SCORES), (bound("l"), BEGINS), (bound("r"), ENDS)):
+        flags = flags + F.when(met, flag).otherwise(0)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, phrases = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words = [p.encode().split(b" ") for p in phrases]
+            of = np.array([[_hash(v, w) for w in ws] for v, ws in zip(langs, words)], dtype=np.uint64).reshape(-1, 2)
+            slot = _slots(of[:, 0], of[:, 1])
+            bits = batch.column(2).to_numpy().astype(np.int64) << (8 * (slot & 7))
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 3), pa.array(bits)], names=["cell", "bits"])
+
+    rows = pairs.select("lang", "phrase", flags.cast("int").alias("flags")).mapInArrow(cells, "cell long, bits long")
+    found = rows.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
+    marks = np.zeros(1 << (SLOT_BITS - 3), dtype=np.int64)
+    marks[found["cell"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return marks.view(np.uint8)
+
+
+def _scored_triples(three: DataFrame, pairs: DataFrame, count) -> DataFrame:
+    """Three-word phrases with ``l``, ``r`` and ``score`` of their lowest cut."""
+    words = F.split("phrase", " ")
+    of = lambda i: F.array_join(F.slice(words, i, 2), " ")
+    rows = count(three, F.get(words, F.lit(0)), "f_first")
+    rows = count(rows, F.get(words, F.lit(2)), "f_last").withColumns({"head": of(1), "tail": of(2)})
+    for name in ("head", "tail"):
+        inner = pairs.select("lang", F.col("phrase").alias(name), F.col("a").alias(f"f_{name}"))
+        rows = rows.join(inner, ["lang", name])
     cuts = F.array(
-        F.struct(_score("a", "l", "f_tail").alias("score"), F.lit(1).alias("k"), F.col("l"), F.col("f_tail").alias("r")),
-        F.struct(_score("a", "f_head", "r").alias("score"), F.lit(2).alias("k"), F.col("f_head").alias("l"), F.col("r")),
-    )
-    three = three.withColumn("cut", F.array_min(cuts)).select(
-        "lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
-        F.col("cut.score").alias("score"), F.lit(False).alias("dropped"),
+        F.struct(_score("a", "f_first", "f_tail").alias("score"), F.lit(1).alias("k"), F.col("f_first").alias("l"), F.col("f_tail").alias("r")),
+        F.struct(_score("a", "f_head", "f_last").alias("score"), F.lit(2).alias("k"), F.col("f_head").alias("l"), F.col("f_last").alias("r")),
     )
-    return stored(two.unionByName(three), "scored")
-
-
-def _groups(names: list[str], size: int) -> list[list[str]]:
-    return [names[i : i + size] for i in range(0, len(names), size)]
+    return rows.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "head", "tail")
 
 
 def collocations(docs: DataFrame, top: int = 2000, least: int = 10, drop: int = 50) -> DataFrame:
@@ -314,47 +313,39 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, drop: int =
     score, then ``a``, downwards, then the phrase by bytes. Equal rows all count. A language
     with fewer phrases returns them all; one without any returns no row.
     """
-    spark = docs.sparkSession
     texts = _texts(docs)
-    words = stored(_counts(texts, _count_words).withColumnRenamed("a", "f"), "words")
+    words = stored(_word_counts(texts), "words")
     sums = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "word-sums")
     open_langs = sorted(r.lang for r in sums.collect())
-    known = _known(words, least)
+    known, cap = _known(words, least)
     lists: dict[str, dict] = {}
-    for r in words.filter(F.col("f") >= known[0]).collect():
-        lists.setdefault(r.lang, {})[r.phrase.encode()] = r.f
-    order = [F.col("score").desc(), F.col("a").desc(), "phrase"]
-    by_bound = [F.col("bound").desc(), F.col("a").desc(), "phrase"]
-    out = spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, score long")
+    for r in words.filter(F.col("f") >= known).select("lang", "word").collect():
+        lists.setdefault(r.lang, {})[r.word.encode()] = 0
+    # Numbers follow the order in which the words lie.
+    for i, (lang, word) in enumerate([(v, w) for v, ws in lists.items() for w in ws]):
+        lists[lang][word] = i
+    count = lambda rows, word, name: _with_count(rows, word, words, known, least, name)
+    state = {"known": lists, "cap": cap, "least": least}
+    pairs = stored(_phrase_counts(texts, state, 2), "pair-counts")
+    parts = F.split("phrase", " ")
+    pairs = count(count(pairs, F.get(parts, F.lit(0)), "l"), F.get(parts, F.lit(1)), "r")
+    pairs = stored(pairs.withColumn("score", _score("a", "l", "r")), "pairs")
+    out = docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, score long")
     for floor in FLOORS:
-        left = []
-        for names in _groups(open_langs, max(1, PHRASES_A_SCAN // FRONTIER)):
-            mine = texts.filter(F.col("lang").isin(names))
-            rest = _grown(mine, words, known, lists, dict.fromkeys(names, floor), least)
-            scored, waiting = None, set(names)
-            while waiting:
-                rest = rest.filter(F.col("lang").isin(sorted(waiting)))
-                chosen = stored(_best(rest, by_bound, FRONTIER), "frontier")
-                last = chosen.groupBy("lang").agg(F.max_by(F.struct("bound", "a", "phrase"), "rank").alias("last"))
-                behind = (F.col("bound"), F.col("a")), (F.col("last.bound"), F.col("last.a"))
-                later = (behind[0][0] < behind[1][0]) | (
-                    (behind[0][0] == behind[1][0])
-                    & ((behind[0][1] < behind[1][1]) | ((behind[0][1] == behind[1][1]) & (F.col("phrase") > F.col("last.phrase"))))
-                )
-                rest = rest.join(F.broadcast(last), "lang").filter(later).drop("last")
-                more = _expanded(mine, chosen, least, drop)
-                scored = more if scored is None else scored.unionByName(more)
-                ends = _best(scored.filter("NOT dropped"), order, top).filter(F.col("rank") == top)
-                ends = {r.lang: (r.score, r.a) for r in ends.select("lang", "score", "a").collect()}
-                nexts = rest.groupBy("lang").agg(F.max(F.struct("bound", "a")).alias("next")).collect()
-                nexts = {r.lang: tuple(r.next) for r in nexts}
-                # What waits can still come before the last wanted survivor, or tie with it.
-                waiting = {v for v in waiting if v in nexts and (v not in ends or nexts[v] >= ends[v])}
-            unsettled = [v for v in names if floor and (v not in ends or ends[v][0] < floor)]
-            left += unsettled
-            best = _best(scored.filter("NOT dropped").filter(~F.col("lang").isin(unsettled)), order, top)
-            out = out.unionByName(best.select(out.columns))
-        open_langs = left
+        mine = F.col("lang").isin(open_langs)
+        marks = _marks(pairs.filter(mine), floor)
+        three = stored(_phrase_counts(texts.filter(mine), {**state, "marks": marks}, 3), "triples")
+        three = stored(_scored_triples(three, pairs, count), "scored-triples")
+        around = three.select("lang", F.explode(F.array_distinct(F.array("head", "tail"))).alias("phrase"), "a")
+        around = around.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+        two = pairs.filter(mine & (F.col("score") >= floor)).join(around, ["lang", "phrase"], "left")
+        two = two.filter(~F.coalesce(100 * F.col("longer") >= drop * F.col("a"), F.lit(False)))
+        names = ["lang", "phrase", "a", "l", "r", "score"]
+        rows = two.select(names).unionByName(three.filter(F.col("score") >= floor).select(names))
+        best = stored(_best(rows, top), "best")
+        settled = {r.lang for r in best.filter(F.col("rank") == top).select("lang").collect()}
+        out = out.unionByName(best.filter(F.col("lang").isin(sorted(settled)) if floor else F.lit(True)).select(out.columns))
+        open_langs = [v for v in open_langs if v not in settled]
         if not open_langs:
             break
     return out.join(sums, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
