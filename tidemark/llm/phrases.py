@@ -26,14 +26,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, empty_if_null, share, stored
+from tidemark.llm.common import bounded_batches, empty_if_null, kept, share, stored
 
 FLOORS = (50_000, 2_000, 0)
 KNOWN_BITS = 20
@@ -125,10 +124,27 @@ def _hash(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word)
 
 
+class Lexicon:
+    """The known words of all languages: their numbers and counts. One a worker."""
+
+    def __init__(self, state: dict):
+        self.of: dict[str, dict[bytes, int]] = {}
+        self.names: list[tuple[str, bytes]] = []
+        for lang, words in state["words"].items():
+            found = words.split(BREAK)
+            self.of[lang] = dict(zip(found, range(len(self.names), len(self.names) + len(found))))
+            self.names += [(lang, w) for w in found]
+        self.counts = state["counts"]
+
+    def count(self, lang: str, word: bytes) -> int | None:
+        found = self.of.get(lang, {}).get(word)
+        return None if found is None else int(self.counts[found])
+
+
 class Stretch:
     """Words of a stretch as codes, with what is known of each."""
 
-    def __init__(self, lang: str, words: list[bytes], state: dict):
+    def __init__(self, lang: str, words: list[bytes], lexicon: Lexicon, all_known: bool):
         self.lang = lang
         # Codes: -2 nothing, -1 a break, else the place in the list of distinct words.
         place = {b"": -2, BREAK: -1}
@@ -139,10 +155,10 @@ class Stretch:
                 names.append(w)
         codes = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
         self.codes = codes[codes != -2]
-        known = state["known"].get(lang, {})
+        known = lexicon.of.get(lang, {})
         # The last entry stands for a break.
         self.ids = np.array([known.get(w, -1) for w in names] + [-1], dtype=np.int64)
-        usable = (self.ids >= 0) | (state["cap"] >= state["least"])
+        usable = (self.ids >= 0) | (not all_known)
         usable[-1] = False
         self.usable = usable
 
@@ -191,31 +207,55 @@ def _triples_in(stretch: Stretch, state: dict) -> np.ndarray:
 
 
 def _phrase_counts(texts: DataFrame, state: dict, width: int) -> DataFrame:
-    """``lang``, ``phrase``, ``a`` of the phrases of ``width`` words that occur ``least`` times."""
+    """``lang``, ``phrase``, ``a`` of the phrases of ``width`` words that occur ``least`` times.
+
+    ``first`` and ``last`` are the counts of the outer words, null where the word is not known.
+    """
     shared = share(texts, state)
     choose = _pairs_in if width == 2 else _triples_in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = kept(shared.value, "lexicon", Lexicon)
         for lang, words in _stretches(batches):
-            stretch = Stretch(lang, words, shared.value)
+            stretch = Stretch(lang, words, lexicon, shared.value["all_known"])
             if len(stretch.codes) >= width:
                 yield from stretch.rows(choose(stretch, shared.value), width)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [(lang, w) for lang, ws in shared.value["known"].items() for w in ws]
-        mask = (1 << KNOWN_BITS) - 1
+        lexicon, mask = kept(shared.value, "lexicon", Lexicon), (1 << KNOWN_BITS) - 1
+        names, counts = lexicon.names, lexicon.counts
         for batch in batches:
             langs, keys, phrases = (batch.column(i).to_pylist() for i in range(3))
+            ends = []
             for row, key in enumerate(keys):
                 if key is not None:
-                    words = [names[(key >> (KNOWN_BITS * i)) & mask] for i in reversed(range(width))]
-                    langs[row], phrases[row] = words[0][0], b" ".join([w for _, w in words]).decode()
+                    ids = [(key >> (KNOWN_BITS * i)) & mask for i in reversed(range(width))]
+                    langs[row], phrases[row] = names[ids[0]][0], b" ".join([names[i][1] for i in ids]).decode()
+                    ends.append((int(counts[ids[0]]), int(counts[ids[-1]])))
+                else:
+                    words = phrases[row].encode().split(b" ")
+                    ends.append((lexicon.count(langs[row], words[0]), lexicon.count(langs[row], words[-1])))
+            first, last = zip(*ends) if ends else ((), ())
             columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), batch.column(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
+            columns += [pa.array(first, pa.int64()), pa.array(last, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a", "first", "last"])
 
     rows = texts.mapInArrow(run, "lang string, key long, phrase string, a long")
     sums = rows.groupBy("lang", "key", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= state["least"])
-    return sums.mapInArrow(named, "lang string, phrase string, a long")
+    return sums.mapInArrow(named, "lang string, phrase string, a long, first long, last long")
+
+
+def _with_counts(rows: DataFrame, width: int, rest: DataFrame | None) -> DataFrame:
+    """``rows`` with the counts of outer words that are not known, from ``rest``.
+
+    Of such a word no more phrases exist than it has occurrences, which are fewer than those of
+    a known one: no key of the join is hot.
+    """
+    for name, at in (("first", 0), ("last", width - 1)) if rest is not None else ():
+        counts = rest.select("lang", F.col("word").alias("_word"), F.col("f").alias(name))
+        unknown = rows.filter(F.col(name).isNull()).drop(name).withColumn("_word", F.get(F.split("phrase", " "), F.lit(at)))
+        rows = rows.filter(F.col(name).isNotNull()).unionByName(unknown.join(counts, ["lang", "_word"]).drop("_word"))
+    return rows
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -239,22 +279,6 @@ def _known(words: DataFrame, least: int) -> tuple[int, int]:
     return least, least - 1
 
 
-def _with_count(rows: DataFrame, word: Column, words: DataFrame, known: int, least: int, name: str) -> DataFrame:
-    """``rows`` with the count of ``word`` as ``name``; every word asked for occurs ``least`` times.
-
-    Known words are broadcast, their number is bounded; of any other no more phrases exist than
-    it has occurrences, so no key of the shuffled join is hot.
-    """
-    rows = rows.withColumn("_word", word)
-    counts = words.select("lang", F.col("word").alias("_word"), F.col("f").alias(name))
-    out = rows.join(F.broadcast(counts.filter(F.col(name) >= known)), ["lang", "_word"], "left")
-    if known > least:
-        rest = counts.filter((F.col(name) < known) & (F.col(name) >= least))
-        unknown = out.filter(F.col(name).isNull()).drop(name)
-        out = out.filter(F.col(name).isNotNull()).unionByName(unknown.join(rest, ["lang", "_word"]))
-    return out.drop("_word")
-
-
 def _best(rows: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` rows of every language, with ``rank``; chosen in parts first."""
     order = [F.col("score").desc(), F.col("a").desc(), "phrase"]
@@ -287,18 +311,16 @@ def _marks(pairs: DataFrame, floor: int) -> np.ndarray:
     return marks.view(np.uint8)
 
 
-def _scored_triples(three: DataFrame, pairs: DataFrame, count) -> DataFrame:
+def _scored_triples(three: DataFrame, pairs: DataFrame) -> DataFrame:
     """Three-word phrases with ``l``, ``r`` and ``score`` of their lowest cut."""
-    words = F.split("phrase", " ")
-    of = lambda i: F.array_join(F.slice(words, i, 2), " ")
-    rows = count(three, F.get(words, F.lit(0)), "f_first")
-    rows = count(rows, F.get(words, F.lit(2)), "f_last").withColumns({"head": of(1), "tail": of(2)})
+    of = lambda i: F.array_join(F.slice(F.split("phrase", " "), i, 2), " ")
+    rows = three.withColumns({"head": of(1), "tail": of(2)})
     for name in ("head", "tail"):
         inner = pairs.select("lang", F.col("phrase").alias(name), F.col("a").alias(f"f_{name}"))
         rows = rows.join(inner, ["lang", name])
     cuts = F.array(
-        F.struct(_score("a", "f_first", "f_tail").alias("score"), F.lit(1).alias("k"), F.col("f_first").alias("l"), F.col("f_tail").alias("r")),
-        F.struct(_score("a", "f_head", "f_last").alias("score"), F.lit(2).alias("k"), F.col("f_head").alias("l"), F.col("f_last").alias("r")),
+        F.struct(_score("a", "first", "f_tail").alias("score"), F.lit(1).alias("k"), F.col("first").alias("l"), F.col("f_tail").alias("r")),
+        F.struct(_score("a", "f_head", "last").alias("score"), F.lit(2).alias("k"), F.col("f_head").alias("l"), F.col("last").alias("r")),
     )
     return rows.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "head", "tail")
 
@@ -316,26 +338,22 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, drop: int =
     texts = _texts(docs)
     words = stored(_word_counts(texts), "words")
     sums = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "word-sums")
-    open_langs = sorted(r.lang for r in sums.collect())
+    open_langs = sorted(r.lang for r in sums.select("lang").collect())
     known, cap = _known(words, least)
-    lists: dict[str, dict] = {}
-    for r in words.filter(F.col("f") >= known).select("lang", "word").collect():
-        lists.setdefault(r.lang, {})[r.word.encode()] = 0
-    # Numbers follow the order in which the words lie.
-    for i, (lang, word) in enumerate([(v, w) for v, ws in lists.items() for w in ws]):
-        lists[lang][word] = i
-    count = lambda rows, word, name: _with_count(rows, word, words, known, least, name)
-    state = {"known": lists, "cap": cap, "least": least}
-    pairs = stored(_phrase_counts(texts, state, 2), "pair-counts")
-    parts = F.split("phrase", " ")
-    pairs = count(count(pairs, F.get(parts, F.lit(0)), "l"), F.get(parts, F.lit(1)), "r")
-    pairs = stored(pairs.withColumn("score", _score("a", "l", "r")), "pairs")
+    common = words.filter(F.col("f") >= known).select("lang", "word", "f").toPandas().sort_values(["lang", "word"])
+    lists = {lang: "\n".join(part["word"]).encode() for lang, part in common.groupby("lang", sort=False)}
+    state = {"words": lists, "counts": common["f"].to_numpy(dtype=np.int64), "all_known": cap < least, "least": least}
+    del common
+    rest = None if cap < least else words.filter(F.col("f").between(least, cap))
+    pairs = _with_counts(stored(_phrase_counts(texts, state, 2), "pair-counts"), 2, rest)
+    pairs = pairs.withColumnsRenamed({"first": "l", "last": "r"}).withColumn("score", _score("a", "l", "r"))
+    pairs = stored(pairs, "pairs")
     out = docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, score long")
     for floor in FLOORS:
         mine = F.col("lang").isin(open_langs)
         marks = _marks(pairs.filter(mine), floor)
         three = stored(_phrase_counts(texts.filter(mine), {**state, "marks": marks}, 3), "triples")
-        three = stored(_scored_triples(three, pairs, count), "scored-triples")
+        three = stored(_scored_triples(_with_counts(three, 3, rest), pairs), "scored-triples")
         around = three.select("lang", F.explode(F.array_distinct(F.array("head", "tail"))).alias("phrase"), "a")
         around = around.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
         two = pairs.filter(mine & (F.col("score") >= floor)).join(around, ["lang", "phrase"], "left")
