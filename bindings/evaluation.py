@@ -250,7 +250,7 @@ WHERE y = 1 OR side = 'test'"""
 
 def seeded_pick(spark, sf):
     rows = splits.seeded_pick(
-        outcomes(spark, sf), "s_nationkey", "s_nationkey", [F.col("row_key")], 11
+        outcomes(spark, sf), "s_nationkey", "s_nationkey", ["row_key"], 11
     )
     return rows.select("s_nationkey", "row_key")
 

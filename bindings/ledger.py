@@ -188,38 +188,38 @@ PIT_FEATURES = f"""WITH RECURSIVE {FEATURES_SQL} SELECT * FROM features"""
 
 
 def trailing_window(spark, sf):
-    tx = ledger(spark, sf)
-    own = tx.filter(~F.col("is_credit")).withColumn("eff_date", F.col("InvoiceDate"))
-    seen = pit.trailing_window(own, pit.probe_grid(tx, _stamps(spark)))
+    """Lines, credits included, that each stamp sees."""
+    seen = pit.trailing_window(attributed(spark, sf), pit.probe_grid(ledger(spark, sf), _stamps(spark)))
     return seen.groupBy("as_of").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("Quantity").alias("quantity")
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if("is_credit").alias("n_credit"),
+        F.sum("Quantity").alias("quantity"),
     )
 
 
-TRAILING_WINDOW = f"""WITH {LEDGER_SQL}, {GRID_SQL}
-SELECT as_of, count(*) AS n_lines, CAST(sum("Quantity") AS BIGINT) AS quantity
-FROM ledger JOIN stamps ON "InvoiceDate" < as_of - INTERVAL 1 DAY
- AND "InvoiceDate" >= as_of - INTERVAL 91 DAY
-WHERE NOT is_credit GROUP BY as_of"""
+TRAILING_WINDOW = f"""WITH RECURSIVE {ATTRIBUTED_SQL}, {GRID_SQL}
+SELECT as_of, count(*) AS n_lines, count(*) FILTER (is_credit) AS n_credit, CAST(sum("Quantity") AS BIGINT) AS quantity
+FROM attributed JOIN stamps ON "InvoiceDate" < as_of - INTERVAL 1 DAY
+ AND eff_date < as_of - INTERVAL 1 DAY AND eff_date >= as_of - INTERVAL 91 DAY
+GROUP BY as_of"""
 
 
 def knowledge_gate(spark, sf):
-    """Credits whose order lies in the window but whose document is not yet known."""
-    seen = attributed(spark, sf).filter(F.col("is_credit") & F.col("eff_date").isNotNull())
-    return seen.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("n_credit"),
-        F.count_if(
-            F.trunc(F.col("InvoiceDate").cast("date"), "MM")
-            > F.trunc(F.col("eff_date").cast("date"), "MM")
-        ).alias("known_in_a_later_month"),
+    """Lines in a stamp's window, and those of them that the gate holds back as not yet known."""
+    lines = attributed(spark, sf)
+    probes = pit.probe_grid(ledger(spark, sf), _stamps(spark))
+    count = lambda rows, name: pit.trailing_window(rows, probes).groupBy("as_of").agg(F.count(F.lit(1)).alias(name))
+    dated = count(lines.withColumn("InvoiceDate", F.col("eff_date")), "n_dated")
+    known = count(lines, "n_known")
+    return dated.join(known, "as_of", "left").select(
+        "as_of", "n_dated", (F.col("n_dated") - F.coalesce("n_known", F.lit(0))).alias("n_held_back")
     )
 
 
-KNOWLEDGE_GATE = f"""WITH RECURSIVE {ATTRIBUTED_SQL}
-SELECT customer_id, count(*) AS n_credit,
-       count(*) FILTER (date_trunc('month', "InvoiceDate") > date_trunc('month', eff_date))
-         AS known_in_a_later_month
-FROM attributed WHERE is_credit AND eff_date IS NOT NULL GROUP BY 1"""
+KNOWLEDGE_GATE = f"""WITH RECURSIVE {ATTRIBUTED_SQL}, {GRID_SQL}
+SELECT as_of, count(*) AS n_dated, count(*) FILTER ("InvoiceDate" >= as_of - INTERVAL 1 DAY) AS n_held_back
+FROM attributed JOIN stamps ON eff_date < as_of - INTERVAL 1 DAY AND eff_date >= as_of - INTERVAL 91 DAY
+GROUP BY as_of"""
 
 
 def horizon_label(spark, sf):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings.tables import table
 from tidemark.functions.textfold import eligible_text, normalize_text, strip_accents
-from tidemark.operators import profiles
+from tidemark.operators import profiles, rewrites
 from tidemark.operators import retrieval as rt
-from tidemark.session import spread
+from tidemark.session import spread, written
 
 LANGS = ("de", "en", "es", "fr")
 QUERY_ID = "Benchmark  Passage"
@@ -154,7 +157,7 @@ fused AS (
 
 
 def _index(spark, sf):
-    return rt.build_index(cases(spark, sf))
+    return rt.shared_index(cases(spark, sf))
 
 
 def case_panel(spark, sf):
@@ -360,20 +363,87 @@ BOUND = {
 
 
 def panel_spread(spark, sf):
-    from tidemark.operators.rewrites import panel_spread as spread_of
+    """Of the panel, and of its first half with the domain at the first place left out."""
+    panel = written(case_panel(spark, sf), "panel")
+    first = panel.groupBy().agg(F.min_by("source", "position").alias("first")).scalar()
+    fewer = panel.filter((F.col("position") <= TOP_K // 2) & (F.col("source") != first))
+    spreads = [rewrites.panel_spread(rows, LANGS) for rows in (panel, fewer)]
+    return spreads[0].withColumn("panel", F.lit("whole")).unionByName(spreads[1].withColumn("panel", F.lit("fewer")))
+
+
+PANEL_SPREAD = f"""WITH panel AS MATERIALIZED ({CASE_PANEL}),
+chosen AS (
+  SELECT 'whole' AS panel, source FROM panel
+  UNION ALL SELECT 'fewer', source FROM panel
+  WHERE position <= {TOP_K // 2} AND source <> (SELECT source FROM panel WHERE position = 1)
+),
+held AS (
+  SELECT v.panel, l.source, count(c.source) AS n
+  FROM (SELECT unnest(['whole', 'fewer']) AS panel) v
+  CROSS JOIN (SELECT unnest(['de', 'en', 'es', 'fr']) AS source) l
+  LEFT JOIN chosen c ON c.panel = v.panel AND c.source = l.source GROUP BY ALL
+)
+SELECT max(n) - min(n) AS spread, max(n) - min(n) <= 1 AS balanced, panel FROM held GROUP BY panel"""
 
-    return spread_of(case_panel(spark, sf), LANGS)
 
+def _rewritten(spark, sf):
+    """The corpus as it is, rewritten in ways that must not matter, and without a tenth of its files."""
+    docs = cases(spark, sf).withColumn("final_diagnosis", F.col("file"))
+    registry = docs.select("record_key", "pmcid")
+    moved = rewrites.project_identity(docs, "doc_id").join(registry, "record_key")
+    return {
+        "withheld": rewrites.redact(docs, ["final_diagnosis", "file"]),
+        "reordered": docs.repartition(5, "file").sortWithinPartitions(F.col("pmcid").desc()),
+        "identity moved": moved,
+        "fewer files": docs.filter("doc_id % 10 <> 3"),
+    }
 
-def redacted_panel(spark, sf):
-    """The panel again after the outcome is withheld and rows are reordered: no mismatch."""
-    from tidemark.operators.rewrites import invariance, redact
 
-    base = rt.retrieve(cases(spark, sf), QUERY_ID, facets(spark, sf), TOP_K, LANGS)
-    changed = redact(cases(spark, sf).withColumn("final_diagnosis", F.col("file")), ["final_diagnosis"])
-    turned = changed.repartition(5, "file")
-    return invariance(base, rt.retrieve(turned, QUERY_ID, facets(spark, sf), TOP_K, LANGS))
+def redacted_panel(spark, sf):
+    """The panel after each rewrite against the one before: only missing files may change it."""
+    base = written(case_panel(spark, sf), "panel")
+    out = []
+    for name, rows in _rewritten(spark, sf).items():
+        panel = rt.retrieve(rows, QUERY_ID, facets(spark, sf), TOP_K, LANGS)
+        out.append(rewrites.invariance(base, panel).withColumn("rewrite", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
+
+
+_FEWER_PANEL = CASE_PANEL.replace("FROM documents", "FROM documents WHERE doc_id % 10 <> 3")
+_BOTH_PANELS = f"""base AS MATERIALIZED ({CASE_PANEL}), fewer AS MATERIALIZED ({_FEWER_PANEL}),
+panels AS (
+  SELECT r AS rewrite, base.* FROM base CROSS JOIN (SELECT unnest(['withheld', 'reordered', 'identity moved']) AS r)
+  UNION ALL SELECT 'fewer files', fewer.* FROM fewer
+)"""
+REDACTED_PANEL = f"""WITH {_BOTH_PANELS}
+SELECT count(*) AS n, CAST(count(*) FILTER (NOT same) AS BIGINT) AS mismatches, bool_and(same) AS match, rewrite
+FROM (SELECT p.rewrite, p.pmcid = b.pmcid AND p.source = b.source AND abs(p.score - b.score) <= 1e-10 AS same
+      FROM panels p JOIN base b ON b.position = p.position)
+GROUP BY rewrite"""
+
+
+def domain_phases(spark, sf):
+    """Results inside each domain: of the panel dealt in another order, and of the one with fewer files."""
+    base = written(case_panel(spark, sf), "panel")
+    fewer = rt.retrieve(_rewritten(spark, sf)["fewer files"], QUERY_ID, facets(spark, sf), TOP_K, LANGS)
+    turned = base.withColumn("position", F.lit(TOP_K + 1) - F.col("position"))
+    found = {"turned": turned, "fewer files": fewer}
+    out = [rewrites.phase_match(rows, base).withColumn("panel", F.lit(n)) for n, rows in found.items()]
+    return out[0].unionByName(out[1])
+
+
+DOMAIN_PHASES = f"""WITH base AS MATERIALIZED ({CASE_PANEL}), fewer AS MATERIALIZED ({_FEWER_PANEL}),
+panels AS (SELECT 'turned' AS panel, * FROM base UNION ALL SELECT 'fewer files', * FROM fewer),
+placed AS (SELECT *, row_number() OVER (PARTITION BY panel, source ORDER BY score DESC, pmcid) AS n FROM panels),
+wanted AS (
+  SELECT panel, b.* FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, pmcid) AS n FROM base) b
+  CROSS JOIN (SELECT unnest(['turned', 'fewer files']) AS panel)
+)
+SELECT coalesce(p.source, w.source) AS source, bool_and(coalesce(p.pmcid = w.pmcid AND abs(p.score - w.score) <= 1e-10, false)) AS match,
+       coalesce(p.panel, w.panel) AS panel
+FROM placed p FULL JOIN wanted w ON w.panel = p.panel AND w.source = p.source AND w.n = p.n GROUP BY ALL"""
 
 
-BOUND["panel_spread"] = (panel_spread, "SELECT CAST(1 AS BIGINT) AS spread, true AS balanced")
-BOUND["redacted_panel"] = (redacted_panel, f"SELECT {TOP_K} AS n, 0 AS mismatches, true AS match")
+BOUND["panel_spread"] = (panel_spread, PANEL_SPREAD)
+BOUND["redacted_panel"] = (redacted_panel, REDACTED_PANEL)
+BOUND["domain_phases"] = (domain_phases, DOMAIN_PHASES)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bindings import evaluation, ledger as ledger_bindings, retrieval, serving as serving_bindings
 from bindings.tables import LEDGER_SQL, ledger, table
-from tidemark.operators import contracts, profiles
+from tidemark.operators import contracts, metrics, profiles
 from tidemark.operators import retrieval as rt
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import governed, readers, writers
@@ -142,14 +145,45 @@ UNLISTED_FILES = "SELECT 1 AS files, count(*) AS rows FROM documents WHERE lang
 
 
 def feature_contract(spark, sf):
+    """Features as they are, and with rows broken by account."""
     rows = ledger_bindings.pit_features(spark, sf)
-    return contracts.violations(rows, contracts.feature_rules())
+    every = lambda n: F.col("customer_id") % n == 0
+    broken = rows.withColumns(
+        {
+            "n_sku": F.when(every(3), F.col("n_lines") + 1).otherwise(F.col("n_sku")),
+            "days_since_last": F.when(every(5), F.lit(-2)).otherwise(F.col("days_since_last")),
+            "n_credit": F.when(every(7), F.lit(-1)).otherwise(F.col("n_credit")),
+        }
+    )
+    found = [
+        contracts.violations(frame, contracts.feature_rules()).withColumn("version", F.lit(name))
+        for name, frame in (("as built", rows), ("broken", broken))
+    ]
+    return found[0].unionByName(found[1])
 
 
-FEATURE_CONTRACT = f"""WITH RECURSIVE {ledger_bindings.FEATURES_SQL}
-SELECT (SELECT count(*) FROM features) AS n_rows, rule, 0 AS violations FROM (
-  SELECT unnest(['counts_not_negative', 'skus_within_lines', 'credits_within_lines', 'recency_from_minus_one',
-                 'idle_means_minus_one', 'idle_means_no_spend', 'key_present']) AS rule)"""
+_FEATURE_RULES = {
+    "counts_not_negative": "n_lines >= 0 AND n_sku >= 0 AND n_credit >= 0",
+    "skus_within_lines": "n_sku <= n_lines",
+    "credits_within_lines": "n_credit <= n_lines",
+    "recency_from_minus_one": "days_since_last >= -1",
+    "idle_means_minus_one": "(n_lines = 0) = (days_since_last = -1)",
+    "idle_means_no_spend": "n_lines <> 0 OR spend_cents = 0",
+    "key_present": "customer_id IS NOT NULL AND as_of IS NOT NULL",
+}
+FEATURE_CONTRACT = f"""WITH RECURSIVE {ledger_bindings.FEATURES_SQL},
+versions AS (
+  SELECT 'as built' AS version, * FROM features
+  UNION ALL
+  SELECT 'broken', * REPLACE (
+    CASE WHEN customer_id % 3 = 0 THEN n_lines + 1 ELSE n_sku END AS n_sku,
+    CASE WHEN customer_id % 5 = 0 THEN -2 ELSE days_since_last END AS days_since_last,
+    CASE WHEN customer_id % 7 = 0 THEN -1 ELSE n_credit END AS n_credit) FROM features
+)
+""" + " UNION ALL ".join(
+    f"SELECT count(*) AS n_rows, '{name}' AS rule, count(*) FILTER (NOT ({rule})) AS violations, version FROM versions GROUP BY version"
+    for name, rule in _FEATURE_RULES.items()
+)
 
 
 def digest(spark, sf):
@@ -194,8 +228,12 @@ def holdout_disjoint(spark, sf):
     )
 
 
-HOLDOUT_DISJOINT = """SELECT 0 AS shared, true AS disjoint
-UNION ALL SELECT count(*), false FROM customer WHERE c_custkey % 2 = 1"""
+HOLDOUT_DISJOINT = """WITH sides AS (SELECT c_custkey, c_custkey % 2 AS side FROM customer),
+shared AS (
+  SELECT (SELECT count(*) FROM (SELECT c_custkey FROM sides WHERE side = 0 INTERSECT SELECT c_custkey FROM sides WHERE side = 1)) AS n
+  UNION ALL SELECT count(*) FROM (SELECT c_custkey FROM sides INTERSECT SELECT c_custkey FROM sides WHERE side = 1)
+)
+SELECT n AS shared, n = 0 AS disjoint FROM shared"""
 
 
 def duplicate_keys(spark, sf):
@@ -230,16 +268,27 @@ PREDICTION_CONTRACT = f"""WITH {evaluation.PREDICTED_SQL}
 SELECT count(*) AS n_rows, count(*) FILTER (soil_type = 44) AS n_bad, count(*) FILTER (soil_type = 44) = 0 AS ok FROM predicted"""
 
 
-def report_structure(spark, sf):
-    rows = evaluation.folded(spark, sf).groupBy("fold").agg(
-        F.avg("y").alias("score"), F.count(F.lit(1)).alias("n_scored")
-    )
-    return contracts.report_structure(rows, "score", 0.3, "n_scored")
+_REPORTS = {"whole": ("true", 0.3), "one fold": ("fold = 0", 0.3), "empty fold": ("true", 0.0), "above one": ("true", 1.5)}
 
 
-REPORT_STRUCTURE = f"""WITH {evaluation.FOLDED_SQL}, f AS (SELECT avg(y) AS score, count(*) AS n FROM folded GROUP BY fold)
-SELECT count(*) >= 2 AS enough_folds, bool_and(score > 0) AS folds_positive, sum(n) > 0 AS something_scored,
-  true AS score_in_range FROM f"""
+def report_structure(spark, sf):
+    """A sound report, and reports that lack a fold, hold a fold without positives or a wrong score."""
+    rows = evaluation.folded(spark, sf).withColumn("late", (F.col("fold") > 0).cast("int") * F.col("y"))
+    out = []
+    for name, (chosen, pooled) in _REPORTS.items():
+        hit = F.col("late") if name == "empty fold" else F.col("y")
+        folds = rows.filter(chosen).groupBy("fold").agg(F.avg(hit).alias("score"), F.count(F.lit(1)).alias("n_scored"))
+        out.append(contracts.report_structure(folds, "score", pooled, "n_scored").withColumn("report", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
+
+
+REPORT_STRUCTURE = f"WITH {evaluation.FOLDED_SQL} " + " UNION ALL ".join(
+    f"""SELECT count(*) >= 2 AS enough_folds, bool_and(score > 0) AS folds_positive, sum(n) > 0 AS something_scored,
+  {pooled} > 0 AND {pooled} <= 1 AS score_in_range, '{name}' AS report
+FROM (SELECT avg({'CASE WHEN fold > 0 THEN y ELSE 0 END' if name == 'empty fold' else 'y'}) AS score, count(*) AS n
+      FROM folded WHERE {chosen} GROUP BY fold)"""
+    for name, (chosen, pooled) in _REPORTS.items()
+)
 
 
 def _lists(spark, sf):
@@ -298,12 +347,65 @@ SELECT drift, CASE WHEN drift = 0 THEN '0' WHEN drift <= 3 THEN '1-3' WHEN drift
 
 
 def panel_match(spark, sf):
-    got, _, counts, _ = _lists(spark, sf)
-    other = got.withColumn("score", F.col("score") + 1e-12)
-    return contracts.panel_match(got, other, 20, counts, counts)
+    """The list against itself within the tolerance, against scores beyond it, and against another."""
+    got, want, counts, other = _lists(spark, sf)
+    near = got.withColumn("score", F.col("score") + 1e-12)
+    # A long text is more than the tolerance off.
+    far = got.withColumn("score", F.col("score") + F.col("score") * 1e-9)
+    pairs = {"near": (near, counts), "far": (far, counts), "filtered": (want, other)}
+    out = [
+        contracts.panel_match(got, rows, 20, counts, found).withColumn("against", F.lit(name))
+        for name, (rows, found) in pairs.items()
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+PANEL_MATCH = f"""WITH {_LISTS_SQL},
+shape AS (SELECT count(*) = 20 AND count(DISTINCT pmcid) = 20 AS shape_ok FROM a),
+counts AS (
+  SELECT bool_and(n IS NOT DISTINCT FROM m) AS counts_ok
+  FROM (SELECT source, count(*) AS n FROM docs GROUP BY source) x
+  FULL JOIN (SELECT source, count(*) AS m FROM docs WHERE pmcid <> '1' AND source <> 'es' GROUP BY source) y USING (source)
+),
+other AS (
+  SELECT bool_and(coalesce(p = q AND sp = sq AND abs(x - y) <= 1e-10, false)) AS match FROM both_lists
+),
+cases AS (
+  SELECT 'near' AS against, true AS counts_ok, bool_and(abs(score - (score + 1e-12)) <= 1e-10) AS match FROM a
+  UNION ALL SELECT 'far', true, bool_and(abs(score - (score + score * 1e-9)) <= 1e-10) FROM a
+  UNION ALL SELECT 'filtered', counts_ok, match FROM counts, other
+)
+SELECT shape_ok, counts_ok, match, shape_ok AND counts_ok AND match AS panel_ok, against FROM cases, shape"""
+
+
+def estimate_gaps(spark, sf):
+    """Mean text length of every source as told by every other document, against the true one."""
+    docs = table(spark, sf, "documents")
+    told = F.avg(F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")))
+    means = docs.groupBy("source").agg((told / F.avg("n_chars")).alias("told"))
+    return means.select("source", metrics.within_gap(F.col("told"), F.lit(1.0), 0.05).alias("agrees"), F.round("told", 6).alias("told"))
+
+
+ESTIMATE_GAPS = """SELECT source, coalesce(abs(told - 1.0) <= 0.05, false) AS agrees, round(told, 6) AS told
+FROM (SELECT source, avg(n_chars) FILTER (doc_id % 2 = 0) / avg(n_chars) AS told FROM documents GROUP BY source)"""
+
+
+def staleness(spark, sf):
+    """Is a stored table still right: after a reordering, a changed value, and a lost row."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    versions = {
+        "reordered": orders.repartition(5, "o_custkey"),
+        "value changed": orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 1, "X").otherwise(F.col("o_orderstatus"))),
+        "row lost": orders.filter("o_orderkey <> 1"),
+    }
+    rows = [(name, writers.stale(rows, orders, orders.columns, "salt")) for name, rows in versions.items()]
+    return spark.createDataFrame(rows, "version string, equal boolean")
 
 
-PANEL_MATCH = "SELECT true AS shape_ok, true AS counts_ok, true AS match, true AS panel_ok"
+STALENESS = """WITH first AS (SELECT * FROM orders WHERE o_orderkey = 1)
+SELECT 'reordered' AS version, (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders) AS equal
+UNION ALL SELECT 'value changed', count(*) FILTER (o_orderstatus <> 'X') = 0 FROM first
+UNION ALL SELECT 'row lost', count(*) = 0 FROM first"""
 
 
 def result_shape(spark, sf):
@@ -367,6 +469,8 @@ BOUND = {
     "results_match": (results_match, RESULTS_MATCH),
     "drift_count": (drift_count, DRIFT_COUNT),
     "panel_match": (panel_match, PANEL_MATCH),
+    "estimate_gaps": (estimate_gaps, ESTIMATE_GAPS),
+    "staleness": (staleness, STALENESS),
     "result_shape": (result_shape, RESULT_SHAPE),
     "source_counts": (source_counts, SOURCE_COUNTS),
     "top_sources": (top_sources, TOP_SOURCES),

@@ -63,8 +63,9 @@ WHERE eff_date IS NOT NULL AND "InvoiceDate" - eff_date > INTERVAL {ALLOWED_DAYS
 def funnel_stream(spark, sf):
     rows = eventlog.log(spark, sf).filter("accepted").select("user_id", "ts", "event_id", "event_type")
     stream = _landed(spark, rows, "log")
-    progress = jobs.funnel_stream(stream, eventlog.STEPS, "user_id", "event_type", eventlog.ORDER)
-    return jobs.furthest(jobs.run_available(progress, jobs.fresh_sink(spark)), "user_id")
+    funnel = eventlog.STEPS, "user_id", "event_type", eventlog.ORDER
+    events = jobs.run_available(jobs.funnel_stream(stream, *funnel), jobs.fresh_sink(spark))
+    return jobs.furthest(events, *funnel)
 
 
 FUNNEL_STREAM = f"SELECT user_id, steps_reached FROM ({eventlog.FUNNEL}) WHERE steps_reached > 0"

@@ -33,7 +33,7 @@ def test_funnel_batch_and_stream(spark, tmp_path):
     path = str(tmp_path / "log")
     log.write.parquet(path)
     stream = jobs.funnel_stream(jobs.read_stream(spark, path, log.schema), STEPS, "s", "op", ["ts", "n"])
-    out = jobs.furthest(jobs.run_available(stream, str(tmp_path / "out")), "s").collect()
+    out = jobs.furthest(jobs.run_available(stream, str(tmp_path / "out")), STEPS, "s", "op", ["ts", "n"]).collect()
     assert {r.s: r.steps_reached for r in out} == {s: k for s, k in want.items() if k}
 
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import attribution
 from tidemark.operators.attribution import credit_attribution, latest_earlier_order
 from tidemark.operators.pit import horizon_label, pit_features
 
@@ -178,6 +179,23 @@ def test_hot_key_over_many_pieces(spark, partitions):
     assert dates == want
 
 
+def test_pieces_of_one_key_merge_in_log_rounds(spark, monkeypatch):
+    """One key in 32 pieces, credits that reach far back: five rounds."""
+    rng = random.Random(8)
+    rows = []
+    for no in range(960):
+        credit = no > 300 and rng.random() < 0.4
+        at = d("20-01-01", 0) + timedelta(hours=no // 2)
+        rows.append(line(no, rng.choice([1, 2, 9]), 1.0, at, credit))
+    rounds = []
+    real = attribution._merge_round
+    monkeypatch.setattr(attribution, "_merge_round", lambda state, level: rounds.append(level) or real(state, level))
+    got = credit_attribution(spark.createDataFrame(rows, SCHEMA), partitions=32).collect()
+    want = {r[6]: r[3] for r in rows if not r[0].startswith("C")} | brute_force(rows)
+    assert {r.line_no: r.eff_date for r in got} == want
+    assert 4 <= len(rounds) <= 6
+
+
 def test_capacity_free_match_is_strict(spark):
     rows = [
         line(0, 1, 1.0, d("20-01-01")),

@@ -96,6 +96,39 @@ def test_panel_and_invariance(spark):
     assert "pmcid" not in shown.columns and shown.filter("display_id = 'ref000001'").count() == 1
 
 
+def test_best_without_sorting_the_corpus(spark, monkeypatch):
+    """The first of each domain equal those of the full ranking, at depths that suffice and that do not."""
+    cases, asked = docs(spark).distinct(), facets(spark)
+    index = rt.build_index(cases.dropDuplicates(["pmcid", "source"]))
+    full = {(r.source, r.pmcid): (r["rank"], round(r.score, 12)) for r in rt.fused_ranks(index, asked).collect()}
+    monkeypatch.setattr(rt, "ordered_positions", lambda *_, **__: pytest.fail("the corpus was sorted"))
+    for k, first in ((1, 1), (2, 2), (3, 12), (50, 200)):
+        got = rt.best_fused(index, asked, k, depth=first).collect()
+        want = {key: v for key, v in full.items() if v[0] <= k}
+        assert {(r.source, r.pmcid): (r["rank"], round(r.score, 12)) for r in got} == want
+
+
+def test_index_is_shared_checked_and_removed(spark, monkeypatch):
+    cases, asked = docs(spark).withColumn("title", F.concat("title", F.lit(" shared"))), facets(spark)
+    built, real = [], rt.build_index
+    monkeypatch.setattr(rt, "build_index", lambda *a: built.append(1) or real(*a))
+    panel = rt.retrieve(cases, "q", asked, 7).collect()
+    turned = cases.repartition(3).sort(F.col("n").desc()).withColumn("n", -F.col("n"))
+    assert rt.retrieve(turned, "q", asked, 7).collect() == panel and len(built) == 1
+    rt.retrieve(cases.filter("n <> 3"), "q", asked, 7).collect()
+    assert len(built) == 2
+    # Another process compares the tables with the receipt and builds again what was changed.
+    rt._verified.clear()
+    stored = rt.shared_index(cases)
+    assert len(built) == 2
+    folder = stored.norms.inputFiles()[0].rsplit("/", 1)[0]
+    stored.norms.limit(1).withColumn("norm", F.lit(0.5)).write.mode("append").parquet(folder)
+    rt._verified.clear()
+    assert rt.retrieve(cases, "q", asked, 7).collect() == panel and len(built) == 3
+    assert rt.remove_index(cases) and not rt.remove_index(cases)
+    assert rt.retrieve(cases, "q", asked, 7).collect() == panel and len(built) == 4
+
+
 @pytest.mark.parametrize(
     "ranks,value",
     [((1, 3), 0.032266458496), ((12, 2), 0.030017921147), ((15, 7), 0.028258706468), ((16, 6), 0.028309409888)],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import encode, metrics, splits
 from tidemark.operators.contracts import ContractError, assert_columns, table_digest
 from tidemark.operators.encode import CellFeatures, level_codes, one_hot_vector, ordinal_encode
-from tidemark.operators.ordering import exact_median, hash_cut, ordered_positions, running_sums
+from tidemark.operators.ordering import exact_median, hash_cut, ordered_positions, running_max, running_sums
 from tidemark.session import scratch_path
 from tidemark.sources import governed, readers, writers
 
@@ -38,6 +38,73 @@ def test_positions_and_sums(spark, skewed, partitions):
     assert r.all == total
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 7])
+def test_running_values_across_partitions(spark, partitions):
+    """Groups that end inside, span one and span many partitions; nulls, ties and small batches."""
+    rng = random.Random(partitions)
+    groups = [None, float("nan"), 1.0, 1.0, 1.0, 1.0, 2.0, 7.5]
+    rows = [(i, rng.choice(groups), rng.choice([None, rng.randint(-9, 9)])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, g double, v int").withColumn("t", F.timestamp_micros(F.col("v")))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        sums = running_sums(frame, ["g"], [F.col("id")], {"s": F.col("v")}, {"s": "whole"}, partitions).collect()
+        tops = running_max(frame, ["g"], [F.col("id")], {"v": F.col("v"), "t": F.col("t")}, partitions).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    key = lambda g: "nan" if g is not None and g != g else g
+    seen, wants = {}, {}
+    for i, g, v in rows:
+        known = seen.setdefault(key(g), [])
+        known += [] if v is None else [v]
+        wants[i] = (sum(known) if known else None, max(known) if known else None)
+    assert {r.id: r.s for r in sums} == {i: w[0] for i, w in wants.items()}
+    assert all(r.whole == sum(seen[key(r.g)]) for r in sums)
+    assert {r.id: r.v for r in tops} == {i: w[1] for i, w in wants.items()}
+    micros = lambda t: None if t is None else int(round(t.timestamp() * 1e6))
+    assert {r.id: micros(r.t) for r in tops} == {i: w[1] for i, w in wants.items()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_exchanged_once_or_never(spark, skewed, monkeypatch):
+    """Positions take one range exchange of the rows, cuts none and no window over them."""
+    from tidemark.operators import ordering
+
+    plans = []
+    real = ordering.written
+    monkeypatch.setattr(ordering, "written", lambda df, name: plans.append((name, plan_of(df))) or real(df, name))
+    out = ordered_positions(skewed, ["g"], [F.col("id")], "p")
+    [scan] = [p for n, p in plans if n == "scanned"]
+    assert scan.count("Exchange") == 1 and "rangepartitioning" in scan and "Window" not in scan
+    # The offsets' side is aggregated by partition; the rows themselves stay where they are.
+    assert "BroadcastHashJoin" in plan_of(out) and "SortMergeJoin" not in plan_of(out)
+    plans.clear()
+    out = hash_cut(skewed, ["g"], F.pmod(F.hash("id"), F.lit(2**31)).cast("long"), F.col("id"), 0.4, "kept")
+    final = plan_of(out)
+    assert "Window" not in final and "hashpartitioning" not in final and "SortMergeJoin" not in final
+    [cells] = [p for n, p in plans if n == "cut-cells"]
+    assert "hashpartitioning" not in cells and "Window" not in cells
+
+
+@pytest.mark.parametrize("kinds", ["id long, g string, o long", "id long, g string, o string", "id long, g string, o double"])
+def test_nth_rows(spark, monkeypatch, kinds):
+    from tidemark.operators import ordering
+
+    monkeypatch.setattr(ordering, "CELLS", 4)
+    monkeypatch.setattr(ordering, "LAST_CELL", 3)
+    rng = random.Random(len(kinds))
+    make = {"long": lambda: rng.choice([None, 5, rng.randint(-9, 9) * 10**15]), "string": lambda: rng.choice([None, "", "prefix-" + str(rng.randint(0, 99)), chr(rng.randint(65, 1500))]), "double": lambda: rng.choice([None, float("nan"), -1e308, rng.random()])}
+    rows = [(i, rng.choice("aab") if i % 9 else None, make[kinds.split()[-1]]()) for i in range(300)]
+    got = ordering.nth_rows(spark.createDataFrame(rows, kinds), ["g"], ["o", "id"], F.floor(F.col("_size") / 3) + 1).collect()
+    key = lambda r: (r[2] is not None, r[2] != r[2], b"" if r[2] is None else r[2].encode() if isinstance(r[2], str) else r[2] if r[2] == r[2] else 0, r[0])
+    for g in ("a", "b", None):
+        mine = sorted((r for r in rows if r[1] == g), key=key)
+        assert [r.id for r in got if r.g == g] == [mine[len(mine) // 3][0]]
+
+
 def test_exact_median(spark, skewed):
     import statistics
 
@@ -156,6 +223,40 @@ def test_governed_read_refuses(spark, tmp_path, breach):
         governed.governed_read(spark, root).collect()
 
 
+def test_files_are_hashed_block_by_block(spark, tmp_path, monkeypatch):
+    """No task sees a whole file: a reader that refuses more than a block at a time suffices."""
+    import hashlib
+
+    class Narrow:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def read(self, size=-1):
+            assert 0 < size <= 1000
+            return self.stream.read(size)
+
+    contents = {"a b.bin": b"x" * 12_345, "ü%20.bin": bytes(range(256)) * 40, "edge.bin": b"y" * 2000}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(governed, "BLOCK_BYTES", 1000)
+    real = governed._open
+    monkeypatch.setattr(governed, "_open", lambda uri: Narrow(real(uri)))
+    rows = [(r.path,) for r in spark.read.format("binaryFile").load(str(tmp_path)).select("path").collect()]
+    import pandas as pd
+
+    [direct] = governed._streamed_digests(iter([pd.DataFrame(rows, columns=["path"])]))
+    monkeypatch.undo()
+    want = {hashlib.sha256(d).hexdigest() for d in contents.values()}
+    assert set(direct["sha256"]) == want and len(direct) == 3
+    assert {r.sha256 for r in governed.file_digests(spark, str(tmp_path)).collect()} == want
+
+
 def test_a_required_key_may_hold_null(spark, tmp_path):
     root = _delivery(spark, tmp_path, lambda m, r: m["files"][0]["_rows"][0].update(title=None))
     rows = governed.governed_read(spark, root)

@@ -30,14 +30,28 @@ def test_funnel_equals_batch(spark, tmp_path, triggers):
     stream, df = _landed(
         spark, rows, "s long, ts timestamp_ntz, n long, op string", str(tmp_path / "in"), triggers
     )
-    progress = jobs.funnel_stream(stream, STEPS, "s", "op", ["ts", "n"])
-    out = jobs.furthest(jobs.run_available(progress, str(tmp_path / "out")), "s")
+    events = jobs.run_available(jobs.funnel_stream(stream, STEPS, "s", "op", ["ts", "n"]), str(tmp_path / "out"))
+    out = jobs.furthest(events, STEPS, "s", "op", ["ts", "n"])
     want = eventlog.funnel_progress(df, STEPS, "s", "op", ["ts", "n"]).filter("steps_reached > 0")
     assert sorted(map(tuple, out.collect())) == sorted(
         map(tuple, want.select("s", "steps_reached").collect())
     )
 
 
+def test_a_third_of_all_events_in_one_session(spark, tmp_path):
+    """A session's events are never together: the stream keeps no state and shuffles nothing."""
+    rows = [(0 if n % 3 == 0 else n % 50, START + timedelta(minutes=n % 997), n, "abcx"[n % 4]) for n in range(6000)]
+    rows += [(r[0], r[1], r[2], r[3]) for r in rows if r[0] == 0]
+    stream, df = _landed(spark, rows, "s long, ts timestamp_ntz, n long, op string", str(tmp_path / "in"), 4)
+    steps = jobs.funnel_stream(stream, STEPS, "s", "op", ["ts", "n"])
+    plan = jobs.funnel_stream(df, STEPS, "s", "op", ["ts", "n"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "State" not in plan
+    events = jobs.run_available(steps, str(tmp_path / "out"))
+    out = jobs.furthest(events, STEPS, "s", "op", ["ts", "n"]).collect()
+    want = eventlog.funnel_progress(df, STEPS, "s", "op", ["ts", "n"]).filter("steps_reached > 0")
+    assert sorted(map(tuple, out)) == sorted(map(tuple, want.select("s", "steps_reached").collect()))
+
+
 @pytest.mark.parametrize("triggers", [1, 3, 8])
 def test_windows_and_side_table_hold_every_line(spark, tmp_path, triggers):
     draw = random.Random(6)

@@ -7,15 +7,15 @@ A credit no single line can hold stays unmatched.
 Any match inside a contiguous piece of a key's history beats every match before the piece,
 so pieces fold independently and only unmatched credits look further back. Candidates are
 range-partitioned by (key, time): a large key spreads over many partitions, each of bounded
-size. Credits left over in a key that spans partitions then visit earlier pieces one distance
-at a time, which keeps the order in which a piece sees its credits.
+size. Credits left over in a key that spans partitions then visit earlier pieces in a tree:
+neighbouring segments of pieces merge pairwise, in as many rounds as the number of pieces has
+binary digits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +25,10 @@ from tidemark.operators.ledger import with_credit_flag
 from tidemark.operators.ordering import lay_out, piece_of, running_max
 from tidemark.functions.keys import price_cents
 from tidemark.functions.timeutil import wall_from_micros, wall_micros
-from tidemark.session import cut_lineage
+from tidemark.session import written
 
 KEY = ["customer_id", "StockCode", "price_cents"]
-_ORDER, _CREDIT = 0, 1
+_ORDER, _CREDIT, _MATCH = 0, 1, 2
 
 
 class OpenLines:
@@ -109,109 +109,112 @@ def _fold_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield open_rows()
 
 
-def _visit_piece(credits: pd.DataFrame, orders: pd.DataFrame) -> pd.DataFrame:
-    """One piece, the open lines of which earlier credits have already had their turn at."""
-    lines = OpenLines()
-    for row in orders.sort_values("_at").itertuples(index=False):
-        lines.add(row.time, row.left, row.at_)
-    hits = []
-    for row in credits.sort_values("_at").itertuples(index=False):
-        i = lines.take(row.time, row.need)
-        if i is not None:
-            hits.append((row.at_, lines.pos[i], lines.at[i], row.need))
-    return pd.DataFrame(hits, columns=["credit_at", "line_at", "line_time", "used"])
+_STATE = [*KEY, "_idx", "_kind", "_time", "_amount", "_at", "_match_at", "_match_time"]
 
 
-_VISIT_SCHEMA = "credit_at long, line_at long, line_time long, used long"
+def _merge_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Left-over credits of each right half visit the open lines of its left half.
 
-
-def _visit_earlier_pieces(folded: DataFrame) -> DataFrame | None:
-    """Matches of leftover credits in earlier pieces of their key, or None if there are none."""
-    opened = folded.filter(F.col("_kind") == _ORDER).select(
-        *[F.col(c).alias(c) for c in [*KEY, "_at"]],
-        piece_of(F.col("_at")).alias("piece"),
-        F.col("_time").alias("time"),
-        F.col("_amount").alias("left"),
-    )
-    # Only the first and last key of a partition emit open lines: at most two pieces for
-    # each partition, so this table is bounded by the partition count and not by the data.
-    peaks = (
-        opened.groupBy(*KEY, "piece")
-        .agg(F.max("left").alias("peak"))
-        .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("piece", "peak"))).alias("peaks"))
+    A node's credits come first, in order, then its lines, latest piece first. A task holds the
+    credits that are still without a line and the lines of one piece.
+    """
+    node, piece, credits, lines = None, None, [], OpenLines()
+    out: list[tuple] = []
+
+    def visit() -> None:
+        """The piece just read: each waiting credit takes its turn, what is left stays open."""
+        nonlocal credits, lines
+        rest = []
+        for credit in credits:
+            time, need, at, idx = credit
+            hit = lines.take(time, need)
+            if hit is None:
+                rest.append(credit)
+            else:
+                out.append((*node[:-1], idx, _MATCH, time, need, at, lines.pos[hit], lines.at[hit]))
+        credits = rest
+        for at, left, pos in zip(lines.at, lines.left, lines.pos):
+            if left > 0:
+                out.append((*node[:-1], piece, _ORDER, at, left, pos, None, None))
+        lines = OpenLines()
+
+    def leave() -> None:
+        if node is not None:
+            visit()
+            out.extend((*node[:-1], idx, _CREDIT, time, need, at, None, None) for time, need, at, idx in credits)
+
+    def emitted(schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array(values, f.type) for values, f in zip(zip(*out), schema)] if out else []
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, _STATE) if columns else schema.empty_table().to_batches()[0]
+
+    schema = None
+    for batch in batches:
+        schema = pa.schema([batch.schema.field(n) for n in _STATE])
+        column = [batch.column(n).to_pylist() for n in [*KEY, "_node", "_idx", "_kind", "_time", "_amount", "_at"]]
+        for *now, idx, kind, time, amount, at in zip(*column):
+            if now != node:
+                leave()
+                node, piece, credits, lines = now, None, [], OpenLines()
+            if kind == _CREDIT:
+                credits.append((time, amount, at, idx))
+                continue
+            if idx != piece:
+                visit()
+                piece = idx
+            lines.add(time, amount, at)
+        if out:
+            yield emitted(schema)
+    leave()
+    if out:
+        yield emitted(schema)
+
+
+def _merge_round(state: DataFrame, level: int) -> DataFrame:
+    """Pairs of segments of ``2^level`` pieces become one segment each."""
+    side = F.shiftright("_idx", level).bitwiseAND(1)
+    takes_part = ((F.col("_kind") == _ORDER) & (side == 0)) | ((F.col("_kind") == _CREDIT) & (side == 1))
+    turn = F.when(F.col("_kind") == _ORDER, -F.col("_idx"))
+    nodes = state.filter(takes_part).withColumn("_node", F.shiftright("_idx", level + 1))
+    laid = nodes.repartition(*KEY, "_node").sortWithinPartitions(
+        *KEY, "_node", F.col("_kind").desc(), turn, F.col("_at")
     )
+    merged = laid.mapInArrow(_merge_halves, state.schema)
+    return written(state.filter(~takes_part).unionByName(merged), "attribution")
+
+
+def _match_across_pieces(folded: DataFrame) -> DataFrame | None:
+    """Matches (``credit_at``, ``line_time``) of credits whose key began in an earlier piece.
+
+    Pieces of a key merge pairwise, so their number is halved each round. A credit prefers its
+    own half, which has been settled before, and a line meets the credits of its own half first:
+    both orders are those of one pass over the whole key. None if no credit can match.
+    """
+    opened = folded.filter(F.col("_kind") == _ORDER).withColumn("_idx", piece_of(F.col("_at")))
+    # Only the first and last key of a partition emit open lines, so this table has two rows a
+    # partition at most and not more with more data.
+    keys = opened.groupBy(*KEY).agg(F.min("_idx").alias("_first"), F.max("_amount").alias("_peak"))
+    keys = F.broadcast(written(keys, "piece-keys"))
     waiting = (
         folded.filter((F.col("_kind") == _CREDIT) & F.col("_match_at").isNull())
-        .select(
-            *KEY,
-            piece_of(F.col("_at")).alias("origin"),
-            F.col("_at"),
-            F.col("_time").alias("time"),
-            F.col("_amount").alias("need"),
-        )
-        .join(F.broadcast(peaks), KEY)
-        .withColumn("cursor", F.col("origin"))
+        .withColumn("_idx", piece_of(F.col("_at")))
+        .join(keys, KEY)
+        .filter((F.col("_idx") > F.col("_first")) & (F.col("_amount") <= F.col("_peak")))
+    )
+    opened = opened.join(keys, KEY)
+    within = lambda df: df.withColumn("_idx", (F.col("_idx") - F.col("_first")).cast("int")).select(_STATE)
+    waiting = written(within(waiting), "waiting")
+    last, smallest = waiting.agg(F.max("_idx"), F.min("_amount")).first()
+    if last is None:
+        return None
+    # No line before the last waiting credit that could hold any of them is left out.
+    usable = within(opened).filter((F.col("_idx") < last) & (F.col("_amount") >= smallest))
+    state = waiting.unionByName(usable)
+    for level in range(last.bit_length()):
+        state = _merge_round(state, level)
+    return state.filter(F.col("_kind") == _MATCH).select(
+        F.col("_at").alias("credit_at"), F.col("_match_time").alias("line_time")
     )
-
-    def aim(df: DataFrame) -> DataFrame:
-        fits = F.filter(
-            "peaks", lambda p: (p["piece"] < F.col("cursor")) & (p["peak"] >= F.col("need"))
-        )
-        aimed = df.withColumn("target", F.element_at(F.transform(fits, lambda p: p["piece"]), -1))
-        return aimed.withColumn("distance", F.col("origin") - F.col("target"))
-
-    # element_at on an empty array is an error under ANSI; keep rows that still have a target.
-    def with_target(df: DataFrame) -> DataFrame:
-        return aim(
-            df.filter(
-                F.exists(
-                    "peaks",
-                    lambda p: (p["piece"] < F.col("cursor")) & (p["peak"] >= F.col("need")),
-                )
-            )
-        )
-
-    waiting = cut_lineage(with_target(waiting))
-    found: DataFrame | None = None
-    while True:
-        distance = waiting.agg(F.min("distance")).first()[0]
-        if distance is None:
-            return found
-        active = waiting.filter(F.col("distance") == distance)
-        targets = active.select(*KEY, F.col("target").alias("piece")).distinct()
-        orders = opened.join(F.broadcast(targets), [*KEY, "piece"], "left_semi")
-        if found is not None:
-            used = found.groupBy(F.col("line_at").alias("_at")).agg(F.sum("used").alias("gone"))
-            orders = (
-                orders.join(used, "_at", "left")
-                .withColumn("left", F.col("left") - F.coalesce("gone", F.lit(0)))
-                .drop("gone")
-            )
-        seekers = active.select(
-            *[F.col(c).alias(c) for c in [*KEY, "_at"]],
-            F.col("target").alias("piece"),
-            F.col("_at").alias("at_"),
-            "time",
-            "need",
-        )
-        orders = orders.select(
-            *[F.col(c).alias(c) for c in [*KEY, "piece", "_at"]],
-            F.col("_at").alias("at_"),
-            "time",
-            "left",
-        )
-        hits = cut_lineage(
-            seekers.groupBy(*KEY, "piece")
-            .cogroup(orders.groupBy(*KEY, "piece"))
-            .applyInPandas(_visit_piece, _VISIT_SCHEMA)
-        )
-        done = hits.select(F.col("credit_at").alias("_at"))
-        moved = F.when(F.col("distance") == distance, F.col("target")).otherwise(F.col("cursor"))
-        waiting = cut_lineage(
-            with_target(waiting.join(done, "_at", "left_anti").withColumn("cursor", moved))
-        )
-        found = hits if found is None else found.unionByName(hits)
 
 
 def _source_order(tx: DataFrame, order: Sequence[str] | None) -> list[str]:
@@ -276,13 +279,12 @@ def credit_attribution(
             T.StructField("_match_time", T.LongType()),
         ]
     )
-    folded = cut_lineage(laid.mapInArrow(_fold_piece, schema))
-    late = _visit_earlier_pieces(folded)
+    folded = written(laid.mapInArrow(_fold_piece, schema), "folded")
+    late = _match_across_pieces(folded)
     matched = folded.filter(F.col("_kind") == _CREDIT)
     time = F.col("_match_time")
     if late is not None:
-        found = late.select(F.col("credit_at").alias("_at"), F.col("line_time"))
-        matched = matched.join(found, "_at", "left")
+        matched = matched.join(late.withColumnRenamed("credit_at", "_at"), "_at", "left")
         time = F.coalesce(time, F.col("line_time"))
     eff = wall_from_micros(time)
     matched = matched.withColumn("eff_date", eff).select(*columns, "eff_date")

@@ -214,3 +214,9 @@ def run_statistics(
 def estimate_gap(reported: float, reference: float, tolerance: float = 0.012) -> bool:
     """A published figure agrees with the recomputed one within the tolerance."""
     return math.isfinite(reported) and abs(reported - reference) <= tolerance
+
+
+def within_gap(reported: Column, reference: Column, tolerance: float = 0.012) -> Column:
+    """``estimate_gap`` of two columns; a missing or infinite figure does not agree."""
+    ok = F.abs(reported - reference) <= tolerance
+    return F.coalesce(ok & ~F.isnan(reported), F.lit(False))

@@ -1,16 +1,17 @@
 """Case retrieval: two TF-IDF views per domain, rank fusion and a balanced panel.
 
 Documents carry ``pmcid``, ``source`` (the domain), ``title`` and ``case_summary``. An index is
-built once per corpus and stored as tables; a request then touches only its own terms.
+built once per corpus, stored as tables and shared; a request then touches only its own terms.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,9 +24,9 @@ from tidemark.functions.textfold import (
     word_terms,
     words_only,
 )
-from tidemark.operators.contracts import ContractError
+from tidemark.operators.contracts import ContractError, spec_fingerprint, table_digest
 from tidemark.operators.ordering import ordered_positions
-from tidemark.session import scratch_path, spread
+from tidemark.session import path_exists, remove_path, scratch_path, shared_folder, spread, written
 
 RRF_OFFSET = 60
 DOMAINS = ("cardiac", "systemic", "vascular")
@@ -141,20 +142,28 @@ def fit_vocabulary(
     return terms.sparkSession.read.parquet(f"{path}/vocabulary")
 
 
-def build_index(
-    documents: DataFrame, views: Sequence[View] = RELEASE_VIEWS, extra: DataFrame | None = None
-) -> Index:
-    """Fit every domain on its own documents only. ``extra`` rows (source, text) join the fit
-    without being searchable, as the global baseline does with its query."""
-    spark = documents.sparkSession
-    path = scratch_path(spark, "index")
-    keep = ["source", "pmcid"]
-    named = documents.select(
+def _named(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("source").cast("string").alias("source"),
         F.col("pmcid").cast("string").alias("pmcid"),
         "title",
         "case_summary",
     )
+
+
+def build_index(
+    documents: DataFrame,
+    views: Sequence[View] = RELEASE_VIEWS,
+    extra: DataFrame | None = None,
+    path: str | None = None,
+) -> Index:
+    """Fit every domain on its own documents only, in tables below ``path``. ``extra`` rows
+    (source, text) join the fit without being searchable, as the global baseline does with its
+    query."""
+    spark = documents.sparkSession
+    path = path or scratch_path(spark, "index")
+    keep = ["source", "pmcid"]
+    named = _named(documents)
     # Folding visits Python, after which the planner no longer knows the partitioning: so the
     # texts are folded first and then shuffled once.
     searched = strip_accents(eligible_text(F.col("title"), F.col("case_summary")))
@@ -184,13 +193,76 @@ def build_index(
         .agg(F.sqrt(steady_sum(weight * weight)).alias("norm"))
     )
     norms.write.parquet(f"{path}/norms")
-    return Index(
-        named.select("pmcid", "source"),
-        searchable,
-        vocabulary,
-        spark.read.parquet(f"{path}/norms"),
-        views,
-    )
+    named.select("pmcid", "source").write.parquet(f"{path}/documents")
+    return read_index(spark, path, views)
+
+
+def read_index(spark: SparkSession, path: str, views: Sequence[View] = RELEASE_VIEWS) -> Index:
+    """The index whose tables lie below ``path``; a capped vocabulary replaces the counted one."""
+    read = spark.read.parquet
+    chosen = "vocabulary" if path_exists(spark, f"{path}/vocabulary") else "counted"
+    searchable = read(f"{path}/terms").filter(F.col("pmcid").isNotNull())
+    return Index(read(f"{path}/documents"), searchable, read(f"{path}/{chosen}"), read(f"{path}/norms"), views)
+
+
+def _receipt(index: Index) -> DataFrame:
+    """``table, n_rows, digest`` of what a request reads."""
+    parts = []
+    for name in ("documents", "terms", "vocabulary", "norms"):
+        rows = getattr(index, name)
+        digest = table_digest(rows, sorted(rows.columns), name)
+        parts.append(digest.select(F.lit(name).alias("table"), "n_rows", "digest"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def index_place(documents: DataFrame, views: Sequence[View] = RELEASE_VIEWS, extra: DataFrame | None = None) -> str:
+    """Where the index of this corpus lies: a path named by the digest of its rows and settings."""
+    settings = spec_fingerprint({"views": [asdict(v) for v in views]})
+    parts = [table_digest(_named(documents), ["source", "pmcid", "title", "case_summary"], settings).first().digest]
+    if extra is not None:
+        parts.append(table_digest(extra, ["source", "text"], settings).first().digest)
+    name = spec_fingerprint({"parts": parts})
+    return f"{shared_folder(documents.sparkSession)}/indexes/{name}"
+
+
+# Indexes that this process has compared with their receipts.
+_verified: set[str] = set()
+
+
+def shared_index(
+    documents: DataFrame, views: Sequence[View] = RELEASE_VIEWS, extra: DataFrame | None = None
+) -> Index:
+    """The stored index of a corpus, built by the first request that needs it.
+
+    It is found by the digest of the corpus, so changed documents get another. The receipt is
+    written last and names the folder: a build that was cut short is not found. A process
+    compares the tables with the receipt once, and builds again what has been changed since.
+    """
+    spark = documents.sparkSession
+    place = index_place(documents, views, extra)
+    kinds = "folder string, receipt array<struct<table: string, n_rows: bigint, digest: string>>"
+    lines = lambda index: sorted(tuple(r) for r in _receipt(index).collect())
+    if path_exists(spark, f"{place}/receipt"):
+        [known] = spark.read.schema(kinds).json(f"{place}/receipt").collect()
+        index = read_index(spark, f"{place}/{known.folder}", views)
+        if place in _verified or lines(index) == sorted(tuple(r) for r in known.receipt):
+            _verified.add(place)
+            return index
+    folder = uuid.uuid4().hex
+    index = build_index(documents, views, extra, f"{place}/{folder}")
+    row = spark.createDataFrame([(folder, lines(index))], kinds)
+    row.coalesce(1).write.mode("overwrite").json(f"{place}/receipt")
+    _verified.add(place)
+    return index
+
+
+def remove_index(
+    documents: DataFrame, views: Sequence[View] = RELEASE_VIEWS, extra: DataFrame | None = None
+) -> bool:
+    """Remove the stored index of a corpus; was there one?"""
+    place = index_place(documents, views, extra)
+    _verified.discard(place)
+    return remove_path(documents.sparkSession, place)
 
 
 def query_weights(index: Index, facets: DataFrame) -> DataFrame:
@@ -259,6 +331,69 @@ def fused_ranks(index: Index, facets: DataFrame) -> DataFrame:
     return rank_positions(scored, ["source"])
 
 
+def _ranks_of(scores: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``source, view, pmcid, rank`` of the chosen documents, without sorting the others.
+
+    Every row counts how many of the chosen keys are not behind it; summed up by that number,
+    the rows ahead of each chosen one are known. ``chosen`` has few rows a domain and view.
+    """
+    key = F.struct((-F.col("score")).alias("below"), F.col("pmcid"))
+    keys = scores.join(F.broadcast(chosen), ["source", "pmcid"], "left_semi").groupBy("source", "view").agg(
+        F.array_sort(F.collect_list(key)).alias("keys")
+    )
+    keys = written(keys, "chosen-keys")
+    ahead = scores.join(F.broadcast(keys), ["source", "view"]).filter(key < F.element_at("keys", -1))
+    counts = ahead.groupBy("source", "view", F.size(F.filter("keys", lambda k: k <= key)).alias("place")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    # Row counts by place, next to the keys: the rank of key j is one more than all at most j.
+    listed = keys.join(
+        counts.groupBy("source", "view").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("counts")),
+        ["source", "view"],
+        "left",
+    )
+    placed = listed.select("source", "view", "counts", F.posexplode("keys").alias("place", "key"))
+    here = F.coalesce(F.try_element_at("counts", F.col("place")), F.lit(0))
+    upto = F.sum(here).over(W.partitionBy("source", "view").orderBy("place"))
+    return placed.select("source", "view", F.col("key.pmcid").alias("pmcid"), (upto + 1).alias("rank"))
+
+
+def best_fused(index: Index, facets: DataFrame, k: int, depth: int | None = None) -> DataFrame:
+    """``source, pmcid, score, rank`` of the best ``k`` of every domain by fused rank.
+
+    The best of each view are candidates; the ranks they miss in other views are counted. Every
+    other document is behind the last of them in all views, which bounds its fusion value. Where
+    the k-th candidate does not exceed the bound, more than the first ``depth`` are taken.
+    """
+    scores = written(cosine_scores(index, facets), "scores")
+    sizes = {r.source: r["count"] for r in index.documents.groupBy("source").count().collect()}
+    depth = depth or 4 * k
+    while True:
+        best = [
+            scores.filter((F.col("source").eqNullSafe(source)) & (F.col("view") == v.name))
+            .orderBy(F.col("score").desc(), "pmcid")
+            .limit(depth)
+            .select("source", "pmcid")
+            for source in sizes
+            for v in index.views
+        ]
+        if not best:
+            return fused_ranks(index, facets)
+        chosen = written(reduce(DataFrame.unionByName, best).distinct(), "candidates")
+        ranks = _ranks_of(scores, chosen).groupBy("source", "pmcid").agg(
+            *[F.max(F.when(F.col("view") == v.name, F.col("rank"))).alias(f"_{v.name}") for v in index.views]
+        )
+        fused = ranks.select("source", "pmcid", rrf(*[F.col(f"_{v.name}") for v in index.views]).alias("score"))
+        order = W.partitionBy("source").orderBy(F.col("score").desc(), "pmcid")
+        fused = fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        fused = written(fused, "fused")
+        last = {r.source: r.score for r in fused.filter(F.col("rank") == k).collect()}
+        bound = sum(1.0 / (RRF_OFFSET + depth + 1) for _ in index.views)
+        if all(size <= depth or last.get(source, 0.0) > bound for source, size in sizes.items()):
+            return fused
+        depth *= 4
+
+
 def release_cycle(requests: DataFrame, domains: Sequence[str] = DOMAINS) -> DataFrame:
     """``query_id, top_k, source, cycle_pos``: the domain order of a request's panel.
 
@@ -309,10 +444,10 @@ def retrieve(
 ) -> DataFrame:
     """The panel of a request: ``position, pmcid, source, score``."""
     known = documents.filter(F.col("source").isin(*domains)) if index is None else None
-    index = index or build_index(known)
+    index = index or shared_index(known)
     spark = documents.sparkSession
     request = spark.createDataFrame([(query_id, top_k)], "query_id string, top_k int")
-    return balanced_panel(fused_ranks(index, facets), release_cycle(request, domains), top_k)
+    return balanced_panel(best_fused(index, facets, top_k), release_cycle(request, domains), top_k)
 
 
 def domain_counts(documents: DataFrame) -> DataFrame:
@@ -326,7 +461,7 @@ def global_baseline(documents: DataFrame, facets: DataFrame, top_k: int = 12) ->
         F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("source", "text"))), lambda x: x["text"])).alias("text")
     ).withColumn("source", everything)
     flat = documents.withColumn("source", everything)
-    index = build_index(flat, GLOBAL_VIEWS, extra=query)
+    index = shared_index(flat, GLOBAL_VIEWS, extra=query)
     scores = cosine_scores(index, query).select("pmcid", "score")
     best = scores.orderBy(F.col("score").desc(), "pmcid").limit(top_k)
     place = F.row_number().over(W.orderBy(F.col("score").desc(), F.col("pmcid")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import seeded_fold, seeded_hash
-from tidemark.operators.ordering import hash_cut, ordered_positions
+from tidemark.operators.ordering import hash_cut, nth_rows, ordered_positions
 
 
 def kfold(df: DataFrame, key: str, k: int, seed: int, name: str = "fold") -> DataFrame:
@@ -73,9 +75,8 @@ def rebalance_negatives(
 
 
 def seeded_pick(
-    df: DataFrame, group: str, index: str, order: list[Column], seed: int
+    df: DataFrame, group: str, index: str, order: Sequence[str], seed: int
 ) -> DataFrame:
-    """One row per group: the row at ``(seed + group index) mod group size``."""
-    placed = ordered_positions(df, [group], order, "_place", "_size")
-    want = F.pmod(F.lit(seed) + F.col(index), F.col("_size"))
-    return placed.filter(F.col("_place") - 1 == want).drop("_place", "_size")
+    """One row per group: the row at ``(seed + group index) mod group size`` in ascending order."""
+    place = F.pmod(F.lit(seed) + F.col(index), F.col("_size")) + 1
+    return nth_rows(df, [group], order, place)

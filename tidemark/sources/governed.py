@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.contracts import ContractError, assert_unique, duplicate_keys
-from tidemark.session import cut_lineage
+from tidemark.session import written
 from tidemark.sources.readers import CASE_SCHEMA, MANIFEST_SCHEMA, REGISTRY_SCHEMA, read_jsonl
 
+BLOCK_BYTES = 8 << 20
 REQUIRED = ("record_key", "title", "case_summary")
 BREACHES = {
     "incomplete": "file with cases that lack a required key",
@@ -32,11 +35,42 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return assert_unique(read_jsonl(spark, path, REGISTRY_SCHEMA), ["record_key"])
 
 
+def _open(uri: str):
+    """A readable stream of a file, by the scheme of its address."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file" or uri.startswith("/"):
+        # Listed paths read file:/a or file:///a and are not escaped.
+        local = uri if scheme != "file" else "/" + rest.lstrip("/")
+        return open(local, "rb")  # noqa: SIM115
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_stream(path)
+
+
+def _streamed_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """sha256 of every file, read in blocks: a task holds one block, whatever the file's size."""
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            running = hashlib.sha256()
+            with _open(path) as stream:
+                while block := stream.read(BLOCK_BYTES):
+                    running.update(block)
+            digests.append(running.hexdigest())
+        yield pd.DataFrame({"path": batch["path"], "sha256": digests})
+
+
 def file_digests(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """``path, sha256`` of whole files. A file is hashed by one task, so files have to stay
-    of a size one task can hold; deliveries of this kind are many files, not a large one."""
-    raw = spark.read.format("binaryFile").load(paths)
-    return raw.select("path", F.sha2("content", 256).alias("sha256"))
+    """``path, sha256`` of whole files of any size.
+
+    Spark lists the files without reading them; each is then read once, block by block, by the
+    task that has its name. Files are dealt over as many tasks as there are cores. Files without
+    content are not listed.
+    """
+    listed = spark.read.format("binaryFile").load(paths).select("path")
+    dealt = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+    return dealt.mapInPandas(_streamed_digests, "path string, sha256 string")
 
 
 def unsafe_paths(files: DataFrame) -> DataFrame:
@@ -132,7 +166,7 @@ def governed_read(
         F.col("domain").alias("_registered"),
         F.lit(True).alias("_known"),
     )
-    placed = cut_lineage(cases.join(declared, "_path", "left").join(known, "record_key", "left"))
+    placed = written(cases.join(declared, "_path", "left").join(known, "record_key", "left"), "placed")
 
     per_file = placed.groupBy("_path").agg(F.count(F.lit(1)).alias("_rows"))
     counted = active.join(per_file, F.col("path") == F.col("_path"), "left")

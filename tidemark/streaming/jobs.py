@@ -7,12 +7,12 @@ from collections.abc import Iterator, Mapping, Sequence
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.timeutil import wall_from_micros, wall_micros
+from tidemark.operators.eventlog import funnel_progress
 from tidemark.plans.serving import serve
 from tidemark.session import scratch_path
 
@@ -113,65 +113,29 @@ def canary_counts(
 def funnel_stream(
     log: DataFrame, steps: Sequence[str], session: str, op: str, order: Sequence[str]
 ) -> DataFrame:
-    """Ordered funnel over an append-only log that may arrive in any order.
+    """Step events of an append-only log, for a sink from which ``furthest`` reads the funnel.
 
-    Emits a row whenever a session gets further; the furthest row is its result. ``order``
-    starts with the event time. A late event can only move the time a step was reached to an
-    earlier one, so a session's state holds, per step, the events up to that time, and all of
-    its later steps; a finished session keeps its number alone. Sessions do not expire: that
-    would change their result. Only step events are shuffled.
+    A late event can make any earlier one count, so none but repetitions may be left out. They
+    are folded inside each task; nothing is shuffled and no session has a state, however many
+    events it has and for however long.
     """
-    wanted = list(steps)
-    places: dict[str, list[int]] = {}
-    for place, step in enumerate(wanted):
-        places.setdefault(step, []).append(place)
-
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        before, stored = state.get if state.exists else (0, [])
-        held: list[set] = [set() for _ in wanted]
-        for place, *at in stored:
-            held[place].add(tuple(at))
+    names = [session, *order, op]
+    relevant = log.filter(F.col(op).isin(*steps)).dropna(subset=list(order)).select(*names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step, *at in zip(batch[op].tolist(), *[batch[c].tolist() for c in order]):
-                for place in places[step]:
-                    held[place].add(tuple(at))
-        reached, cursor = 0, None
-        for place, events in enumerate(held):
-            later = [at for at in events if cursor is None or at > cursor]
-            if not later:
-                break
-            reached, cursor = place + 1, min(later)
-            held[place] = {at for at in events if at <= cursor}
-        if before == len(wanted) or reached == len(wanted):
-            reached, held = len(wanted), []
-        state.update((reached, [(place, *at) for place, events in enumerate(held) for at in events]))
-        if reached > before:
-            yield pd.DataFrame({session: [key[0]], "steps_reached": [reached]})
-
-    relevant = (
-        log.filter(F.col(op).isin(*wanted))
-        .dropna(subset=list(order))
-        .select(session, *order, op)
-        .withColumn(order[0], wall_micros(F.col(order[0])))
-    )
-    output = T.StructType(
-        [log.schema[session], T.StructField("steps_reached", T.IntegerType())]
-    )
-    event = T.StructType(
-        [T.StructField("place", T.IntegerType()), *[relevant.schema[c] for c in order]]
-    )
-    kept = T.StructType(
-        [T.StructField("reached", T.IntegerType()), T.StructField("held", T.ArrayType(event))]
-    )
-    return relevant.groupBy(session).applyInPandasWithState(
-        advance, output, kept, "append", GroupStateTimeout.NoTimeout
-    )
+            rows = pa.Table.from_batches([batch])
+            yield from rows.group_by(names, use_threads=False).aggregate([]).select(names).to_batches()
 
+    return relevant.mapInArrow(fold, relevant.schema)
 
-def furthest(progress: DataFrame, session: str) -> DataFrame:
-    return progress.groupBy(session).agg(F.max("steps_reached").alias("steps_reached"))
+
+def furthest(
+    events: DataFrame, steps: Sequence[str], session: str, op: str, order: Sequence[str]
+) -> DataFrame:
+    """``session, steps_reached`` of the written step events, by the batch form's grouped minima."""
+    reached = funnel_progress(events.distinct(), steps, session, op, order)
+    return reached.filter(F.col("steps_reached") > 0).select(session, "steps_reached")
 
 
 def fresh_sink(spark: SparkSession) -> str:
