@@ -197,9 +197,16 @@ def trailing_window(spark, sf):
     )
 
 
-TRAILING_WINDOW = f"""WITH RECURSIVE {ATTRIBUTED_SQL}, {GRID_SQL}
-SELECT as_of, count(*) AS n_lines, count(*) FILTER (is_credit) AS n_credit, CAST(sum("Quantity") AS BIGINT) AS quantity
-FROM attributed JOIN stamps ON "InvoiceDate" < as_of - INTERVAL 1 DAY
+_DAYS_SQL = """
+days AS MATERIALIZED (
+  SELECT "InvoiceDate" AS known, eff_date, count(*) AS n, count(*) FILTER (is_credit) AS credits,
+         CAST(sum("Quantity") AS BIGINT) AS quantity
+  FROM attributed WHERE eff_date IS NOT NULL GROUP BY ALL
+)
+"""
+TRAILING_WINDOW = f"""WITH RECURSIVE {ATTRIBUTED_SQL}, {GRID_SQL}, {_DAYS_SQL}
+SELECT as_of, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(credits) AS BIGINT) AS n_credit, CAST(sum(quantity) AS BIGINT) AS quantity
+FROM days JOIN stamps ON known < as_of - INTERVAL 1 DAY
  AND eff_date < as_of - INTERVAL 1 DAY AND eff_date >= as_of - INTERVAL 91 DAY
 GROUP BY as_of"""
 
@@ -216,9 +223,10 @@ def knowledge_gate(spark, sf):
     )
 
 
-KNOWLEDGE_GATE = f"""WITH RECURSIVE {ATTRIBUTED_SQL}, {GRID_SQL}
-SELECT as_of, count(*) AS n_dated, count(*) FILTER ("InvoiceDate" >= as_of - INTERVAL 1 DAY) AS n_held_back
-FROM attributed JOIN stamps ON eff_date < as_of - INTERVAL 1 DAY AND eff_date >= as_of - INTERVAL 91 DAY
+KNOWLEDGE_GATE = f"""WITH RECURSIVE {ATTRIBUTED_SQL}, {GRID_SQL}, {_DAYS_SQL}
+SELECT as_of, CAST(sum(n) AS BIGINT) AS n_dated,
+       CAST(coalesce(sum(n) FILTER (known >= as_of - INTERVAL 1 DAY), 0) AS BIGINT) AS n_held_back
+FROM days JOIN stamps ON eff_date < as_of - INTERVAL 1 DAY AND eff_date >= as_of - INTERVAL 91 DAY
 GROUP BY as_of"""
 
 
