@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import components as components_module
 from tidemark.llm import fingerprints, mixing, vectors
 from tidemark.llm.chat import formatted, read_back
 from tidemark.llm.components import components
@@ -101,6 +102,21 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == {n: find(n) for a, b in edges if a != b for n in (a, b)}
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch, mixed):
+    names = list(range(4000))
+    if mixed:
+        random.Random(7).shuffle(names)
+    tables, real = [], components_module.stored
+    monkeypatch.setattr(components_module, "stored", lambda df, name: tables.append(name) or real(df, name))
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    got = components(edges)
+    assert got.filter("component <> 0").isEmpty() and got.count() == 4000
+    assert tables.count("edges") <= 15 and tables.count("hooks") <= 45
+    size = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) < 1_000_000
+
+
 def classes(texts, width, percent):
     sets = {}
     for i, t in texts.items():

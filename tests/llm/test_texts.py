@@ -1,7 +1,9 @@
 """Per-text operators: tokens, automaton, toxicity, language, pages."""
 
 import hashlib
+import html
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,9 +13,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import html_text, language, toxicity
-from tidemark.llm.bpe_automaton import Automaton, TextCoder, encoded, load_tables, token_digests
+from tidemark.llm.bpe_automaton import Automaton, TextCoder, decoded, encoded, load_tables, token_digests
 from tidemark.llm.queries import vocabulary
-from tidemark.llm.samples import balanced_sample
+from tidemark.llm.draws import balanced_sample
 from tidemark.llm.token_counts import TextCounter, load_merges, token_counts
 
 ODD = [
@@ -47,15 +49,27 @@ def test_coding_equals_the_library():
     library, mine = Tokenizer.from_file(path), TextCoder(load_tables(path))
     for text in texts():
         ids = library.encode(text, add_special_tokens=False).ids
-        decoded = library.decode(ids, skip_special_tokens=False)
-        got = mine.encode(text)
-        assert (got[0].tolist(), got[1]) == (ids, decoded), text
+        want = library.decode(ids, skip_special_tokens=False)
+        assert mine.encode(text).tolist() == ids and mine.decode(ids) == want, text
         packed = np.array(ids, dtype="<u4").tobytes()
         assert mine.digest(text) == (
-            len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(want.encode()).hexdigest()
         )
 
 
+def test_decoding_needs_identifiers_only(spark):
+    """Any identifiers, of whatever path or none, against the library."""
+    path = vocabulary("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), TextCoder(load_tables(path))
+    draw = random.Random(6)
+    lists = [[draw.randrange(library.get_vocab_size()) for _ in range(draw.randrange(0, 40))] for _ in range(200)]
+    assert [mine.decode(ids) for ids in lists] == [library.decode(ids, skip_special_tokens=False) for ids in lists]
+    assert mine.decode([-1, 10**9]) == ""
+    frame = spark.createDataFrame([(1, [320, 321]), (2, []), (3, None)], "i int, ids array<int>")
+    got = {r.i: r.t for r in frame.select("i", decoded(frame, F.col("ids"), path).alias("t")).collect()}
+    assert got == {1: library.decode([320, 321], skip_special_tokens=False), 2: "", 3: ""}
+
+
 def test_automaton_paths_are_the_merge_results():
     draw = random.Random(1)
     for _ in range(60):
@@ -106,6 +120,63 @@ def test_main_text_of_a_page():
     assert html_text.main_text("plain < text & more") == "plain < text & more"
 
 
+SIDE = "<nav><a href=/>Menu, one, two</a></nav><div id='sidebar-left'>Other things, many, many.</div>"
+STORY = "First para, with commas, and words. Second line, just as long as the first, ok."
+PARAS = "<p>First para, with commas, and words.</p><p>Second line, just as long as the first, ok.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"{SIDE}<div class='content has-sidebar'>{PARAS}</div>", STORY),
+        (f"{SIDE}<div class='no-sidebar'>{PARAS}</div>", STORY),
+        (f"{SIDE}<div class='layout-with-sidebar widget'>{PARAS}</div>", STORY),
+        (f"{SIDE}<article>{PARAS}<section id='related-work'><p>Related work, of others.</p></section></article>", STORY + " Related work, of others."),
+        (f"{SIDE}<article><h2 id='notice-period'>Notice period</h2>{PARAS}</article>", "Notice period " + STORY),
+        (f"{SIDE}<article>{PARAS}<p class='social-policy'>On policy, at last.</p></article>", STORY + " On policy, at last."),
+        (f"{SIDE}<article>{PARAS}<figure><img src=x><figcaption>A picture, of it.</figcaption></figure></article>", STORY + " A picture, of it."),
+        (f"{SIDE}<header>Site name</header><article><header><h1>Title</h1></header>{PARAS}</article>", "Title " + STORY),
+        (f"{SIDE}<article><p data-x=it's>Quoted, once.</p>{PARAS}</article>", "Quoted, once. " + STORY),
+        (f"{SIDE}<article><p title='a > b' data-y=\"x'>y\">Quoted, twice.</p>{PARAS}</article>", "Quoted, twice. " + STORY),
+        (f"{SIDE}<article>{PARAS}<div class='ad-slot'>Buy, now.</div><div class=advert>Buy.</div></article>", STORY),
+        (f"<article>{PARAS}</article><div class='comment-list'>{PARAS * 5}</div><div class='share-buttons'>Tell, all.</div>", STORY),
+        (f"<article>{PARAS}</article><div class='cookie-notice'>We use cookies, really.</div><footer>End, of it.</footer>", STORY),
+    ],
+)
+def test_names_do_not_lose_articles(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    pages = [
+        "<div>" * 8000 + "<p>Deep, down, here.",
+        "<div><p>text, one</p>" * 8000,
+        "<div>" * 4000 + "</section>" * 4000 + "Words, here.",
+        "<div>" * 4000 + "<li>one, two" * 4000,
+        "<p title='" * 4000,
+        "<" * 50_000,
+    ]
+    for page in pages:
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 2
+    assert html_text.main_text(pages[0]) == "Deep, down, here."
+
+
+def test_articles_of_all_pages():
+    """The article of each page, read off its tags, with adverts and scripts taken out."""
+    pages = pd.read_parquet("/root/testdata/sf0.1/pages.parquet")
+    inside = re.compile(r"<article>(.*)</article>", re.S)
+    for page in pages["html"]:
+        article = inside.search(page).group(1)
+        article = re.sub(r"<div class=\"ad\">.*?</div>|<script.*?</script>|<style.*?</style>|<!--.*?-->", " ", article, flags=re.S)
+        article = re.sub(r"</?(?:b|i|em|strong|a|span)(?: [^>]*)?>", "", article)
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+        assert html_text.main_text(page) == want
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "<p>Hi, you.", "y"), (2, "<p>Hi, you.", "y")], "page_id int, html string, text string")
     out = [r.t for r in pages.select(html_text.extracted(pages, F.col("html")).alias("t")).collect()]
@@ -138,8 +209,10 @@ def test_toxicity_of_held_out_rows(labelled):
 
 
 def test_toxicity_on_odd_rows(spark, documents, nothing):
-    empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    model = toxicity.fit_toxicity(empty)
+    labels = spark.createDataFrame([(9, 1), (9, 1), (4, None), (None, 0)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(documents, labels)
+    assert not model["bucket"].any()
+    assert list(map(len, toxicity.words_of("A " + "b" * 10_000 + " c"))) == [1, 4096, 4096, 1808, 1]
     for docs in (documents, nothing):
         got = docs.select(toxicity.toxicity_score(docs, F.col("text"), model).alias("s")).collect()
         assert len(got) == docs.count() and all(0 <= r.s <= 1 for r in got)
@@ -184,7 +257,7 @@ def test_language_on_odd_rows(spark, documents, nothing):
     assert nothing.select(language.language(nothing, F.col("text"), model)).count() == 0
 
 
-def test_samples_are_bounded_and_even(spark):
+def test_draws_are_bounded_and_even(spark):
     rows = spark.createDataFrame(pd.DataFrame({"doc_id": range(2000), "toxic": [int(i % 10 == 0) for i in range(2000)]}))
     got = balanced_sample(rows, "doc_id", "toxic", 200).groupBy("toxic").count().collect()
     assert all(60 < r["count"] < 140 for r in got) and len(got) == 2

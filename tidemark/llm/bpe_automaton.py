@@ -10,7 +10,7 @@ Every word has exactly one path from the start, and its labels are the word's to
 
 Encoding walks a word once: the token that ends the path of a prefix is the one suffix whose
 arc leaves the state reached before it. Transitions are table look-ups, filled on first use.
-Decoding emits the labels of the arcs.
+Decoding emits the labels of the arcs that identifiers name; it knows nothing of the text.
 """
 
 from __future__ import annotations
@@ -168,67 +168,69 @@ class TextCoder:
         encoder = self.encoder = Encoder(tables)
         letter = encoder.byte_letter
 
-        def coded(word: str) -> tuple[int, bytes, str]:
+        def coded(word: str) -> bytes:
             arcs = encoder.arcs("".join([letter[b] for b in word.encode()]))
-            ids = b"".join([encoder.identifier[a] for a in arcs])
-            return len(arcs), ids, " ".join([encoder.automaton.label[a] for a in arcs])
+            return b"".join([encoder.identifier[a] for a in arcs])
 
         words = self.words = Remembered(coded, WORDS_KEPT)
         split = self.split = regex.compile(SPLIT)
 
-        def joined(chunk: str) -> tuple[int, bytes, str]:
-            parts = [words[w] for w in split.findall(chunk)]
-            if len(parts) == 1:
-                return parts[0]
-            count, ids, labels = zip(*parts) if parts else ((), (), ())
-            return sum(count), b"".join(ids), " ".join(labels)
+        def joined(chunk: str) -> bytes:
+            return b"".join([words[w] for w in split.findall(chunk)])
 
         self.chunks = Remembered(joined, WORDS_KEPT)
         self.special = tables["specials"]
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
+        # What each identifier's arc emits; one that is not in the vocabulary emits nothing.
+        ids = [*tables["vocab"].values(), *self.special.values()]
+        self.emitted = [None] * (max(ids) + 1)
+        for label, i in [*tables["vocab"].items(), *self.special.items()]:
+            self.emitted[i] = label
 
     def normal(self, text: str) -> str:
         # Letters are lowered one by one, so a capital sigma has one form wherever it stands.
         # White space needs no folding: the split drops it whatever its form.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def pieces(self, text: str) -> Iterator[list[tuple[int, bytes, str]]]:
-        """Coded parts of a text in order, in lists of bounded length."""
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Identifiers of a text in order, four bytes each, in parts of bounded length."""
         of = self.chunks.__getitem__
         for part in self.marks.split(text) if self.marks else [text]:
             if part in self.special:
-                yield [(1, self.special[part].to_bytes(4, "little"), part)]
+                yield self.special[part].to_bytes(4, "little")
                 continue
             normal = self.normal(part)
             if len(normal) < LONG_TEXT:
-                yield list(map(of, normal.split(" ")))
+                yield b"".join(map(of, normal.split(" ")))
                 continue
             held = []
             for match in self.split.finditer(normal):
                 held.append(self.words[match.group()])
                 if len(held) == LONG_TEXT:
-                    yield held
+                    yield b"".join(held)
                     held = []
-            yield held
+            yield b"".join(held)
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """Identifiers and decoded text."""
-        parts = [p for piece in self.pieces(text) for p in piece if p[0]]
-        ids = np.frombuffer(b"".join([p[1] for p in parts]), dtype="<u4")
-        return ids.astype(np.int32), " ".join([p[2] for p in parts])
+    def decode(self, ids) -> str:
+        """The text of a path of identifiers: the labels of its arcs, one blank between them."""
+        emitted, top = self.emitted, len(self.emitted)
+        labels = [emitted[i] if 0 <= i < top else None for i in ids]
+        return " ".join([x for x in labels if x is not None])
+
+    def encode(self, text: str) -> np.ndarray:
+        """Identifiers of a whole text."""
+        return np.frombuffer(b"".join(self.pieces(text)), dtype="<u4").astype(np.int32)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Token count and the digests of identifiers and decoded text, piece by piece."""
-        count, ids, decoded, first = 0, hashlib.sha256(), hashlib.sha256(), True
-        for held in self.pieces(text):
-            piece = [p for p in held if p[0]]
+        count, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for piece in self.pieces(text):
             if piece:
-                count += sum([p[0] for p in piece])
-                ids.update(b"".join([p[1] for p in piece]))
-                decoded.update(("" if first else " ").encode())
-                decoded.update(" ".join([p[2] for p in piece]).encode())
-                first = False
+                found = np.frombuffer(piece, dtype="<u4").tolist()
+                ids.update(piece)
+                decoded.update(((" " if count else "") + self.decode(found)).encode())
+                count += len(found)
         return count, ids.hexdigest(), decoded.hexdigest()
 
 
@@ -249,12 +251,25 @@ def encoded(df: DataFrame, text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = kept(shared.value, "coder", coder)
         for texts in batches:
-            rows = [of.encode(t or "") for t in texts]
-            yield pd.DataFrame({"ids": [r[0] for r in rows], "decoded": [r[1] for r in rows]})
+            ids = [of.encode(t or "") for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [of.decode(i.tolist()) for i in ids]})
 
     return run(text)
 
 
+def decoded(df: DataFrame, ids: Column, path: str) -> Column:
+    """The text of every list of identifiers; null and empty lists give an empty text."""
+    shared = share(df, load_tables(path))
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = kept(shared.value, "coder", coder)
+        for lists in batches:
+            yield pd.Series(["" if found is None else of.decode([int(i) for i in found]) for found in lists], dtype=object)
+
+    return run(ids)
+
+
 def token_digests(df: DataFrame, text: Column, path: str) -> Column:
     """Struct of ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, as ``encoded`` would give.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, kept, share
-from tidemark.llm.samples import balanced_sample
+from tidemark.llm.draws import balanced_sample
 
 UNITS = 8
 CHUNK = 48  # bytes the network reads at once, in both directions

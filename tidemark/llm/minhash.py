@@ -12,9 +12,9 @@ not one contains the other (38 or fewer of 64 values shared); at 0.85 with one o
 
 Members of a list are first compared with one pivot each; members that this joins need no
 comparison with each other any more. What a list still holds of different components is then
-compared in blocks of bounded size, by sketches inside the task; only pairs that the estimate
-lets through leave it. So no link between different texts is lost, whatever the pivots found,
-and no list is enumerated as rows.
+compared in blocks of bounded size: sketches choose pairs and whole sets confirm them inside the
+task, and only links that join components leave it. So the pivots decide how much is compared,
+not what is found, and no list is enumerated as rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from pyspark.sql import Window as W
 
 from tidemark.llm.common import Remembered, bounded_batches, stored
 from tidemark.llm.components import components
-from tidemark.session import cut_lineage
 
 SKETCH = 64
 SHARED = 0.6
@@ -140,64 +139,105 @@ def _still_open(lists: DataFrame) -> DataFrame:
     return lists.join(spans.filter("_lo != _hi").select("value"), "value", "left_semi")
 
 
-def _compared(percent: int, k: int):
-    """Pairs of different components in a block pair that sizes and union sketches let through."""
+class Joined:
+    """Components that links found in a task have joined."""
 
-    def run(key, block: pd.DataFrame) -> pd.DataFrame:
-        one, two = int(key[1]), int(key[2])
+    def __init__(self, parts: np.ndarray):
+        _, self.of = np.unique(parts, return_inverse=True)
+        self.up = list(range(int(self.of.max(initial=-1)) + 1))
+
+    def root(self, row: int) -> int:
+        at, up = int(self.of[row]), self.up
+        while up[at] != at:
+            up[at] = at = up[up[at]]
+        return at
+
+
+def _compared(width: int, percent: int, k: int):
+    """Links of a block pair that join different components: no more than it has members.
+
+    Pairs are gone through by falling estimate. What an earlier link of the block has joined
+    needs none any more; every other pair that sizes and union sketches let through is
+    compared by its whole sets. A pair that meets in several lists is compared in the one of
+    the smallest value.
+    """
+
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        value, one, two = int(key[0]), int(key[1]), int(key[2])
+        shingler = Shingler(width)
         own = block["own"].to_numpy()
         left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        sketch = block["sketch"].to_numpy()
-        size = block["n_shingles"].to_numpy(dtype=np.int64)
-        part = block["component"].to_numpy()
-        rep = block["rep"].to_numpy()
-        flat = np.concatenate(sketch)
-        owner = np.repeat(np.arange(len(block)), [len(x) for x in sketch])
-        values, place, often = np.unique(flat, return_inverse=True, return_counts=True)
-        # Only values held twice can be shared: they make a small table of who holds what.
-        column = np.cumsum(often > 1) - 1
-        twice = often[place] > 1
-        holds = np.zeros((len(block), int((often > 1).sum())), dtype=np.float32)
-        holds[owner[twice], column[place[twice]]] = 1
-        both = holds[left] @ holds[right].T
+        rep, part = block["rep"].to_numpy(), block["component"].to_numpy()
+        full = [shingler.hashes(shingler.words(t)) for t in block["text"]]
+        size = np.array([len(x) for x in full], dtype=np.int64)
+        both = _common([x[:k] for x in full], left, right)
         a, b = size[left][:, None], size[right][None, :]
         least = SHARED * np.minimum(np.minimum(a, b), k)  # the union sketch is at least so long
         fits = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (both >= least)
         fits &= part[left][:, None] != part[right][None, :]
         if one == two:
             fits &= rep[left][:, None] < rep[right][None, :]
+        fits &= _common([np.array([v for v in vs if v < value], dtype=np.int64) for vs in block["values"]], left, right) == 0
         i, j = np.nonzero(fits)
-        p, q = rep[left[i]], rep[right[j]]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+        order = np.argsort(-both[i, j] / np.minimum(k, np.maximum(size[left[i]], size[right[j]])), kind="stable")
+        joined, links = Joined(part), []
+        for x, y in zip(left[i[order]].tolist(), right[j[order]].tolist()):
+            p, q = joined.root(x), joined.root(y)
+            if p == q:
+                continue
+            shared = len(np.intersect1d(full[x], full[y], assume_unique=True))
+            if 100 * shared < percent * (size[x] + size[y] - shared):
+                continue
+            # Hashes of 64 bits found it; the sets themselves decide.
+            s, t = shingler.shingles(block["text"].iloc[x]), shingler.shingles(block["text"].iloc[y])
+            if 100 * len(s & t) >= percent * len(s | t):
+                joined.up[p] = q
+                links.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
 
-def _block_pairs(entries: DataFrame, sketch: DataFrame, percent: int, k: int) -> DataFrame:
-    """Candidate pairs of the open lists, from blocks of about BLOCK members a side."""
+def _common(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values the rows of ``left`` and ``right`` share."""
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(values)), [len(x) for x in values])
+    _, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+    # Only values held twice can be shared: they make a small table of who holds what.
+    column = np.cumsum(often > 1) - 1
+    twice = often[place] > 1
+    holds = np.zeros((len(values), int((often > 1).sum())), dtype=np.float32)
+    holds[owner[twice], column[place[twice]]] = 1
+    return holds[left] @ holds[right].T
+
+
+def _block_links(entries: DataFrame, lists: DataFrame, texts: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Links between components in the open lists, from blocks of about BLOCK members a side."""
     sizes = entries.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     cut = entries.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
     every = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     placed = every.select(
         "value", F.least("own", "_other").alias("one"), F.greatest("own", "_other").alias("two"), "own", "rep", "component"
     )
-    full = placed.join(sketch, "rep")
+    # The lists of a member are as many as its sketch has values at most.
+    of = lists.join(entries.select("rep").distinct(), "rep", "left_semi").groupBy("rep")
+    member = of.agg(F.collect_list("value").alias("values")).join(texts, "rep")
     kind = dict(entries.dtypes)["rep"]
-    return full.groupBy("value", "one", "two").applyInPandas(_compared(percent, k), f"a {kind}, b {kind}").distinct()
+    full = placed.join(member, "rep")
+    return full.groupBy("value", "one", "two").applyInPandas(_compared(width, percent, k), f"a {kind}, b {kind}").distinct()
 
 
 def links_to_components(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """``rep`` and ``component`` of every class that is linked with another."""
-    lists = cut_lineage(_lists(reps).withColumn("component", F.col("rep")))
+    lists = stored(_lists(reps).withColumn("component", F.col("rep")), "lists")
     needed = lists.select("rep").distinct()
-    texts = cut_lineage(
-        docs.join(reps.select("rep"), docs["doc_id"] == F.col("rep")).join(needed, "rep", "left_semi").select("rep", "text")
-    )
-    sketch = cut_lineage(reps.join(needed, "rep", "left_semi").select("rep", "sketch", "n_shingles"))
-    edges = found = None
+    texts = docs.join(reps.select("rep"), docs["doc_id"] == F.col("rep")).join(needed, "rep", "left_semi")
+    texts = stored(texts.select("rep", "text"), "list-texts")
+    sketch = stored(reps.join(needed, "rep", "left_semi").select("rep", "sketch", "n_shingles"), "list-sketches")
+    edges = None
     turn, last = 0, False
     while not last:
-        entries = cut_lineage(_still_open(lists))
+        entries = stored(_still_open(lists), "open")
         if entries.isEmpty():
             break
         last = turn >= PIVOT_ROUNDS
@@ -210,24 +250,20 @@ def links_to_components(docs: DataFrame, reps: DataFrame, width: int, percent: i
             pairs = entries.join(pivots, "value").filter("component != _p.pc").select(
                 F.least("rep", "_p.p").alias("a"), F.greatest("rep", "_p.p").alias("b")
             ).distinct()
+            turn += 1
+            pairs = stored(_likely(pairs, sketch, percent, k), "likely")
+            good = stored(_confirmed(pairs, texts, width, percent), "links")
         else:
-            pairs = _block_pairs(entries, sketch, percent, k)
-        turn += 1
-        if found is not None:
-            pairs = pairs.join(found, ["a", "b"], "left_anti")
-        pairs = cut_lineage(_likely(pairs, sketch, percent, k))
-        found = pairs if found is None else found.union(pairs)
-        good = cut_lineage(_confirmed(pairs, texts, width, percent))
+            good = stored(_block_links(entries, lists, texts, width, percent, k), "block-links")
         if good.isEmpty():
             continue
         edges = good if edges is None else edges.union(good)
         label = components(edges)
         if not last:
-            lists = cut_lineage(
-                lists.select("value", "rep").join(label, lists["rep"] == label["node"], "left").select(
-                    "value", "rep", F.coalesce("component", "rep").alias("component")
-                )
+            lists = lists.select("value", "rep").join(label, lists["rep"] == label["node"], "left").select(
+                "value", "rep", F.coalesce("component", "rep").alias("component")
             )
+            lists = stored(lists, "lists")
     if edges is None:
         return reps.select("rep", F.col("rep").alias("component")).limit(0)
     return label.select(F.col("node").alias("rep"), "component")

@@ -3,13 +3,13 @@
 Shares of the total go to the sources by weight. A source whose share exceeds ``epochs``
 times its size is clamped there, and what it leaves is shared again by weight, until no
 source is above its cap. Every row is then taken a whole number of times, and once more if
-its seeded hash lies under its source's cut, which is found from two histograms of hash
-prefixes: rows are never sorted, ranked or gathered.
+its seeded hash lies under the cut of its source and size class. The cuts come from one
+histogram of hash prefixes by size class: rows are never sorted, ranked or gathered.
 
-The row at which a source passes its target is left out, and what is missing is filled from the
-rows behind it that are no longer than that, round by round. Where more than SHORT of the part
-asked still misses then, that row is taken after all and the rest is filled anew; a row longer
-than the part is taken alone if that is nearer. Without ``fill`` a source ends before that row.
+Size classes are cut from the largest down. What a class leaves over or takes too much, because
+its rows are long, the next smaller one makes up, so a source ends within about half a row, or
+a hash cell, of its smallest class from its target. Every class gives about the same share of
+its rows, as long as the smaller ones can make up for it.
 
 Nulls: a null source is a source of its own; a null size counts as 0. Sources of size 0 have
 target 0 and their rows are taken no time. Repeated rows share their hash and are taken
@@ -18,19 +18,16 @@ alike. An empty table gives an empty result. Extra columns stay with the rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.hashing import seeded_hash
 from tidemark.llm.common import WORD, empty_if_null, stored
-from tidemark.operators.ordering import ordered_positions
+from tidemark.operators.ordering import few, ordered_positions
 
-# Hash bits of one histogram level; two levels tell 2^24 places apart.
-LEVEL_BITS = 12
-SHORT = 0.01
+# Hash bits that tell the cells of a histogram apart.
+CELL_BITS = 12
 
 
 def word_size(text: Column) -> Column:
@@ -78,96 +75,84 @@ def water_fill(sources: DataFrame, epochs: int = 3) -> DataFrame:
     return filled.withColumn("target", target).drop("cap", "clamped")
 
 
-def _level(place: Column, level: int) -> Column:
-    """The ``level``-th group of bits of a place."""
-    return F.shiftright(place, LEVEL_BITS * (1 - level)).bitwiseAND((1 << LEVEL_BITS) - 1)
-
-
-def _edge(rows: DataFrame, bits: Column, wanted: str, out: str) -> DataFrame:
-    """Per source the histogram cell where the running size passes ``wanted``; what is before it."""
-    cells = rows.groupBy("_source", bits.alias(out)).agg(
-        F.sum("_size").alias("_cell"), F.first(wanted).alias("_wanted")
-    )
-    upto = W.partitionBy("_source").orderBy(out).rowsBetween(W.unboundedPreceding, 0)
-    cells = cells.withColumn("_upto", F.sum("_cell").over(upto))
-    holds = (F.col("_upto") > F.col("_wanted")) & (F.col("_upto") - F.col("_cell") <= F.col("_wanted"))
-    rest = (F.col("_wanted") - (F.col("_upto") - F.col("_cell"))).alias("_rest")
-    return cells.filter(holds & (F.col("_cell") > 0)).select("_source", out, rest, "_cell")
+def _class(size: Column) -> Column:
+    """Sizes by their number of binary digits: rows of a class differ by less than a factor of two."""
+    return F.length(F.bin(size))
 
 
-def plan_of(rows: DataFrame, targets: DataFrame, seed: int | str, fill: bool = True) -> DataFrame:
-    """Per source: size, target, whole repetitions, and the hash ranges in which one more is taken.
+def plan_of(rows: DataFrame, targets: DataFrame, seed: int | str) -> DataFrame:
+    """Per source: size, target, whole repetitions, and up to which hash cell each class is taken once more.
 
-    ``rows`` have ``key``, ``source`` and ``size``. The histograms have 2^12 cells a source,
-    whatever the number of rows; a window over the cells of one source is bounded by that.
+    ``rows`` have ``key``, ``source`` and ``size``. They are read once, into at most 2^12 cells
+    for each of 63 classes of a source, whatever their number. The classes of one source are
+    then gone through in one row: each takes the prefix of its cells that comes nearest to its
+    share and what larger classes have left over, within what smaller ones can still make up.
     """
     times = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     facts = targets.select(
         F.struct("source").alias("_source"), "source_size", "target", F.floor(times).cast("long").alias("_whole")
     )
-    facts = facts.withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
-    hashed = rows.select(F.struct("source").alias("_source"), F.col("size").alias("_size"), _place(F.col("key"), seed).alias("_place"))
-    start = {"_from": F.lit(0), "_most": F.lit(float("inf")), "_ranges": F.expr("CAST(array() AS ARRAY<STRUCT<_from: INT, _upto: INT, _most: DOUBLE>>)")}
-    start["_long"] = F.expr("CAST(NULL AS STRUCT<place: INT, size: BIGINT>)")
-    asked = facts.select("_source", "_part", F.col("_part").alias("_gap"), F.expr("CAST(array() AS ARRAY<INT>)").alias("_also"))
-    asked, done = asked.withColumns(start), []
-    while True:
-        found = stored(_round(hashed, asked, fill), "mix_round")
-        done.append(found.filter("_next = 'done'").select("_source", "_ranges", "_also"))
-        behind = found.filter("_next = 'behind'").withColumns({"_from": F.col("_cut") + 1, "_gap": F.col("_left"), "_most": F.col("_left")})
-        anew = found.filter("_next = 'anew'").withColumns({"_gap": F.col("_part"), **start})
-        asked = behind.unionByName(anew).select(asked.columns)
-        if not fill or asked.isEmpty():
-            break
-    return stored(facts.join(reduce(DataFrame.unionByName, done), "_source", "left").drop("_part"), "mix")
-
-
-def _round(hashed: DataFrame, asked: DataFrame, fill: bool) -> DataFrame:
-    """``asked`` with one more range a source, and whether it goes on behind it, anew, or is done."""
-    fitting = hashed.join(asked, "_source").filter("_place >= _from AND _size <= _most AND NOT array_contains(_also, _place)")
-    first = _edge(fitting, _level(F.col("_place"), 0), "_gap", "_b0").drop("_cell")
-    inside = fitting.join(first, "_source").filter(_level(F.col("_place"), 0) == F.col("_b0"))
-    second = _edge(inside, _level(F.col("_place"), 1), "_rest", "_b1").withColumnRenamed("_rest", "_left")
-    cut = (F.col("_b0") * (1 << LEVEL_BITS) + F.coalesce("_b1", F.lit(0))).cast("int")
-    crossed = first.join(second, "_source", "left").select("_source", cut.alias("_cut"), "_left", "_cell")
-    sums = fitting.groupBy("_source").agg(F.sum("_size").alias("_sum"))
-    found = asked.join(crossed, "_source", "left").join(sums, "_source", "left")
-    # Where no cell passes the target, all rows fit.
-    upto = F.coalesce("_cut", F.lit(1 << 2 * LEVEL_BITS))
-    short = F.when(F.col("_cut").isNull(), F.col("_gap") - F.coalesce("_sum", F.lit(0))).otherwise(0.0)
-    over = F.col("_long")["size"] - F.col("_part")
-    swap = F.lit(fill) & F.coalesce((short >= 1) & (short > F.col("_part") * SHORT) & (over < short), F.lit(False))
-    on = F.lit(fill) & F.coalesce(F.col("_left") >= 1, F.lit(False))
-    found = found.withColumns(
-        {
-            "_next": F.when(swap & (over <= 0), "anew").when(on, "behind").otherwise("done"),
-            "_ranges": F.when(swap, F.slice("_ranges", 1, 0)).otherwise(
-                F.array_append("_ranges", F.struct(F.col("_from"), upto.alias("_upto"), F.col("_most").cast("double").alias("_most")))
-            ),
-            "_also": F.when(swap, F.array_append("_also", F.col("_long")["place"])).otherwise(F.col("_also")),
-            "_part": F.when(swap, -over).otherwise(F.col("_part")),
-            "_long": F.coalesce("_long", F.struct(F.col("_cut").alias("place"), F.col("_cell").alias("size"))),
-        }
+    cells = (
+        rows.filter("size > 0")
+        .groupBy(F.struct("source").alias("_source"), _class(F.col("size")).alias("class"), _cell(F.col("key"), seed).alias("cell"))
+        .agg(F.sum("size").alias("words"))
+    )
+    upto = F.sum("words").over(W.partitionBy("_source", "class").orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
+    classes = (
+        cells.withColumn("upto", upto)
+        .groupBy("_source", "class")
+        .agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("cell", "upto"))).alias("cells"))
+        .groupBy("_source")
+        .agg(F.sort_array(F.collect_list(F.struct("class", "words", "cells")), asc=False).alias("classes"))
     )
-    return found.drop("_sum")
+    held = facts.join(classes, "_source", "left").withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
+    part, size = F.col("_part"), F.col("source_size")
+
+    def take(state: Column, one: Column) -> Column:
+        seen = state["seen"] + one["words"]
+        want = part * seen / size - state["taken"]
+        # What must be left to the smaller classes, and what they can hold.
+        high = part - state["taken"]
+        low = high - (size - seen)
+        nothing = F.array(F.struct(F.lit(-1).alias("cell"), F.lit(0).cast("long").alias("upto")))
+        best = F.array_min(
+            F.transform(
+                F.concat(nothing, one["cells"]),
+                lambda c: F.struct(
+                    F.greatest(low - c["upto"], c["upto"] - high, F.lit(0.0)).alias("beyond"),
+                    F.abs(c["upto"] - want).alias("off"),
+                    c["cell"].alias("cell"),
+                    c["upto"].alias("upto"),
+                ),
+            )
+        )
+        cut = F.struct(one["class"].alias("class"), best["cell"].alias("cell"))
+        return F.struct(
+            (state["taken"] + best["upto"]).alias("taken"), seen.alias("seen"), F.array_append(state["cuts"], cut).alias("cuts")
+        )
+
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<class: INT, cell: INT>>)")
+    start = F.struct(F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("seen"), none.alias("cuts"))
+    cuts = F.when(F.col("classes").isNotNull(), F.aggregate("classes", start, take)["cuts"])
+    return few(held.select("_source", "source_size", "target", "_whole", F.coalesce(cuts, none).alias("_cuts")))
 
 
 def drawn(key: Column, seed: int | str) -> Column:
     return seeded_hash(seed, F.coalesce(key.cast("string"), F.lit("")))
 
 
-def _place(key: Column, seed: int | str) -> Column:
-    """The leading bits of a row's hash that the histograms tell apart."""
-    return F.shiftright(drawn(key, seed), 32 - 2 * LEVEL_BITS).cast("int")
+def _cell(key: Column, seed: int | str) -> Column:
+    """The leading bits of a row's hash, which the histograms tell apart."""
+    return F.shiftright(drawn(key, seed), 32 - CELL_BITS).cast("int")
 
 
 def taken(rows: DataFrame, plan: DataFrame, seed: int | str) -> DataFrame:
     """``rows`` with ``source_size``, ``target`` and ``copies``; the plan has one row a source."""
-    marked = rows.withColumns({"_source": F.struct("source"), "_place": _place(F.col("key"), seed)}).join(plan, "_source", "left")
-    within = lambda r: (F.col("_place") >= r["_from"]) & (F.col("_place") < r["_upto"]) & (F.col("size") <= r["_most"])
-    extra = F.coalesce(F.exists("_ranges", within) | F.array_contains("_also", F.col("_place")), F.lit(False)).cast("long")
-    copies = F.when(F.col("size") > 0, F.coalesce("_whole", F.lit(0)) + extra).otherwise(0)
-    return marked.withColumn("copies", copies.cast("long")).drop("_source", "_place", "_whole", "_ranges", "_also")
+    marked = rows.withColumns({"_source": F.struct("source"), "_class": _class(F.col("size")), "_cell": _cell(F.col("key"), seed)})
+    marked = marked.join(plan, "_source", "left")
+    extra = F.exists("_cuts", lambda c: (c["class"] == F.col("_class")) & (c["cell"] >= F.col("_cell")))
+    copies = F.when(F.col("size") > 0, F.coalesce("_whole", F.lit(0)) + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(0)
+    return marked.withColumn("copies", copies.cast("long")).drop("_source", "_class", "_cell", "_whole", "_cuts")
 
 
 def source_targets(rows: DataFrame, epochs: int = 3) -> DataFrame:
@@ -175,7 +160,7 @@ def source_targets(rows: DataFrame, epochs: int = 3) -> DataFrame:
     return water_fill(cyclic_weights(sizes), epochs)
 
 
-def mixture(docs: DataFrame, epochs: int = 3, seed: int | str = 1, fill: bool = True) -> DataFrame:
+def mixture(docs: DataFrame, epochs: int = 3, seed: int | str = 1) -> DataFrame:
     """The plan of a mix: ``key``, ``source``, ``size``, ``source_size``, ``target``, ``copies``."""
     rows = stored(
         docs.select(
@@ -183,7 +168,7 @@ def mixture(docs: DataFrame, epochs: int = 3, seed: int | str = 1, fill: bool =
         ),
         "sizes",
     )
-    return taken(rows, plan_of(rows, source_targets(rows, epochs), seed, fill), seed)
+    return taken(rows, plan_of(rows, source_targets(rows, epochs), seed), seed)
 
 
 def mixed(docs: DataFrame, epochs: int = 3, seed: int | str = 1) -> DataFrame:

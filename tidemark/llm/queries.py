@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,8 +23,7 @@ def vocabulary(name: str) -> str:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mixture
 
-    # The SQL twin ends a source before the row that passes its target; the pipeline fills it.
-    plan = mixture(table(spark, sf_dir, "documents"), fill=False)
+    plan = mixture(table(spark, sf_dir, "documents"))
     return plan.select(
         F.col("key").alias("doc_id"),
         "size",
@@ -35,11 +33,30 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP1_SQL = """
-WITH d AS (
+def source_mixing_sql() -> str:
+    """Water-filling by levels, then one table a size class, from the largest down."""
+    classes = range(40, 0, -1)
+    steps = "".join(
+        f"""), best{c} AS MATERIALIZED (
+  SELECT s.source, arg_min(x.cell, (greatest(s.part - s.taken - (s.source_size - s.seen - x.words) - x.upto, x.upto - (s.part - s.taken), 0.0),
+           abs(x.upto - (s.part * (s.seen + x.words) / s.source_size - s.taken)), x.cell)) AS cell,
+         arg_min(x.upto, (greatest(s.part - s.taken - (s.source_size - s.seen - x.words) - x.upto, x.upto - (s.part - s.taken), 0.0),
+           abs(x.upto - (s.part * (s.seen + x.words) / s.source_size - s.taken)), x.cell)) AS upto,
+         any_value(x.words) AS words
+  FROM state{c + 1} s JOIN choices x ON x.source IS NOT DISTINCT FROM s.source AND x.class = {c}
+  GROUP BY s.source
+), state{c} AS MATERIALIZED (
+  SELECT s.source, s.part, s.source_size, s.taken + coalesce(b.upto, 0) AS taken, s.seen + coalesce(b.words, 0) AS seen
+  FROM state{c + 1} s LEFT JOIN best{c} b ON b.source IS NOT DISTINCT FROM s.source
+"""
+        for c in classes
+    )
+    cuts = " UNION ALL ".join(f"SELECT source, {c} AS class, cell FROM best{c}" for c in classes)
+    return f"""
+WITH d AS MATERIALIZED (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS BIGINT) AS cell
   FROM documents
 ), src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -54,35 +71,27 @@ WITH d AS (
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), lev AS (
   SELECT *, CAST(cap AS HUGEINT) * free_here < CAST(total - caps_before AS HUGEINT) * weight AS clamped FROM ranked
-), fin AS (
+), fin AS MATERIALIZED (
   SELECT source, source_size, weight,
          CASE WHEN clamped THEN CAST(cap AS DOUBLE)
               ELSE CAST(max(total) OVER () - coalesce(sum(CASE WHEN clamped THEN cap END) OVER (), 0) AS DOUBLE)
                    * weight / CAST(sum(CASE WHEN clamped THEN 0 ELSE weight END) OVER () AS DOUBLE) END AS target
   FROM lev
-), j AS (
-  SELECT d.*, f.source_size, f.target,
-         CAST(floor(coalesce(f.target / nullif(f.source_size, 0), 0.0)) AS BIGINT) AS whole
-  FROM d JOIN fin f ON d.source IS NOT DISTINCT FROM f.source
-), k AS (SELECT *, target - whole * source_size AS part, h >> 20 AS b0, (h >> 8) & 4095 AS b1 FROM j
-), c0 AS (
-  SELECT source, b0, any_value(part) AS wanted, sum(size) AS cell,
-         sum(sum(size)) OVER (PARTITION BY source ORDER BY b0) AS upto
-  FROM k GROUP BY source, b0
-), e0 AS (SELECT source, b0, wanted - (upto - cell) AS rest FROM c0
-          WHERE upto > wanted AND upto - cell <= wanted AND cell > 0
-), c1 AS (
-  SELECT k.source, k.b0, k.b1, any_value(rest) AS wanted, sum(size) AS cell,
-         sum(sum(size)) OVER (PARTITION BY k.source ORDER BY k.b1) AS upto
-  FROM k JOIN e0 ON k.source IS NOT DISTINCT FROM e0.source AND k.b0 = e0.b0 GROUP BY k.source, k.b0, k.b1
-), e1 AS (SELECT source, b1 FROM c1 WHERE upto > wanted AND upto - cell <= wanted AND cell > 0
-), cut AS (
-  SELECT e0.source, e0.b0 * 4096 + coalesce(e1.b1, 0) AS cut
-  FROM e0 LEFT JOIN e1 ON e0.source IS NOT DISTINCT FROM e1.source
-)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN cut IS NOT NULL AND (h >> 8) < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM k LEFT JOIN cut ON k.source IS NOT DISTINCT FROM cut.source
+), parts AS MATERIALIZED (
+  SELECT *, CAST(floor(coalesce(target / nullif(source_size, 0), 0.0)) AS BIGINT) AS whole FROM fin
+), choices AS MATERIALIZED (
+  SELECT source, class, cell, CAST(sum(words) OVER (PARTITION BY source, class) AS BIGINT) AS words,
+         CAST(sum(words) OVER (PARTITION BY source, class ORDER BY cell) AS BIGINT) AS upto
+  FROM (SELECT source, length(bin(size)) AS class, cell, sum(size) AS words FROM d WHERE size > 0 GROUP BY ALL)
+  UNION ALL
+  SELECT source, length(bin(size)), -1, CAST(sum(size) AS BIGINT), 0 FROM d WHERE size > 0 GROUP BY ALL
+), state41 AS (
+  SELECT source, target - whole * source_size AS part, source_size, 0::BIGINT AS taken, 0::BIGINT AS seen FROM parts
+{steps}), cuts AS ({cuts})
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       CAST(d.size * (p.whole + CASE WHEN d.size > 0 AND d.cell <= c.cell THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN parts p ON p.source IS NOT DISTINCT FROM d.source
+LEFT JOIN cuts c ON c.source IS NOT DISTINCT FROM d.source AND c.class = length(bin(d.size))
 """
 
 
@@ -160,12 +169,12 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.samples import remainder
+    from tidemark.llm.draws import remainder
     from tidemark.llm.toxicity import fit_toxicity, toxicity_score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL").distinct()
-    model = fit_toxicity(docs.join(labels, "doc_id").filter(remainder("doc_id", 3) != 1))
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1)
+    model = fit_toxicity(docs, labels)
     scored = docs.withColumn("score", toxicity_score(docs, F.col("text"), model))
     return scored.select(
         "doc_id",
@@ -186,7 +195,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.language import fit_language, language
-    from tidemark.llm.samples import remainder
+    from tidemark.llm.draws import remainder
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language(docs.filter(remainder("doc_id", 5) != 0))
@@ -376,7 +385,7 @@ FROM ruled p JOIN r{ROUNDS} r ON r.host = p.host
 
 
 BOUND = {
-    "op1_source_mixing": (op1_source_mixing, OP1_SQL),
+    "op1_source_mixing": (op1_source_mixing, source_mixing_sql()),
     "op2_fingerprints": (op2_fingerprints, None),
     "op3_chat_formatting": (op3_chat_formatting, OP3_SQL),
     "op9_minhash_near_duplicates": (op9_minhash_near_duplicates, None),

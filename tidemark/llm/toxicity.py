@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, kept, share
-from tidemark.llm.samples import balanced_sample
+from tidemark.llm.draws import labelled_draw
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -27,6 +27,7 @@ SHORTEST_GRAM, LONGEST_GRAM = 3, 6
 SIZE = 8
 SPANS = (12, 48)
 SAMPLE_ROWS = 5_000  # labelled texts that a model is fitted on, at most twice as many
+LONGEST_WORD = 4096
 STEPS = 70
 WORDS_KEPT = 600_000
 HASHED_WORDS = 10_000
@@ -58,7 +59,11 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """Words in lower case; one beyond ``LONGEST_WORD`` counts as several, each hashed by itself."""
+    words = text.lower().split()
+    if len(text) <= LONGEST_WORD or max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    return [w[at : at + LONGEST_WORD] for w in words for at in range(0, len(w), LONGEST_WORD)]
 
 
 def highest(values: np.ndarray, span: int) -> tuple[float, int]:
@@ -244,13 +249,14 @@ class Scorer:
         return out
 
 
-def fit_toxicity(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    """Fit on a bounded, class-balanced sample of ``doc_id``, ``text``, ``toxic`` (0 or 1).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
+    """Fit on a bounded, class-balanced draw of ``labels`` (``doc_id``, ``toxic``: 0 or 1).
 
-    Null texts count as empty and null labels are left out. Without labels of both kinds the
-    model gives every text the same low score.
+    Labels are drawn first and then meet the texts of ``docs``. Null texts count as empty, null
+    labels and identifiers are left out, repeated labels count once. Without labels of both
+    kinds the model gives every text the same low score.
     """
-    sample = balanced_sample(labelled, "doc_id", "toxic", rows).select("doc_id", "text", "toxic").toPandas()
+    sample = labelled_draw(docs.select("doc_id", "text"), labels, "doc_id", "toxic", rows).toPandas()
     sample = sample.sort_values(["doc_id", "toxic", "text"], na_position="first")
     return fit([t or "" for t in sample["text"]], [int(v) for v in sample["toxic"]])
 
