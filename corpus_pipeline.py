@@ -26,8 +26,7 @@ LEAST_LANGUAGE = 0.5
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.7; labels come from the labels table."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL").distinct()
-    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs, "toxicity")
     scored = docs.withColumn(score, toxicity_score(docs, F.col("text"), model))
     return scored.filter(F.col(score) < TOXIC).drop(score)
