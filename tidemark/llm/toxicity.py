@@ -28,7 +28,9 @@ SIZE = 8
 SPANS = (12, 48)
 SAMPLE_ROWS = 5_000  # labelled texts that a model is fitted on, at most twice as many
 LONGEST_WORD = 4096
-STEPS = 70
+STEPS = 40
+RATE = 0.12
+PARTS = 3  # of the labels, for the calibration
 WORDS_KEPT = 600_000
 HASHED_WORDS = 10_000
 GROUP_WORDS = 50_000
@@ -128,23 +130,12 @@ def _adam(value, slope, memory, step, rate):
     value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
-    """Vectors, layer and calibration from labelled texts; plain arrays of a fixed size."""
-    random = np.random.default_rng(seed)
-    usable = np.array([i for i, t in enumerate(texts) if t and not t.isspace()], dtype=int)
-    y = np.array(labels, dtype=int)
-    model = {"bucket": np.zeros(BUCKETS), "weights": [0.0] * len(features(np.zeros(1))), "bias": -2.0}
-    if len(usable) < 20 or len(set(y[usable])) < 2:
-        return model
-    usable = random.permutation(usable)
-    held = usable[: len(usable) // 4]
-    train = usable[len(usable) // 4 :]
-    bags = Bags(texts[i] for i in train)
+def fit_vectors(texts: list[str], target: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """What each bucket adds to a word's score: vectors and layer trained together, multiplied out."""
+    bags = Bags(texts)
     vectors = random.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
     layer = random.normal(0, 0.5, (SIZE, 2)).astype(np.float32)
     memory = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, layer)]
-    target = y[train]
-    share = max(target.mean(), 1e-3)
     for step in range(1, STEPS + 1):
         word_scores = bags.scores(vectors @ (layer[:, 1] - layer[:, 0]))
         spans, owner, truth = [], [], []
@@ -180,16 +171,46 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
             per_word = np.bincount(place, span_slope[of_span, d], len(words)) / bags.size[words]
             vector_slope[:, d] = np.bincount(flat, per_word[of_word], BUCKETS)
         vector_slope += 2e-6 * vectors
-        _adam(vectors, vector_slope, memory[0], step, 0.03)
-        _adam(layer, layer_slope, memory[1], step, 0.03)
-    bucket = (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64)
-    del bags, word_scores, flat, of_word, words, place
-    unseen = Bags(texts[i] for i in held)
-    word_scores = unseen.scores(bucket)
-    x = np.array([features(word_scores[d]) for d in unseen.docs])
+        _adam(vectors, vector_slope, memory[0], step, RATE)
+        _adam(layer, layer_slope, memory[1], step, RATE)
+    return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64)
+
+
+def text_features(texts: list[str], bucket: np.ndarray) -> np.ndarray:
+    bags = Bags(texts)
+    word_scores = bags.scores(bucket)
+    return np.array([features(word_scores[d]) for d in bags.docs])
+
+
+def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
+    """Vectors, layer and calibration from labelled texts; plain arrays of a fixed size.
+
+    Every label serves both: vectors are trained ``PARTS`` times, each time without one part of
+    the labels, and the logistic layer is fitted on features that come from vectors which have
+    not seen the text. The means of the vectors' scores are kept.
+    """
+    random = np.random.default_rng(seed)
+    usable = np.array([i for i, t in enumerate(texts) if t and not t.isspace()], dtype=int)
+    y = np.array(labels, dtype=int)
+    model = {"bucket": np.zeros(BUCKETS), "weights": [0.0] * len(features(np.zeros(1))), "bias": -2.0}
+    if len(usable) < 20 or min((y[usable] == v).sum() for v in (0, 1)) < PARTS:
+        return model
+    usable = random.permutation(usable)
+    # Parts with the same share of toxic texts.
+    part = np.zeros(len(usable), dtype=int)
+    for v in (0, 1):
+        part[y[usable] == v] = np.arange((y[usable] == v).sum()) % PARTS
+    x, truth, buckets = [], [], []
+    for held in range(PARTS):
+        train, rest = usable[part != held], usable[part == held]
+        bucket = fit_vectors([texts[i] for i in train], y[train], random)
+        buckets.append(bucket)
+        x.append(text_features([texts[i] for i in rest], bucket))
+        truth.append(y[rest])
+    x = np.concatenate(x)
     scale = np.abs(x).mean(0) + 1e-9
-    weights, bias = logistic(x / scale, y[held])
-    return {"bucket": bucket, "weights": (weights / scale).tolist(), "bias": float(bias), "share": float(share)}
+    weights, bias = logistic(x / scale, np.concatenate(truth))
+    return {"bucket": np.mean(buckets, 0), "weights": (weights / scale).tolist(), "bias": float(bias)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> tuple[np.ndarray, float]:
