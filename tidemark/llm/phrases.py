@@ -38,6 +38,7 @@ FLOORS = (50_000, 2_000, 0)
 KNOWN_BITS = 20
 KNOWN = 1 << KNOWN_BITS
 SLOT_BITS = 23
+CHUNK_BITS = 13
 CHARS = 1 << 23
 # Words that a task counts before it hands them on.
 LOCAL = 1 << 20
@@ -289,26 +290,56 @@ def _best(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def _marks(pairs: DataFrame, floor: int) -> np.ndarray:
-    """The marks of all pairs by slot; as many rows as the table has cells of eight reach the driver."""
+    """The marks of all pairs by slot, one byte each; the driver holds this table only."""
     bound = lambda outer: FULL * F.col("a") >= floor * F.col(outer)
     flags = F.lit(FREQUENT)
     for met, flag in ((F.col("score") >= floor, SCORES), (bound("l"), BEGINS), (bound("r"), ENDS)):
         flags = flags + F.when(met, flag).otherwise(0)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, phrases = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             words = [p.encode().split(b" ") for p in phrases]
             of = np.array([[_hash(v, w) for w in ws] for v, ws in zip(langs, words)], dtype=np.uint64).reshape(-1, 2)
-            slot = _slots(of[:, 0], of[:, 1])
-            bits = batch.column(2).to_numpy().astype(np.int64) << (8 * (slot & 7))
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> 3), pa.array(bits)], names=["cell", "bits"])
-
-    rows = pairs.select("lang", "phrase", flags.cast("int").alias("flags")).mapInArrow(cells, "cell long, bits long")
-    found = rows.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
-    marks = np.zeros(1 << (SLOT_BITS - 3), dtype=np.int64)
-    marks[found["cell"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
-    return marks.view(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(of[:, 0], of[:, 1])), batch.column(2)], names=["slot", "flags"])
+
+    def packed(chunk: pa.Table) -> pa.Table:
+        held = np.zeros(1 << CHUNK_BITS, dtype=np.uint8)
+        slot = chunk.column("slot").to_numpy()
+        held[slot & ((1 << CHUNK_BITS) - 1)] = chunk.column("flags").to_numpy()
+        return pa.table({"chunk": [int(slot[0]) >> CHUNK_BITS], "held": [held.tobytes()]})
+
+    rows = pairs.select("lang", "phrase", flags.cast("int").alias("flags")).mapInArrow(slots, "slot long, flags int")
+    rows = rows.groupBy("slot").agg(F.bit_or("flags").alias("flags"))
+    # A chunk has as many slots as its bits allow, so no group grows with the data.
+    chunks = rows.groupBy(F.shiftright("slot", CHUNK_BITS).alias("chunk")).applyInArrow(packed, "chunk long, held binary")
+    marks = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    for chunk, held in chunks.collect():
+        part = np.frombuffer(held, dtype=np.uint8)[: len(marks)]
+        marks[chunk << CHUNK_BITS : (chunk << CHUNK_BITS) + len(part)] = part
+    return marks
+
+
+def _lexicon(words: DataFrame, known: int) -> dict:
+    """The known words of each language in one text, and their counts in the same order.
+
+    They are put together in the tasks, in parts of a few thousand words, so that the driver
+    never holds a word by itself.
+    """
+    part = F.pmod(F.xxhash64("word"), F.lit(SALTS)).alias("part")
+    found = F.sort_array(F.collect_list(F.struct("word", "f")))
+    rows = words.filter(F.col("f") >= known).groupBy("lang", part).agg(found.alias("found"))
+    rows = rows.select("lang", "part", F.array_join("found.word", "\n").alias("words"), F.col("found.f").alias("counts"))
+    texts: dict[str, list[bytes]] = {}
+    counts: dict[str, list[np.ndarray]] = {}
+    for r in rows.sort("lang", "part").toLocalIterator():
+        texts.setdefault(r.lang, []).append(r.words.encode())
+        counts.setdefault(r.lang, []).append(np.array(r.counts, dtype=np.int64))
+    flat = [c for parts in counts.values() for c in parts]
+    return {
+        "words": {lang: b"\n".join(parts) for lang, parts in texts.items()},
+        "counts": np.concatenate(flat) if flat else np.zeros(0, np.int64),
+    }
 
 
 def _scored_triples(three: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -340,10 +371,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, drop: int =
     sums = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "word-sums")
     open_langs = sorted(r.lang for r in sums.select("lang").collect())
     known, cap = _known(words, least)
-    common = words.filter(F.col("f") >= known).select("lang", "word", "f").toPandas().sort_values(["lang", "word"])
-    lists = {lang: "\n".join(part["word"]).encode() for lang, part in common.groupby("lang", sort=False)}
-    state = {"words": lists, "counts": common["f"].to_numpy(dtype=np.int64), "all_known": cap < least, "least": least}
-    del common
+    state = {**_lexicon(words, known), "all_known": cap < least, "least": least}
     rest = None if cap < least else words.filter(F.col("f").between(least, cap))
     pairs = _with_counts(stored(_phrase_counts(texts, state, 2), "pair-counts"), 2, rest)
     pairs = pairs.withColumnsRenamed({"first": "l", "last": "r"}).withColumn("score", _score("a", "l", "r"))
