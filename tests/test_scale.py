@@ -30,6 +30,9 @@ def test_positions_and_sums(spark, skewed, partitions):
         mine = sorted((r for r in rows if r.g == g), key=lambda r: (-r.v, r.id))
         assert [r.p for r in mine] == list(range(1, len(mine) + 1))
         assert {r.n for r in mine} == {len(mine)}
+    places = ordered_positions(skewed, [], [F.col("v").desc(), F.col("id")], "p", "n", partitions).collect()
+    assert [r.id for r in sorted(places, key=lambda r: r.p)] == [r.id for r in sorted(rows, key=lambda r: (-r.v, r.id))]
+    assert {r.p for r in places} == set(range(1, 501)) and {r.n for r in places} == {500}
     sums = running_sums(skewed, [], [F.col("id")], {"s": F.col("v").cast("long")}, {"s": "all"}, partitions)
     total = 0
     for r in sorted(sums.collect(), key=lambda r: r.id):

@@ -198,7 +198,23 @@ def ordered_positions(
     size: str | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """1-based place of every row inside its group; optionally the group size as well."""
+    """1-based place of every row inside its group; optionally the group size as well.
+
+    Without groups the places are those in the sorted partitions, counted by the engine itself.
+    """
+    if not group:
+        rows = written(lay_out(df, order, partitions), "placed").withColumn(_PIECE, piece_of(F.col(_AT)))
+        pieces = rows.groupBy(F.col(_PIECE).alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
+        # One row a partition.
+        whole = W.partitionBy(F.lit(0))
+        earlier = whole.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+        pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        pieces = pieces.withColumn("_whole", F.sum("_rows").over(whole)).drop("_rows")
+        out = rows.join(F.broadcast(pieces), F.col(_PIECE) == F.col("_of"))
+        inside = F.col(_AT).bitwiseAND((1 << PARTITION_BITS) - 1)
+        out = out.withColumn(position, inside + 1 + F.col("_before"))
+        out = out.withColumn(size, F.col("_whole")) if size else out
+        return out.drop(_AT, _PIECE, "_of", "_before", "_whole")
     ones = {position: F.lit(1).cast("long")}
     return running_sums(df, group, order, ones, {position: size} if size else None, partitions)
 
