@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from bindings.tables import spread_table, table
@@ -272,6 +273,22 @@ SELECT count(*) AS levels, count(*) FILTER (n = 1) AS singletons,
 FROM (SELECT triple, count(*) AS n FROM outcomes GROUP BY 1)"""
 
 
+def one_hot_vectors(spark, sf):
+    """Suppliers as one sparse vector: its length and the place of its one, by row."""
+    rows = outcomes(spark, sf).select("row_key", "supplier")
+    coded = encode.one_hot_vector(rows, "supplier", encode.level_codes(rows, "supplier"), "v")
+    held = vector_to_array("v")
+    place = F.when(F.array_contains(held, 1.0), F.array_position(held, F.lit(1.0)) - 1)
+    return coded.select("row_key", F.size(held).cast("long").alias("length"), place.cast("long").alias("place"))
+
+
+ONE_HOT_VECTORS = f"""WITH {OUTCOMES_SQL},
+levels AS (SELECT DISTINCT coalesce(supplier, 'nan') AS v FROM outcomes),
+codes AS (SELECT v, row_number() OVER (ORDER BY v) - 2 AS place FROM levels)
+SELECT row_key, (SELECT count(*) - 1 FROM levels) AS length, CASE WHEN place >= 0 THEN place END AS place
+FROM outcomes JOIN codes ON v = coalesce(supplier, 'nan')"""
+
+
 def one_hot(spark, sf):
     kind = F.when(F.col("p_type") != "PROMO", F.col("p_type"))
     rows = outcomes(spark, sf).select("row_key", kind.alias("kind"), F.col("l_returnflag").alias("flag"))
@@ -593,6 +610,7 @@ BOUND = {
     "seeded_pick": (seeded_pick, SEEDED_PICK),
     "singleton_share": (singleton_share, SINGLETON_SHARE),
     "one_hot": (one_hot, ONE_HOT),
+    "one_hot_vectors": (one_hot_vectors, ONE_HOT_VECTORS),
     "fixed_one_hot_matrix": (cell_matrix, CELL_MATRIX),
     "terrain_matrix": (terrain_families, TERRAIN_FAMILIES),
     "class_weights": (class_weights, CLASS_WEIGHTS),
