@@ -168,9 +168,9 @@ def _compared(width: int, percent: int, k: int):
         own = block["own"].to_numpy()
         left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
         rep, part = block["rep"].to_numpy(), block["component"].to_numpy()
-        full = [shingler.hashes(shingler.words(t)) for t in block["text"]]
-        size = np.array([len(x) for x in full], dtype=np.int64)
-        both = _common([x[:k] for x in full], left, right)
+        text = block["text"].tolist()
+        size = block["n_shingles"].to_numpy(dtype=np.int64)
+        both = _common(block["sketch"].tolist(), left, right)
         a, b = size[left][:, None], size[right][None, :]
         least = SHARED * np.minimum(np.minimum(a, b), k)  # the union sketch is at least so long
         fits = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (both >= least)
@@ -181,15 +181,19 @@ def _compared(width: int, percent: int, k: int):
         i, j = np.nonzero(fits)
         order = np.argsort(-both[i, j] / np.minimum(k, np.maximum(size[left[i]], size[right[j]])), kind="stable")
         joined, links = Joined(part), []
+        full: dict[int, np.ndarray] = {}  # whole sets of those rows that are compared
         for x, y in zip(left[i[order]].tolist(), right[j[order]].tolist()):
             p, q = joined.root(x), joined.root(y)
             if p == q:
                 continue
+            for row in (x, y):
+                if row not in full:
+                    full[row] = shingler.hashes(shingler.words(text[row]))
             shared = len(np.intersect1d(full[x], full[y], assume_unique=True))
             if 100 * shared < percent * (size[x] + size[y] - shared):
                 continue
             # Hashes of 64 bits found it; the sets themselves decide.
-            s, t = shingler.shingles(block["text"].iloc[x]), shingler.shingles(block["text"].iloc[y])
+            s, t = shingler.shingles(text[x]), shingler.shingles(text[y])
             if 100 * len(s & t) >= percent * len(s | t):
                 joined.up[p] = q
                 links.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
@@ -211,7 +215,9 @@ def _common(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return holds[left] @ holds[right].T
 
 
-def _block_links(entries: DataFrame, lists: DataFrame, texts: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+def _block_links(
+    entries: DataFrame, lists: DataFrame, texts: DataFrame, sketch: DataFrame, width: int, percent: int, k: int
+) -> DataFrame:
     """Links between components in the open lists, from blocks of about BLOCK members a side."""
     sizes = entries.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     cut = entries.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
@@ -221,7 +227,7 @@ def _block_links(entries: DataFrame, lists: DataFrame, texts: DataFrame, width:
     )
     # The lists of a member are as many as its sketch has values at most.
     of = lists.join(entries.select("rep").distinct(), "rep", "left_semi").groupBy("rep")
-    member = of.agg(F.collect_list("value").alias("values")).join(texts, "rep")
+    member = of.agg(F.collect_list("value").alias("values")).join(texts, "rep").join(sketch, "rep")
     kind = dict(entries.dtypes)["rep"]
     full = placed.join(member, "rep")
     return full.groupBy("value", "one", "two").applyInPandas(_compared(width, percent, k), f"a {kind}, b {kind}").distinct()
@@ -254,7 +260,7 @@ def links_to_components(docs: DataFrame, reps: DataFrame, width: int, percent: i
             pairs = stored(_likely(pairs, sketch, percent, k), "likely")
             good = stored(_confirmed(pairs, texts, width, percent), "links")
         else:
-            good = stored(_block_links(entries, lists, texts, width, percent, k), "block-links")
+            good = stored(_block_links(entries, lists, texts, sketch, width, percent, k), "block-links")
         if good.isEmpty():
             continue
         edges = good if edges is None else edges.union(good)
