@@ -129,6 +129,38 @@ def test_index_is_shared_checked_and_removed(spark, monkeypatch):
     assert rt.retrieve(cases, "q", asked, 7).collect() == panel and len(built) == 4
 
 
+def test_blocks_hold_the_counts_of_terms(spark, monkeypatch):
+    """Counts by block equal those of each text alone, also of texts of one id, of none and in small blocks."""
+    monkeypatch.setattr(rt, "BLOCK_TEXT", 40)
+    texts = ["naive  pulse pulse rate", "", "a bb 漢字漢字漢字 bb a", None, "x", "rate pulse", "pulse", "bb 😀😀😀 bb"]
+    rows = [("de" if i % 3 else "en", f"P{i % 6}" if i != 4 else None, t) for i, t in enumerate(texts)] + [(None, "P9", "rate rate")]
+    frame = spark.createDataFrame(rows, "source string, pmcid string, text string")
+    blocks = rt.term_blocks(frame, rt.RELEASE_VIEWS).collect()
+    ids = {(r.block, i): (r.source, key) for r in blocks if r.view is None for i, key in enumerate(r.ids)}
+    got = Counter()
+    for r in blocks:
+        if r.view is not None:
+            assert r.total == sum(r.tfs) and r.source == ids[r.block, r.docs[0]][0]
+            for d, n in zip(r.docs, r.tfs, strict=True):
+                assert n > 0
+                got[*ids[r.block, d], r.view, r.term] += n
+    want = Counter()
+    for source, key, text in rows:
+        for view, split in (("word", word_terms), ("char", char_terms)):
+            for term in split(text or ""):
+                want[source, key, view, term] += 1
+    assert got == want and len(set(ids.values())) == len(ids)
+    counted = rt.term_counts(frame, rt.RELEASE_VIEWS, ["source", "pmcid"]).collect()
+    assert {(r.source, r.pmcid, r.view, r.term): r.tf for r in counted} == want
+
+
+def test_terms_are_stored_by_block(spark):
+    """The index holds a row for a term of a block, not one for a term of a document."""
+    index = rt.build_index(docs(spark))
+    held = index.terms.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("docs")).alias("postings")).first()
+    assert held.rows < held.postings / 2
+
+
 @pytest.mark.parametrize(
     "ranks,value",
     [((1, 3), 0.032266458496), ((12, 2), 0.030017921147), ((15, 7), 0.028258706468), ((16, 6), 0.028309409888)],

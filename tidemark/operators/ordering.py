@@ -69,7 +69,7 @@ def _same(a, b) -> bool:
     return a == b or (a != a and b != b)
 
 
-def _starts(batch: pa.RecordBatch, names: Sequence[str], last: list | None) -> np.ndarray:
+def group_starts(batch: pa.RecordBatch, names: Sequence[str], last: list | None) -> np.ndarray:
     """Which rows begin another group than the row before; ``last`` is that of the last batch."""
     n = batch.num_rows
     starts = np.zeros(n, dtype=bool)
@@ -153,7 +153,7 @@ def _scanned(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            starts = _starts(batch, names, last)
+            starts = group_starts(batch, names, last)
             begun = starts.copy()
             begun[0] = begun[0] and last is not None
             opens = np.cumsum(begun) == 0 if opening else np.zeros(batch.num_rows, dtype=bool)

@@ -7,17 +7,21 @@ built once per corpus, stored as tables and shared; a request then touches only
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.textfold import (
     byte_total,
-    char_terms,
+    edge_grams,
     eligible_text,
     normalize_text,
     strip_accents,
@@ -25,13 +29,17 @@ from tidemark.functions.textfold import (
     words_only,
 )
 from tidemark.operators.contracts import ContractError, spec_fingerprint, table_digest
-from tidemark.operators.ordering import ordered_positions
+from tidemark.operators.ordering import group_starts, ordered_positions
 from tidemark.session import path_exists, remove_path, scratch_path, shared_folder, spread, written
 
 RRF_OFFSET = 60
 DOMAINS = ("cardiac", "systemic", "vascular")
 SCORE_DIGITS = 12
 _TERM = ["source", "view", "term"]
+# Texts that are counted together in a task, by bytes and by rows.
+BLOCK_TEXT = 4 << 20
+BLOCK_ROWS = 1 << 15
+GRAMS = (3, 4, 5)
 
 
 @dataclass(frozen=True)
@@ -52,34 +60,197 @@ RELEASE_VIEWS = (WORD_VIEW, CHAR_VIEW)
 # The deployed candidate: one vocabulary over everything, single words, raw counts.
 GLOBAL_VIEWS = (View("word", "words", sublinear=False),)
 
-_SPLITS = {"word_pairs": word_terms, "char_edges": char_terms, "words": words_only}
+_WORD_SPLITS = {"word_pairs": word_terms, "words": words_only}
 
 
 @dataclass(frozen=True)
 class Index:
     documents: DataFrame  # pmcid, source
-    terms: DataFrame  # source, view, term, pmcid, tf
+    terms: DataFrame  # block, source, view, term, docs, tfs, total: one row a term and block
     vocabulary: DataFrame  # source, view, term, df, idf
-    norms: DataFrame  # source, view, pmcid, norm
+    norms: DataFrame  # block, doc, source, view, pmcid, norm
     views: Sequence[View] = field(default=RELEASE_VIEWS)
 
 
-def term_counts(text: DataFrame, views: Sequence[View], keep: Sequence[str]) -> DataFrame:
-    """``keep, view, term, tf`` from a ``text`` column that is already folded.
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
-    All terms of a document come from its one row. Where the rows are already partitioned by
-    ``keep``, counting needs no further shuffle.
-    """
+
+def _split_counts(text: DataFrame, view: View, keep: Sequence[str]) -> DataFrame:
+    """``keep, term, tf`` of one view; a word is cut into n-grams once per ``keep``, not per occurrence."""
+    count = F.count(F.lit(1)).alias("tf")
+    if view.split in _WORD_SPLITS:
+        found = text.select(*keep, F.explode(_WORD_SPLITS[view.split](F.col("text"))).alias("term"))
+        return found.groupBy(*keep, "term").agg(count)
+    words = text.select(*keep, F.explode(_words(F.col("text"))).alias("_word")).groupBy(*keep, "_word").agg(count)
+    grams = words.select(*keep, "tf", F.explode(edge_grams(F.col("_word"), GRAMS)).alias("term"))
+    return grams.groupBy(*keep, "term").agg(F.sum("tf").alias("tf"))
+
+
+def term_counts(text: DataFrame, views: Sequence[View], keep: Sequence[str]) -> DataFrame:
+    """``keep, view, term, tf`` from a ``text`` column that is already folded."""
     counted = [
-        text.select(*keep, F.explode(_SPLITS[v.split](F.col("text"))).alias("term"))
-        .groupBy(*keep, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select(*keep, F.lit(v.name).alias("view"), "term", "tf")
-        for v in views
+        _split_counts(text, v, keep).select(*keep, F.lit(v.name).alias("view"), "term", "tf") for v in views
     ]
     return reduce(DataFrame.unionByName, counted)
 
 
+_BLOCKS = (
+    "block long, source string, view string, term string, docs array<int>, tfs array<int>, total long, "
+    "ids array<string>"
+)
+
+
+def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in blocks of one source and bounded text, with their document numbers.
+
+    Rows of one document are never parted.
+    """
+    held, size, last = [], [0, 0], None
+
+    def whole():
+        table = pa.concat_tables([pa.Table.from_batches([b]) for b, _ in held]).combine_chunks()
+        return table, np.cumsum(np.concatenate([s for _, s in held])) - 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        source = last and last[:1]
+        turns = group_starts(batch, ["source"], source)
+        starts = group_starts(batch, ["source", "pmcid"], last)
+        last = [batch.column(c)[batch.num_rows - 1].as_py() for c in ("source", "pmcid")]
+        lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        at = 0
+        for i in np.flatnonzero(starts):
+            size[0] += int(lengths[at:i].sum())
+            size[1] += int(i - at)
+            held.append((batch.slice(at, i - at), starts[at:i]))
+            at = i
+            if size[1] and (turns[i] or size[0] >= BLOCK_TEXT or size[1] >= BLOCK_ROWS):
+                yield whole()
+                held, size = [], [0, 0]
+        size[0] += int(lengths[at:].sum())
+        size[1] += batch.num_rows - at
+        held.append((batch.slice(at), starts[at:]))
+    if size[1]:
+        yield whole()
+
+
+def _flat(lists: pa.Array, of_row: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes, distinct values and document numbers of the values of a list column."""
+    coded = lists.flatten().dictionary_encode()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.repeat(of_row, lengths)
+
+
+def _grams(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, object]]:
+    """Per length: the numbers of the n-grams of the padded words, how many each word has, and their spelling.
+
+    An n-gram is numbered by the pair of its (n-1)-gram and its last character.
+    """
+    text = "".join(f" {w} " for w in words.to_pylist())
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    begins = np.cumsum(sizes) - sizes
+    letters, letter = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
+    number = letter.astype(np.int64)
+    for n in range(2, max(GRAMS) + 1):
+        if len(letter) < n:
+            return
+        _, first, number = np.unique(number[:-1] * len(letters) + letter[n - 1 :], return_index=True, return_inverse=True)
+        if n in GRAMS:
+            counts = np.maximum(sizes - n + 1, 0)
+            spell = lambda of, n=n, first=first: pa.array([text[i : i + n] for i in first[of.to_numpy()]], pa.string())
+            yield number[_runs(begins, counts)], counts, spell
+
+
+def _runs(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whole numbers from each begin on, as many as counted."""
+    shift = np.repeat(begins - (np.cumsum(counts) - counts), counts)
+    return np.arange(len(shift)) + shift
+
+
+def _changes(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])[: len(sorted_values)])
+
+
+def _view_terms(split: str, rows: pa.Table, of_row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, object]]:
+    """Term numbers, document numbers and how to spell numbers of terms, for every kind of term of a view."""
+    if split == "char_edges":
+        # An empty text and blanks next to each other leave an empty word.
+        parts = pc.split_pattern(rows["text"].combine_chunks(), " ")
+        code, words, doc = _flat(parts, of_row)
+        kept = code != words.index("").as_py()
+        code, doc = code[kept], doc[kept]
+        for numbers, per_word, spell in _grams(words):
+            counts = per_word[code]
+            held = _runs((np.cumsum(per_word) - per_word)[code], counts)
+            yield numbers[held], np.repeat(doc, counts), spell
+        return
+    code, words, doc = _flat(rows["words"].combine_chunks(), of_row)
+    yield code, doc, words.take
+    if split == "word_pairs":
+        size = max(len(words), 1)
+        near = doc[1:] == doc[:-1]
+        if len(doc):
+            near &= ~_row_begins(rows["words"].combine_chunks())[1:]
+        both = lambda pair: pc.binary_join_element_wise(
+            words.take(pa.array(pair.to_numpy() // size)), words.take(pa.array(pair.to_numpy() % size)), " "
+        )
+        yield (code[:-1] * size + code[1:])[near], doc[1:][near], both
+
+
+def _row_begins(lists: pa.Array) -> np.ndarray:
+    """Which flattened values are the first of their row: texts of one document stay apart."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    begins = np.zeros(int(lengths.sum()) + 1, dtype=bool)
+    begins[np.cumsum(lengths) - lengths] = True
+    return begins[:-1]
+
+
+def term_blocks(text: DataFrame, views: Sequence[View]) -> DataFrame:
+    """Terms of folded texts (source, pmcid, text), by blocks of neighbouring documents.
+
+    Texts are dealt out by document and sorted, so only texts are shuffled, not their far more
+    numerous terms. A row holds a term of a block: ``docs``, the numbers of the documents that
+    have it, their counts ``tfs`` and the ``total`` of these. One row a block, without ``view``,
+    holds the ``ids`` of its documents.
+    """
+    keep = ["source", "pmcid"]
+    whole = F.coalesce("text", F.lit(""))
+    dealt = by_document(text.select(*keep, whole.alias("text")), keep).sortWithinPartitions(*keep)
+    splits = [(v.name, v.split) for v in views]
+    schema = ["block", "source", "view", "term", "docs", "tfs", "total", "ids"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for place, (rows, of_row) in enumerate(_text_blocks(batches)):
+            n_docs, block, source = int(of_row[-1]) + 1, first + place, rows["source"][0].as_py()
+            fixed = lambda n, view: [
+                pa.array(np.full(n, block)), pa.array([source] * n, pa.string()), pa.array([view] * n, pa.string())
+            ]
+            ids = rows["pmcid"].take(pa.array(_changes(of_row))).to_pylist()
+            none = [pa.nulls(1, t) for t in (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*fixed(1, None), *none, pa.array([ids], pa.list_(pa.string()))], schema)
+            for view, split in splits:
+                for term, doc, spell in _view_terms(split, rows, of_row):
+                    key = np.sort(term * n_docs + doc)
+                    at = _changes(key)
+                    tf = np.diff(np.append(at, len(key)))
+                    of_term, docs = np.divmod(key[at], n_docs)
+                    begins = _changes(of_term)
+                    if not len(begins):
+                        continue
+                    ends = pa.array(np.append(begins, len(docs)), pa.int32())
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (docs, tf)]
+                    n, total = len(begins), np.add.reduceat(tf, begins)
+                    term_names = spell(pa.array(of_term[begins]))
+                    columns = [*fixed(n, view), term_names, *lists, pa.array(total), pa.nulls(n, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, schema)
+
+    split_once = dealt.select(*keep, "text", words_only(F.col("text")).alias("words"))
+    return split_once.mapInArrow(count, _BLOCKS)
+
+
 def by_document(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One shuffle of the texts, so that the far more numerous terms are not shuffled."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -114,7 +285,7 @@ def fit_vocabulary(
 ) -> DataFrame:
     """Document frequency limits, the cap on terms and the smoothed idf, per domain and view."""
     counted = terms.groupBy(*_TERM).agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_tf")
+        F.sum(F.size("docs").cast("long")).alias("df"), F.sum("total").alias("corpus_tf")
     )
     counted = counted.join(sizes, "source").filter(
         (F.col("df") >= _limits(views, "view", "min_df", 1))
@@ -142,6 +313,12 @@ def fit_vocabulary(
     return terms.sparkSession.read.parquet(f"{path}/vocabulary")
 
 
+def _postings(rows: DataFrame, *keep: str) -> DataFrame:
+    """``block, doc, tf`` and the columns ``keep``: a row for every document of the rows of terms."""
+    held = rows.select("block", "tfs", *keep, F.posexplode("docs").alias("_i", "doc"))
+    return held.select("block", "doc", F.col("tfs")[F.col("_i")].alias("tf"), *keep)
+
+
 def _named(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("source").cast("string").alias("source"),
@@ -162,12 +339,9 @@ def build_index(
     query."""
     spark = documents.sparkSession
     path = path or scratch_path(spark, "index")
-    keep = ["source", "pmcid"]
     named = _named(documents)
-    # Folding visits Python, after which the planner no longer knows the partitioning: so the
-    # texts are folded first and then shuffled once.
     searched = strip_accents(eligible_text(F.col("title"), F.col("case_summary")))
-    text = by_document(spread(named).select(*keep, searched.alias("text")), keep)
+    text = spread(named).select("source", "pmcid", searched.alias("text"))
     fitted = text
     if extra is not None:
         other = extra.select(
@@ -182,17 +356,20 @@ def build_index(
         sizes = sizes.join(more, "source", "left").select(
             "source", (F.col("n_docs") + F.coalesce("count", F.lit(0))).alias("n_docs")
         )
-    term_counts(fitted, views, keep).write.parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
+    term_blocks(fitted, views).write.parquet(f"{path}/terms")
+    stored = spark.read.parquet(f"{path}/terms")
+    terms = stored.filter("view IS NOT NULL").drop("ids")
     vocabulary = fit_vocabulary(terms, sizes, views, path)
-    searchable = terms.filter(F.col("pmcid").isNotNull())
     weight = _weight(F.col("view"), F.col("tf"), F.col("idf"), views)
-    norms = (
-        searchable.join(vocabulary.select(*_TERM, "idf"), _TERM)
-        .groupBy("source", "view", "pmcid")
+    # Sorting by the term first compares numbers; domains and views have few values.
+    lengths = (
+        _postings(terms.join(vocabulary.select(*_TERM, "idf"), _TERM[::-1]), "view", "idf")
+        .groupBy("block", "doc", "view")
         .agg(F.sqrt(steady_sum(weight * weight)).alias("norm"))
     )
-    norms.write.parquet(f"{path}/norms")
+    ids = stored.filter("view IS NULL").select("block", "source", F.posexplode("ids").alias("doc", "pmcid"))
+    norms = lengths.join(ids.filter("pmcid IS NOT NULL"), ["block", "doc"])
+    norms.select("block", "doc", "source", "view", "pmcid", "norm").write.parquet(f"{path}/norms")
     named.select("pmcid", "source").write.parquet(f"{path}/documents")
     return read_index(spark, path, views)
 
@@ -201,8 +378,8 @@ def read_index(spark: SparkSession, path: str, views: Sequence[View] = RELEASE_V
     """The index whose tables lie below ``path``; a capped vocabulary replaces the counted one."""
     read = spark.read.parquet
     chosen = "vocabulary" if path_exists(spark, f"{path}/vocabulary") else "counted"
-    searchable = read(f"{path}/terms").filter(F.col("pmcid").isNotNull())
-    return Index(read(f"{path}/documents"), searchable, read(f"{path}/{chosen}"), read(f"{path}/norms"), views)
+    terms = read(f"{path}/terms").filter("view IS NOT NULL").drop("ids")
+    return Index(read(f"{path}/documents"), terms, read(f"{path}/{chosen}"), read(f"{path}/norms"), views)
 
 
 def _receipt(index: Index) -> DataFrame:
@@ -292,15 +469,15 @@ def cosine_scores(index: Index, facets: DataFrame) -> DataFrame:
     """``source, view, pmcid, score`` of every document; 0 without a common term.
 
     The request's terms are few whatever the corpus size, so the planner broadcasts them and
-    only matching term rows meet the norms.
+    only matching rows of terms are laid out by document and meet the norms.
     """
     weight = _weight(F.col("view"), F.col("tf"), F.col("idf"), index.views)
     dots = (
-        index.terms.join(query_weights(index, facets), _TERM)
-        .groupBy("source", "view", "pmcid")
+        _postings(index.terms.join(query_weights(index, facets), _TERM), "view", "idf", "weight")
+        .groupBy("block", "doc", "view")
         .agg(steady_sum(weight * F.col("weight")).alias("dot"))
     )
-    hits = dots.join(index.norms, ["source", "view", "pmcid"]).select(
+    hits = dots.join(index.norms, ["block", "doc", "view"]).select(
         "source", "view", "pmcid", (F.col("dot") / F.col("norm")).alias("score")
     )
     names = F.array(*[F.lit(v.name) for v in index.views])
