@@ -270,7 +270,7 @@ def word_statistics(spark, sf):
     text = strip_accents(eligible_text(F.col("title"), F.col("case_summary"))).alias("text")
     keep = ["source", "pmcid"]
     docs = rt.by_document(spread(cases(spark, sf)).select(*keep, text), keep)
-    counts = rt.term_counts(docs, rt.RELEASE_VIEWS, ["source", "pmcid"])
+    counts = rt.term_counts(docs, rt.RELEASE_VIEWS, ["source"])
     return counts.groupBy("source", "view").agg(
         F.count_distinct("term").alias("terms"), F.sum("tf").alias("occurrences")
     )

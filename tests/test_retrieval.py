@@ -207,3 +207,20 @@ def test_folding(spark):
     frame = spark.createDataFrame([(" Ñandú ﬁN\t\nX ",), ("plain  Text",), (None,)], "t string")
     got = [r[0] for r in frame.select(strip_accents(normalize_text(F.col("t")))).collect()]
     assert got == ["nandu fin x", "plain text", None]
+
+
+def test_view_terms_counts_by_domain(spark, tmp_path, monkeypatch):
+    """Terms are counted for a domain at once: no row for a term of a document is made."""
+    from bindings import retrieval as bound
+
+    rows = [(1, "de", "eins zwei\nzwei", "a"), (2, "de", "zwei drei", "a"), (3, "fr", "un", "b"), (4, None, "un un", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    kept, real = [], rt.term_counts
+    monkeypatch.setattr(rt, "term_counts", lambda t, v, keep: kept.append(list(keep)) or real(t, v, keep))
+    got = {(r.source, r.view): (r.terms, r.occurrences) for r in bound.word_statistics(spark, str(tmp_path)).collect()}
+    assert kept == [["source"]]
+    for lang, texts in (("de", ["eins zwei zwei", "zwei drei"]), ("fr", ["un"]), (None, ["un un"])):
+        for view, split in (("word", word_terms), ("char", char_terms)):
+            counts = Counter(t for text in texts for t in split(text))
+            assert got[lang, view] == (len(counts), sum(counts.values()))
