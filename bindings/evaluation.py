@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from bindings.tables import spread_table, table
@@ -277,9 +276,10 @@ def one_hot_vectors(spark, sf):
     """Suppliers as one sparse vector: its length and the place of its one, by row."""
     rows = outcomes(spark, sf).select("row_key", "supplier")
     coded = encode.one_hot_vector(rows, "supplier", encode.level_codes(rows, "supplier"), "v")
-    held = vector_to_array("v")
-    place = F.when(F.array_contains(held, 1.0), F.array_position(held, F.lit(1.0)) - 1)
-    return coded.select("row_key", F.size(held).cast("long").alias("length"), place.cast("long").alias("place"))
+    # Read from the sparse form: laid out whole, every row would hold a number for each level.
+    held = F.unwrap_udt("v")
+    place = F.get(held["indices"], F.array_position(held["values"], F.lit(1.0)).cast("int") - 1)
+    return coded.select("row_key", held["size"].cast("long").alias("length"), place.cast("long").alias("place"))
 
 
 ONE_HOT_VECTORS = f"""WITH {OUTCOMES_SQL},

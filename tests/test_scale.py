@@ -321,6 +321,19 @@ def test_levels_beyond_any_former_limit(spark):
     }
 
 
+def test_one_hot_places_are_read_from_the_sparse_form(spark, monkeypatch):
+    """The vectors of many levels are never laid out whole."""
+    from bindings import evaluation
+
+    rows = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("c", None), ("d", "s2"), ("e", "s0")], "row_key string, supplier string")
+    monkeypatch.setattr(evaluation, "outcomes", lambda *_: rows)
+    monkeypatch.setattr(evaluation, "vector_to_array", lambda *_: pytest.fail("laid out whole"), raising=False)
+    got = {r.row_key: (r.length, r.place) for r in evaluation.one_hot_vectors(spark, "").collect()}
+    assert got == {"a": (3, 1), "b": (3, 2), "c": (3, None), "d": (3, 2), "e": (3, 0)}
+    monkeypatch.setattr(evaluation, "outcomes", lambda *_: rows.filter("row_key = 'a'"))
+    assert [tuple(r) for r in evaluation.one_hot_vectors(spark, "").collect()] == [("a", 0, None)]
+
+
 def test_reports_of_gap_and_staleness(spark, skewed):
     assert writers.stale(skewed, skewed.repartition(3), ["id", "v"])
     assert not writers.stale(skewed.filter("id > 0"), skewed, ["id", "v"])
