@@ -337,3 +337,21 @@ def test_one_hot_places_are_read_from_the_sparse_form(spark, monkeypatch):
 def test_reports_of_gap_and_staleness(spark, skewed):
     assert writers.stale(skewed, skewed.repartition(3), ["id", "v"])
     assert not writers.stale(skewed.filter("id > 0"), skewed, ["id", "v"])
+
+
+def test_rows_are_not_dealt_out_by_group_or_class(spark):
+    """A few large groups or classes do not gather in as many tasks."""
+    rows = spark.range(4000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 2).alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = splits.group_split(rows, "g", 0.34, 1)
+        weighted = encode.with_class_weight(rows, "y", 0.5)
+        for frame in (split, weighted):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert frame.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert split.groupBy("g").agg(F.count_distinct("side").alias("n")).filter("n <> 1").isEmpty()
+    assert {round(r.weight, 12) for r in weighted.select("weight").distinct().collect()} == {1.0}
