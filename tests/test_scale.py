@@ -355,3 +355,17 @@ def test_rows_are_not_dealt_out_by_group_or_class(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert split.groupBy("g").agg(F.count_distinct("side").alias("n")).filter("n <> 1").isEmpty()
     assert {round(r.weight, 12) for r in weighted.select("weight").distinct().collect()} == {1.0}
+
+
+def test_second_delivery_is_not_read_by_one_task(spark, tmp_path, monkeypatch):
+    """The one unlisted file holds the cases of its domain; no single task reads all domains for it."""
+    from bindings import sources
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(i, f"t{i}\nbody", ("de", "en", "fr")[i % 3], "s") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    real = DataFrame.coalesce
+    whole = lambda self, n: pytest.fail("read by one task") if "case_summary" in self.columns else real(self, n)
+    monkeypatch.setattr(DataFrame, "coalesce", whole)
+    assert [tuple(r) for r in sources.unlisted_files(spark, str(tmp_path)).collect()] == [(1, 20)]
