@@ -48,3 +48,34 @@ def test_levels_of_other_types_and_a_null_level_of_the_rates(spark):
     rows = spark.createDataFrame([(1,), (2,), (None,)], "k long")
     got = {r.k: r.r for r in encode.rate_lookup(rows, "k", rates, F.lit(0.5), "r").collect()}
     assert got == {1: 0.25, 2: 0.5, None: 0.5}
+
+
+def test_nested_rates_deal_out_rows_without_a_level(shuffled, half_without):
+    coded = encode.target_encode_nested(half_without, "level", "y", "fold", "inner", 3, 5)
+    assert max(_sizes(coded)) < 1200
+    priors = {f: half_without.filter(F.col("fold") != f).agg(F.avg("y")).first()[0] for f in range(3)}
+    rows = coded.filter("level is null").collect()
+    assert len(rows) == 2000 and all(r.rates[f] == pytest.approx(priors[f]) for r in rows for f in range(3))
+
+
+@pytest.mark.parametrize("partitions", [2, 40])
+def test_a_frame_that_fills_the_cores_is_fitted_fold_by_fold(spark, monkeypatch, partitions):
+    at_once, most, lock = 0, 0, threading.Lock()
+
+    class Fit:
+        def copy(self):
+            return self
+
+        def fit(self, frame):
+            nonlocal at_once, most
+            with lock:
+                at_once += 1
+                most = max(most, at_once)
+            time.sleep(0.5)
+            with lock:
+                at_once -= 1
+
+    monkeypatch.setattr(models, "predict_scores", lambda model, frame, score: frame.withColumn(score, F.lit(0.5)))
+    frame = spark.range(0, 300, 1, partitions).withColumn("fold", (F.col("id") % 3).cast("int"))
+    scored = models.out_of_fold(lambda f: frame, "fold", 3, Fit())
+    assert scored.count() == 300 and most == (3 if partitions == 2 else 1)
