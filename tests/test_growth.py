@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import encode, models
+from tidemark.operators import encode, models, splits
 
 
 @pytest.fixture()
@@ -79,3 +79,18 @@ def test_a_frame_that_fills_the_cores_is_fitted_fold_by_fold(spark, monkeypatch,
     frame = spark.range(0, 300, 1, partitions).withColumn("fold", (F.col("id") % 3).cast("int"))
     scored = models.out_of_fold(lambda f: frame, "fold", 3, Fit())
     assert scored.count() == 300 and most == (3 if partitions == 2 else 1)
+
+
+def test_rows_split_by_position_are_worked_out_once(spark):
+    rows = spark.range(0, 1000, 1, 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    split = splits.positional_split(rows.mapInArrow(counted, "id long"), [F.col("id")], 0.75, 4)
+    sides = split.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).collect()
+    assert {r.side: (r.n, r["last"]) for r in sides} == {"train": (750, 749), "score": (250, 999)}
+    assert seen.value == 1000
