@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ledger import with_credit_flag
-from tidemark.operators.ordering import lay_out, piece_of, running_max
+from tidemark.operators.ordering import group_starts, lay_out, piece_of, running_max
 from tidemark.functions.keys import price_cents
 from tidemark.functions.timeutil import wall_from_micros, wall_micros
 from tidemark.session import written
@@ -66,7 +66,7 @@ class OpenLines:
 
 def _fold_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Match credits inside one sorted partition; emit them and the edge keys' open lines."""
-    key, lines, first_key, schema = None, OpenLines(), True, None
+    key, last, lines, begun, first_key, schema = None, None, OpenLines(), False, True, None
 
     def open_rows() -> pa.RecordBatch:
         kept = [i for i, left in enumerate(lines.left) if left > 0]
@@ -84,28 +84,36 @@ def _fold_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns += [pa.nulls(len(kept), pa.int64())] * 2
         return pa.RecordBatch.from_arrays(columns, [*schema.names, "_match_at", "_match_time"])
 
+    def key_of(batch: pa.RecordBatch, row: int) -> list:
+        return [batch.column(n)[row].as_py() for n in KEY]
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
         schema = batch.schema
-        column = {n: batch.column(n).to_pylist() for n in [*KEY, "_kind", "_time", "_amount", "_at"]}
+        starts = group_starts(batch, KEY, last)
+        key, last = key or key_of(batch, 0), key_of(batch, batch.num_rows - 1)
+        kinds = batch.column("_kind").to_numpy(zero_copy_only=False)
+        numbers = [batch.column(n).to_numpy(zero_copy_only=False).tolist() for n in ("_time", "_amount", "_at")]
         found_at: list[int | None] = []
         found_time: list[int | None] = []
-        is_credit: list[bool] = []
-        for *now, kind, time, amount, at in zip(*column.values()):
-            if now != key:
-                if key is not None and first_key:
+        for begins, kind, time, amount, at in zip(starts.tolist(), kinds.tolist(), *numbers):
+            if begins:
+                if begun and first_key:
                     yield open_rows()
                     first_key = False
-                key, lines = now, OpenLines()
-            hit = lines.take(time, amount) if kind == _CREDIT else None
+                begun, lines = True, OpenLines()
             if kind == _ORDER:
                 lines.add(time, amount, at)
-            is_credit.append(kind == _CREDIT)
+                continue
+            hit = lines.take(time, amount)
             found_at.append(None if hit is None else lines.pos[hit])
             found_time.append(None if hit is None else lines.at[hit])
-        columns = [*batch.columns, pa.array(found_at, pa.int64()), pa.array(found_time, pa.int64())]
-        out = pa.RecordBatch.from_arrays(columns, [*schema.names, "_match_at", "_match_time"])
-        yield out.filter(pa.array(is_credit, pa.bool_()))
-    if key is not None:
+        credits = batch.filter(pa.array(kinds == _CREDIT))
+        columns = [*credits.columns, pa.array(found_at, pa.int64()), pa.array(found_time, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, [*schema.names, "_match_at", "_match_time"])
+    if begun:
+        key = last
         yield open_rows()
 
 
@@ -256,22 +264,23 @@ def credit_attribution(
             F.lit(kind).alias("_kind"),
             wall_micros(F.col("InvoiceDate")).alias("_time"),
             F.abs(F.col("Quantity")).cast("long").alias("_amount"),
-            *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+            *[c for c in dict.fromkeys(order) if c not in KEY],
             *payload,
         )
 
-    rest = [c for c in columns if c not in KEY]
+    rest = [c for c in columns if c not in KEY and c not in order]
     types = tx.schema
     supply = (
-        tx.filter(~F.col("is_credit") & (F.col("Quantity") > 0))
+        tx.filter(~F.col("is_credit") & (F.col("Quantity") > 0) & F.col("InvoiceDate").isNotNull())
         .withColumn("price_cents", cents)
         .join(credits.select(*KEY).distinct(), KEY, "left_semi")
     )
     pool = candidate(credits, _CREDIT, [F.col(c) for c in rest]).unionByName(
         candidate(supply, _ORDER, [F.lit(None).cast(types[c].dataType).alias(c) for c in rest])
     )
-    by = [F.col(c) for c in [*KEY, "_time", *[f"_o{i}" for i in range(len(order))], "_kind"]]
-    laid = lay_out(pool, by, partitions)
+    by = [F.col(c) for c in [*KEY, "_time", *order, "_kind"]]
+    # Stored, as laying out reads it twice: for the bounds of the ranges and for the rows.
+    laid = lay_out(written(pool, "pool"), by, partitions)
     schema = T.StructType(
         [
             *[T.StructField(f.name, f.dataType, True) for f in laid.schema],

@@ -10,6 +10,8 @@ from tidemark.functions.timeutil import day_bucket, days, whole_days
 
 PROBE = ["customer_id", "as_of"]
 FEATURES = ["n_lines", "n_sku", "n_credit", "spend_cents", "days_since_last"]
+# What features read of a line, besides its effective date.
+READ = ["customer_id", "StockCode", "InvoiceDate", "is_credit", "Quantity", "Price"]
 WINDOW_DAYS = 90
 EMBARGO_DAYS = 1
 HORIZON_DAYS = 30
