@@ -12,7 +12,7 @@ from bindings import evaluation, ledger as ledger_bindings, retrieval, serving a
 from bindings.tables import LEDGER_SQL, ledger, table
 from tidemark.operators import contracts, metrics, profiles
 from tidemark.operators import retrieval as rt
-from tidemark.session import cut_lineage, scratch_path
+from tidemark.session import cut_lineage, scratch_path, written
 from tidemark.sources import governed, readers, writers
 
 
@@ -147,7 +147,8 @@ UNLISTED_FILES = "SELECT 1 AS files, count(*) AS rows FROM documents WHERE lang
 
 def feature_contract(spark, sf):
     """Features as they are, and with rows broken by account."""
-    rows = ledger_bindings.pit_features(spark, sf)
+    # Read by both versions.
+    rows = written(ledger_bindings.pit_features(spark, sf), "features")
     every = lambda n: F.col("customer_id") % n == 0
     broken = rows.withColumns(
         {
