@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_automaton import encoded
-from tidemark.llm.common import fresh, stored
+from tidemark.llm.common import fresh, marked, stored
 from tidemark.llm.language import UNDETERMINED, fit_language, language
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mixed
@@ -47,10 +47,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Repeated rows of one doc_id count once; rows without an identifier pass.
     """
     judged = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    kept = judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stored(kept, "kept")
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not kept.filter("_rows > 1").isEmpty():
+    by_id = judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if("kept").alias("_rows"))
+    by_id = stored(by_id, "judged")
+    # Few documents are dropped: only those whose mark may be that of a dropped one are shuffled.
+    dropped = stored(by_id.filter("_rows = 0").select("doc_id"), "dropped")
+    maybe = fresh(docs, "dropped")
+    found = marked(docs.filter("doc_id IS NOT NULL"), "doc_id", dropped, maybe)
+    doubtful = found.filter(F.col(maybe)).select(docs.columns).join(dropped, "doc_id", "left_anti")
+    stay = found.filter(~F.col(maybe)).select(docs.columns).unionByName(doubtful.select(docs.columns))
+    if not by_id.filter("_rows > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id IS NULL"))
 

@@ -6,11 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import common, fingerprints, minhash, mixing, vectors
 from tidemark.llm import components as components_module
-from tidemark.llm import fingerprints, mixing, vectors
 from tidemark.llm.chat import formatted, read_back
 from tidemark.llm.components import components
 from tidemark.llm.minhash import near_duplicates
@@ -163,6 +164,57 @@ def test_blocks_alone_lose_no_link(spark, monkeypatch):
     test_near_duplicates_against_all_pairs(spark)
 
 
+@pytest.mark.parametrize("most", [1024, 1])
+def test_marks_miss_no_identifier(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MARK_BITMAPS", most)
+    ids = spark.range(0, 40_000, 7).union(spark.createDataFrame([(None,)], "id long"))
+    rows = spark.range(-10, 40_000).select(F.col("id").alias("key"), F.lit("x").alias("_Bits"), F.lit(1).alias("_bitmap"))
+    rows = rows.union(spark.createDataFrame([(None, "x", 1)], "key long, _Bits string, _bitmap int"))
+    found = common.marked(rows, "key", ids, "maybe")
+    assert found.columns == ["key", "_Bits", "_bitmap", "maybe"] and found.count() == rows.count()
+    member = found.join(ids.select(F.col("id").alias("key")), "key", "left_semi")
+    assert member.count() == member.filter("maybe").count() == 5715
+    others = found.join(ids.select(F.col("id").alias("key")), "key", "left_anti")
+    assert others.filter("maybe").count() < others.count() / (10 if most > 1 else 4)
+    assert not found.filter("key IS NULL").first()["maybe"]
+    assert common.marked(rows, "key", ids.limit(0), "maybe").filter("maybe").isEmpty()
+
+
+def test_texts_follow_members_with_a_partner_only():
+    near, other = list(range(64)), list(range(100, 164))
+    rows = [(0, near, 10), (1, near[:60] + [90, 91, 92, 93], 11), (2, other, 12), (3, near[:30] + other[:34], 10)]
+    columns = ["rep", "sketch", "component"]
+    block = pa.table({c: [r[i] for r in rows] for i, c in enumerate(columns)})
+    for name, value in {"value": 5, "one": 0, "two": 0, "own": 0, "n_shingles": 80}.items():
+        block = block.append_column(name, pa.array([value] * len(rows)))
+    block = block.append_column("values", pa.array([[5, 7]] * len(rows)))
+    key = (pa.scalar(5), pa.scalar(0), pa.scalar(0))
+    assert minhash._with_partner(80, 64)(key, block)["rep"].to_pylist() == [0, 1]
+    # The same pair is left to the list of its smallest value.
+    assert minhash._with_partner(80, 64)((pa.scalar(7), *key[1:]), block).num_rows == 0
+
+
+def test_documents_that_stay_are_not_dealt_out(spark):
+    import corpus_pipeline
+
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    texts = [f"{i} " + " ".join(f"w{(i * 37 + j) % 5000}" for j in range(30)) for i in range(300)]
+    texts += texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        stay = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        sizes = [r["count"] for r in stay.groupBy(F.spark_partition_id()).count().collect()]
+        ids = {r.doc_id for r in stay.collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert ids == {i for i, (_, c) in classes(dict(enumerate(texts)), 5, 80).items() if i == c} and len(ids) == sum(sizes)
+    assert max(sizes) > 0.8 * len(ids)
+
+
 def test_near_duplicates_of_odd_rows(documents, nothing):
     got = {r.doc_id: r for r in near_duplicates(documents).collect()}
     assert got[9].component_id == 4 and not got[9].kept and got[4].kept

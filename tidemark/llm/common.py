@@ -16,6 +16,10 @@ from tidemark.session import scratch_path
 # Words of the contracts: runs without blank, tab, line feed, vertical tab, form feed, return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+# Marks of identifiers: 16 bits for each, in bitmaps of 2^15 bits (4 KB), of which 4 MB are sent at most.
+MARK_BITS = 16
+MARK_BITMAPS = 1024
+
 
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows: a batch of long texts stays within a worker's memory."""
@@ -60,6 +64,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marked(df: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: false where ``key`` is certainly not in the one column of ``ids``.
+
+    True may be wrong (for 1 in 16, more only beyond 2 million identifiers), so an exact join must
+    follow; it then shuffles few other rows. ``ids`` is a stored table with keys of the same type.
+    """
+    bitmaps = min(MARK_BITMAPS, 1 + ids.count() * MARK_BITS // 2**15)
+    at, bits = fresh(df, "_bitmap"), fresh(df, "_bits")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bitmaps * 2**15))
+    low = lambda c: place(c).bitwiseAND(F.lit(2**15 - 1))
+    one = F.col(ids.columns[0])
+    table = ids.filter(one.isNotNull()).groupBy(F.shiftright(place(one), 15).alias(at)).agg(
+        F.bitmap_construct_agg(low(one)).alias(bits)
+    )
+    found = df.withColumn(at, F.shiftright(place(F.col(key)), 15)).join(F.broadcast(table), at, "left")
+    byte = F.substring(F.col(bits), (F.shiftright(low(F.col(key)), 3) + 1).cast("int"), F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), low(F.col(key)).bitwiseAND(F.lit(7)).cast("int"))
+    return found.withColumn(name, F.col(key).isNotNull() & F.coalesce(bit == 1, F.lit(False))).drop(at, bits)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}

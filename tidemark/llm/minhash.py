@@ -12,9 +12,12 @@ not one contains the other (38 or fewer of 64 values shared); at 0.85 with one o
 
 Members of a list are first compared with one pivot each; members that this joins need no
 comparison with each other any more. What a list still holds of different components is then
-compared in blocks of bounded size: sketches choose pairs and whole sets confirm them inside the
-task, and only links that join components leave it. So the pivots decide how much is compared,
-not what is found, and no list is enumerated as rows.
+compared in blocks of bounded size: sketches choose the members that have a likely partner, and
+of these only the texts follow; whole sets confirm pairs inside the task, and only links that join
+components leave it. So the pivots decide how much is compared, not what is found, and no list is
+enumerated as rows.
+
+Texts are shuffled for members of lists only: marks of bounded size leave most others where they are.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import Remembered, bounded_batches, stored
+from tidemark.llm.common import Remembered, bounded_batches, marked, stored
 from tidemark.llm.components import components
 
 SKETCH = 64
@@ -153,64 +158,90 @@ class Joined:
         return at
 
 
+def _likely_in(key: tuple, block: pa.Table, percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of a block pair that sizes and union sketches let through, by falling estimate.
+
+    Only pairs of different components count. A pair that meets in several lists counts in the
+    one of the smallest value.
+    """
+    value, one, two = (x.as_py() for x in key)
+    own, rep, part, size = (block[c].to_numpy() for c in ("own", "rep", "component", "n_shingles"))
+    left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+    a, b = size[left][:, None], size[right][None, :]
+    fits = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (part[left][:, None] != part[right][None, :])
+    if one == two:
+        fits &= rep[left][:, None] < rep[right][None, :]
+    if not fits.any():
+        return left[:0], right[:0]
+    both = _common(*_flat(block["sketch"]), left, right)
+    fits &= both >= SHARED * np.minimum(np.minimum(a, b), k)  # the union sketch is at least so long
+    if fits.any():
+        listed, owner = _flat(block["values"])
+        before = listed < value
+        fits &= _common(listed[before], owner[before], left, right) == 0
+    i, j = np.nonzero(fits)
+    order = np.argsort(-both[i, j] / np.minimum(k, np.maximum(size[left[i]], size[right[j]])), kind="stable")
+    return left[i[order]], right[j[order]]
+
+
+def _with_partner(percent: int, k: int):
+    """Members of a block pair that have a likely partner in it."""
+
+    def run(key: tuple, block: pa.Table) -> pa.Table:
+        rows = np.unique(np.concatenate(_likely_in(key, block, percent, k)))
+        return block.select(["value", "one", "two", "own", "rep", "component"]).take(rows)
+
+    return run
+
+
 def _compared(width: int, percent: int, k: int):
     """Links of a block pair that join different components: no more than it has members.
 
-    Pairs are gone through by falling estimate. What an earlier link of the block has joined
-    needs none any more; every other pair that sizes and union sketches let through is
-    compared by its whole sets. A pair that meets in several lists is compared in the one of
-    the smallest value.
+    Likely pairs are gone through by falling estimate. What an earlier link of the block has
+    joined needs none any more; every other one is compared by its whole sets.
     """
 
-    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        value, one, two = int(key[0]), int(key[1]), int(key[2])
+    def run(key: tuple, block: pa.Table) -> pa.Table:
         shingler = Shingler(width)
-        own = block["own"].to_numpy()
-        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        rep, part = block["rep"].to_numpy(), block["component"].to_numpy()
-        text = block["text"].tolist()
-        size = block["n_shingles"].to_numpy(dtype=np.int64)
-        both = _common(block["sketch"].tolist(), left, right)
-        a, b = size[left][:, None], size[right][None, :]
-        least = SHARED * np.minimum(np.minimum(a, b), k)  # the union sketch is at least so long
-        fits = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (both >= least)
-        fits &= part[left][:, None] != part[right][None, :]
-        if one == two:
-            fits &= rep[left][:, None] < rep[right][None, :]
-        fits &= _common([np.array([v for v in vs if v < value], dtype=np.int64) for vs in block["values"]], left, right) == 0
-        i, j = np.nonzero(fits)
-        order = np.argsort(-both[i, j] / np.minimum(k, np.maximum(size[left[i]], size[right[j]])), kind="stable")
-        joined, links = Joined(part), []
+        rep, size, text = block["rep"].to_numpy(), block["n_shingles"].to_numpy(), block["text"]
+        left, right = _likely_in(key, block, percent, k)
+        joined, links = Joined(block["component"].to_numpy()), []
         full: dict[int, np.ndarray] = {}  # whole sets of those rows that are compared
-        for x, y in zip(left[i[order]].tolist(), right[j[order]].tolist()):
+        for x, y in zip(left.tolist(), right.tolist()):
             p, q = joined.root(x), joined.root(y)
             if p == q:
                 continue
             for row in (x, y):
                 if row not in full:
-                    full[row] = shingler.hashes(shingler.words(text[row]))
+                    full[row] = shingler.hashes(shingler.words(text[row].as_py()))
             shared = len(np.intersect1d(full[x], full[y], assume_unique=True))
             if 100 * shared < percent * (size[x] + size[y] - shared):
                 continue
             # Hashes of 64 bits found it; the sets themselves decide.
-            s, t = shingler.shingles(text[x]), shingler.shingles(text[y])
+            s, t = shingler.shingles(text[x].as_py()), shingler.shingles(text[y].as_py())
             if 100 * len(s & t) >= percent * len(s | t):
                 joined.up[p] = q
-                links.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
-        return pd.DataFrame(links, columns=["a", "b"])
+                links.append((x, y))
+        ends = rep[np.array(links, dtype=np.int64).reshape(-1, 2)]
+        kind = block.schema.field("rep").type
+        return pa.table({"a": pa.array(ends.min(axis=1), kind), "b": pa.array(ends.max(axis=1), kind)})
 
     return run
 
 
-def _common(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many values the rows of ``left`` and ``right`` share."""
-    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(values)), [len(x) for x in values])
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists and the row of each."""
+    sizes = pc.list_value_length(lists).to_numpy()
+    return pc.list_flatten(lists).to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _common(flat: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many of the values in ``flat`` the rows of ``left`` and ``right`` share."""
     _, place, often = np.unique(flat, return_inverse=True, return_counts=True)
     # Only values held twice can be shared: they make a small table of who holds what.
     column = np.cumsum(often > 1) - 1
     twice = often[place] > 1
-    holds = np.zeros((len(values), int((often > 1).sum())), dtype=np.float32)
+    holds = np.zeros((1 + max(left.max(), right.max()), int((often > 1).sum())), dtype=np.float32)
     holds[owner[twice], column[place[twice]]] = 1
     return holds[left] @ holds[right].T
 
@@ -227,19 +258,25 @@ def _block_links(
     )
     # The lists of a member are as many as its sketch has values at most.
     of = lists.join(entries.select("rep").distinct(), "rep", "left_semi").groupBy("rep")
-    member = of.agg(F.collect_list("value").alias("values")).join(texts, "rep").join(sketch, "rep")
+    member = of.agg(F.collect_list("value").alias("values")).join(sketch, "rep")
     kind = dict(entries.dtypes)["rep"]
-    full = placed.join(member, "rep")
-    return full.groupBy("value", "one", "two").applyInPandas(_compared(width, percent, k), f"a {kind}, b {kind}").distinct()
+    place = f"value long, one int, two int, own int, rep {kind}, component {kind}"
+    sides = placed.join(member, "rep").groupBy("value", "one", "two")
+    # Texts are many times as long as sketches: they follow once it is known whose are compared.
+    likely = stored(sides.applyInArrow(_with_partner(percent, k), place), "likely-members")
+    full = likely.join(member, "rep").join(texts, "rep")
+    return full.groupBy("value", "one", "two").applyInArrow(_compared(width, percent, k), f"a {kind}, b {kind}").distinct()
 
 
 def links_to_components(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """``rep`` and ``component`` of every class that is linked with another."""
     lists = stored(_lists(reps).withColumn("component", F.col("rep")), "lists")
-    needed = lists.select("rep").distinct()
-    texts = docs.join(reps.select("rep"), docs["doc_id"] == F.col("rep")).join(needed, "rep", "left_semi")
+    needed = stored(lists.select("rep").distinct(), "listed")
+    named = marked(docs.withColumnRenamed("doc_id", "rep"), "rep", needed, "_listed").filter("_listed")
+    texts = named.join(reps.select("rep"), "rep").join(needed, "rep", "left_semi")
     texts = stored(texts.select("rep", "text"), "list-texts")
-    sketch = stored(reps.join(needed, "rep", "left_semi").select("rep", "sketch", "n_shingles"), "list-sketches")
+    sketch = marked(reps, "rep", needed, "_listed").filter("_listed").join(needed, "rep", "left_semi")
+    sketch = stored(sketch.select("rep", "sketch", "n_shingles"), "list-sketches")
     edges = None
     turn, last = 0, False
     while not last:
