@@ -189,7 +189,7 @@ def _with_partner(percent: int, k: int):
 
     def run(key: tuple, block: pa.Table) -> pa.Table:
         rows = np.unique(np.concatenate(_likely_in(key, block, percent, k)))
-        return block.select(["value", "one", "two", "own", "rep", "component"]).take(rows)
+        return block.take(rows)
 
     return run
 
@@ -260,11 +260,10 @@ def _block_links(
     of = lists.join(entries.select("rep").distinct(), "rep", "left_semi").groupBy("rep")
     member = of.agg(F.collect_list("value").alias("values")).join(sketch, "rep")
     kind = dict(entries.dtypes)["rep"]
-    place = f"value long, one int, two int, own int, rep {kind}, component {kind}"
-    sides = placed.join(member, "rep").groupBy("value", "one", "two")
+    sides = placed.join(member, "rep")
     # Texts are many times as long as sketches: they follow once it is known whose are compared.
-    likely = stored(sides.applyInArrow(_with_partner(percent, k), place), "likely-members")
-    full = likely.join(member, "rep").join(texts, "rep")
+    likely = sides.groupBy("value", "one", "two").applyInArrow(_with_partner(percent, k), sides.schema)
+    full = stored(likely, "likely-members").join(texts, "rep")
     return full.groupBy("value", "one", "two").applyInArrow(_compared(width, percent, k), f"a {kind}, b {kind}").distinct()
 
 
