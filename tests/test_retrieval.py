@@ -161,6 +161,62 @@ def test_terms_are_stored_by_block(spark):
     assert held.rows < held.postings / 2
 
 
+def direct_norms(rows, views, n_docs):
+    """Norms and the vocabulary worked out from every text alone; texts of one id are one document."""
+    out, words = {}, {}
+    for view in views:
+        counts = {}
+        for source, key, text in rows:
+            if source is not None:
+                split = char_terms if view.split == "char_edges" else word_terms
+                counts.setdefault((source, key), Counter()).update(split(text))
+        for source in {s for s, _ in counts}:
+            mine = {k: c for (s, k), c in counts.items() if s == source}
+            df, tf = Counter(t for c in mine.values() for t in c), sum(mine.values(), Counter())
+            kept = [t for t, d in df.items() if view.min_df <= d <= view.max_df * n_docs[source]]
+            kept = set(sorted(kept, key=lambda t: (-tf[t], t))[: view.max_features])
+            idf = {t: math.log((1 + n_docs[source]) / (1 + df[t])) + 1 for t in kept}
+            words.update({(source, view.name, t): (df[t], tf[t]) for t in kept})
+            for key, c in mine.items():
+                weights = [(1 + math.log(n)) * idf[t] for t, n in c.items() if t in kept]
+                if weights and key is not None:
+                    out[source, view.name, key] = math.sqrt(math.fsum(x * x for x in weights))
+    return out, words
+
+
+@pytest.mark.parametrize("cap,repeats", [(None, True), (None, False), (7, True)])
+def test_norms_and_vocabulary_of_blocks(spark, tmp_path, monkeypatch, cap, repeats):
+    """Small blocks and shares give the norms and terms of every text, with ids that repeat or are null, and under a cap."""
+    monkeypatch.setattr(rt, "BLOCK_TEXT", 60)
+    views = [rt.View("word", "word_pairs", min_df=2, max_df=0.98, max_features=cap), rt.View("char", "char_edges", min_df=2, max_features=cap)]
+    keys = [f"P{i % (9 if repeats else 23)}" if i % 7 or not repeats else None for i in range(23)]
+    rows = [
+        ("de" if i % 3 else "en", key, " ".join(WORDS[(i * i + k) % len(WORDS)] for k in range(i % 6)))
+        for i, key in enumerate(keys)
+    ] + ([(None, "P9", "rate rate"), ("fr", "X", "bleed"), ("fr", None, "")] if repeats else [])
+    frame = spark.createDataFrame([(*r, "") for r in rows], "source string, pmcid string, title string, case_summary string")
+    index = rt.build_index(frame, views, path=f"{tmp_path}/index")
+    folded = [(s, k, fold(t)) for s, k, t in rows]
+    want, words = direct_norms(folded, views, Counter(s for s, *_ in rows))
+    got = {(r.source, r.view, r.pmcid): r.norm for r in index.norms.collect()}
+    assert got == pytest.approx(want) and len(got) == index.norms.count()
+    found = {(r.source, r.view, r.term): (r.df, r.corpus_tf) for r in index.vocabulary.collect()}
+    assert found == words and len(found) == index.vocabulary.count()
+
+
+def test_no_terms_of_documents_are_stored_or_dealt_out(spark, tmp_path):
+    """An index stores the folded texts, not their postings, and a request deals out dots, not terms."""
+    rows = [(f"P{i}", "de", " ".join(WORDS[(i + k) % len(WORDS)] for k in range(8)), "") for i in range(60)]
+    frame = spark.createDataFrame(rows, "pmcid string, source string, title string, case_summary string")
+    index = rt.build_index(frame, path=f"{tmp_path}/index")
+    tables = {p.name: spark.read.parquet(str(p)) for p in (tmp_path / "index").iterdir()}
+    assert set(tables) == {"texts", "counted", "norms", "documents"} and tables["texts"].count() == 60
+    assert tables["counted"].filter("term IS NULL").count() < 10
+    asked = spark.createDataFrame([("de", "pulse rate")], "source string, text string")
+    plan = rt.cosine_scores(index, asked)._jdf.queryExecution().toString()
+    assert "tfs" not in plan and "posexplode" not in plan.lower()
+
+
 @pytest.mark.parametrize(
     "ranks,value",
     [((1, 3), 0.032266458496), ((12, 2), 0.030017921147), ((15, 7), 0.028258706468), ((16, 6), 0.028309409888)],

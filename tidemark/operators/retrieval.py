@@ -6,10 +6,12 @@ built once per corpus, stored as tables and shared; a request then touches only
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ _TERM = ["source", "view", "term"]
 BLOCK_TEXT = 4 << 20
 BLOCK_ROWS = 1 << 15
 GRAMS = (3, 4, 5)
+# Shares of the terms of a domain, one merged by a task, for each of its blocks.
+SHARES = 0.4
 
 
 @dataclass(frozen=True)
@@ -66,9 +70,10 @@ _WORD_SPLITS = {"word_pairs": word_terms, "words": words_only}
 @dataclass(frozen=True)
 class Index:
     documents: DataFrame  # pmcid, source
-    terms: DataFrame  # block, source, view, term, docs, tfs, total: one row a term and block
+    texts: DataFrame  # source, pmcid, texts, bytes: the folded texts, one row a document
+    terms: DataFrame  # block, source, view, term, docs, tfs, total: one row a term and block, counted when read
     vocabulary: DataFrame  # source, view, term, df, idf
-    norms: DataFrame  # block, doc, source, view, pmcid, norm
+    norms: DataFrame  # source, view, pmcid, norm
     views: Sequence[View] = field(default=RELEASE_VIEWS)
 
 
@@ -136,11 +141,40 @@ def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield whole()
 
 
-def _flat(lists: pa.Array, of_row: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Codes, distinct values and document numbers of the values of a list column."""
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes, distinct values and row numbers of the values of a list column."""
     coded = lists.flatten().dictionary_encode()
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.repeat(of_row, lengths)
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.repeat(np.arange(len(lists)), lengths)
+
+
+# The pattern of a word for tasks, from the letters and digits that ``words_only`` knows.
+_word_pattern: list[str] = []
+
+
+def word_pattern(spark: SparkSession) -> str:
+    """``words_only`` for single words in tasks: the same letters, whatever table of them Python has."""
+    if not _word_pattern:
+        letter = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        points = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").filter(F.size(words_only(F.repeat(letter, 2))) > 0)
+        held = np.sort(np.array(points.agg(F.collect_list("id")).first()[0]))
+        ends = np.flatnonzero(np.diff(held) > 1)
+        first, last = held[np.append(0, ends + 1)], held[np.append(ends, len(held) - 1)]
+        _word_pattern.append("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True)) + "]{2,}")
+    return _word_pattern[0]
+
+
+def _numbered(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key below ``size`` stands first, in order of keys, and the place of every key among them."""
+    if size > max(1 << 21, 4 * len(key)):
+        _, first, number = np.unique(key, return_index=True, return_inverse=True)
+        return first, number
+    first = np.full(size, -1, np.int32)
+    first[key[::-1]] = np.arange(len(key) - 1, -1, -1, dtype=np.int32)
+    held = np.flatnonzero(first >= 0)
+    first, place = first[held], first
+    place[held] = np.arange(len(held), dtype=np.int32)
+    return first, place[key].astype(np.int64)
 
 
 def _grams(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, object]]:
@@ -151,12 +185,12 @@ def _grams(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, object]]:
     text = "".join(f" {w} " for w in words.to_pylist())
     sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
     begins = np.cumsum(sizes) - sizes
-    letters, letter = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
-    number = letter.astype(np.int64)
+    first, letter = _numbered(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64), 0x110000)
+    number, letters = letter, len(first)
     for n in range(2, max(GRAMS) + 1):
         if len(letter) < n:
             return
-        _, first, number = np.unique(number[:-1] * len(letters) + letter[n - 1 :], return_index=True, return_inverse=True)
+        first, number = _numbered(number[:-1] * letters + letter[n - 1 :], len(first) * letters)
         if n in GRAMS:
             counts = np.maximum(sizes - n + 1, 0)
             spell = lambda of, n=n, first=first: pa.array([text[i : i + n] for i in first[of.to_numpy()]], pa.string())
@@ -173,38 +207,93 @@ def _changes(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])[: len(sorted_values)])
 
 
-def _view_terms(split: str, rows: pa.Table, of_row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, object]]:
-    """Term numbers, document numbers and how to spell numbers of terms, for every kind of term of a view."""
+def _view_terms(
+    split: str, code: np.ndarray, words: pa.Array, row: np.ndarray, pattern: str, asked: pa.Array | None = None
+) -> Iterator[tuple]:
+    """Term numbers, text numbers, how often and how to spell numbers of terms, for every kind of term of a view.
+
+    A text is read as the words between its blanks. Each is cut into terms once, and n-grams
+    are laid out once for a word of a text, however often it stands there. ``asked`` keeps the
+    n-grams and words that are listed, and pairs of words that stand in listed pairs.
+    """
+    known = lambda terms, among: pc.is_in(terms, among).to_numpy(zero_copy_only=False)
     if split == "char_edges":
         # An empty text and blanks next to each other leave an empty word.
-        parts = pc.split_pattern(rows["text"].combine_chunks(), " ")
-        code, words, doc = _flat(parts, of_row)
-        kept = code != words.index("").as_py()
-        code, doc = code[kept], doc[kept]
+        empty = words.index("").as_py()
+        key, times = np.unique(row[code != empty] * len(words) + code[code != empty], return_counts=True)
+        row, code = np.divmod(key, max(len(words), 1))
         for numbers, per_word, spell in _grams(words):
+            if asked is not None and len(numbers):
+                mine = known(spell(pa.array(np.arange(numbers.max() + 1))), asked)[numbers]
+                upto, ends = np.append(0, np.cumsum(mine)), np.cumsum(per_word)
+                numbers, per_word = numbers[mine], upto[ends] - upto[ends - per_word]
             counts = per_word[code]
             held = _runs((np.cumsum(per_word) - per_word)[code], counts)
-            yield numbers[held], np.repeat(doc, counts), spell
+            yield numbers[held], np.repeat(row, counts), np.repeat(times, counts), spell
         return
-    code, words, doc = _flat(rows["words"].combine_chunks(), of_row)
-    yield code, doc, words.take
+    find = re.compile(pattern).findall
+    found = [find(w) for w in words.to_pylist()]
+    per_word = np.array([len(f) for f in found], np.int64)
+    coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+    words, counts = coded.dictionary, per_word[code]
+    held = _runs((np.cumsum(per_word) - per_word)[code], counts)
+    code, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[held], np.repeat(row, counts)
+    mine = slice(None) if asked is None else known(words, asked)[code]
+    yield code[mine], row[mine], None, words.take
     if split == "word_pairs":
         size = max(len(words), 1)
-        near = doc[1:] == doc[:-1]
-        if len(doc):
-            near &= ~_row_begins(rows["words"].combine_chunks())[1:]
+        # Texts of one document stay apart.
+        near = row[1:] == row[:-1]
+        if asked is not None:
+            paired = known(words, pc.split_pattern(asked.filter(pc.match_substring(asked, " ")), " ").flatten())[code]
+            near &= paired[1:] & paired[:-1]
         both = lambda pair: pc.binary_join_element_wise(
             words.take(pa.array(pair.to_numpy() // size)), words.take(pa.array(pair.to_numpy() % size)), " "
         )
-        yield (code[:-1] * size + code[1:])[near], doc[1:][near], both
-
-
-def _row_begins(lists: pa.Array) -> np.ndarray:
-    """Which flattened values are the first of their row: texts of one document stay apart."""
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    begins = np.zeros(int(lengths.sum()) + 1, dtype=bool)
-    begins[np.cumsum(lengths) - lengths] = True
-    return begins[:-1]
+        yield (code[:-1] * size + code[1:])[near], row[1:][near], None, both
+
+
+def _tallied(term: np.ndarray, doc: np.ndarray, times: np.ndarray | None, n_docs: int) -> tuple[np.ndarray, ...]:
+    """Distinct terms in order, where each begins, and its documents with their counts."""
+    key = term * n_docs + doc
+    if times is None:
+        key.sort()
+        at = _changes(key)
+        tf, key = np.diff(np.append(at, len(key))), key[at]
+    elif len(key):
+        bits = int(times.max()).bit_length()
+        if int(key.max()).bit_length() + bits < 63:
+            key <<= bits
+            key |= times
+            key.sort()
+            times = key & ((1 << bits) - 1)
+            key >>= bits
+        else:
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
+        at = _changes(key)
+        tf, key = np.add.reduceat(times, at), key[at]
+    else:
+        tf = key
+    of_term, docs = np.divmod(key, n_docs)
+    begins = _changes(of_term)
+    return of_term[begins], begins, docs, tf
+
+
+def _block_terms(
+    texts: pa.Array, of_row: np.ndarray, splits: Sequence[tuple], pattern: str
+) -> Iterator[tuple]:
+    """``view, terms, begins, docs, tfs, spell`` for every kind of term of the texts of a block.
+
+    ``splits``: names of views, how they split and, if not all, which terms they ask for.
+    """
+    code, words, row = _flat(pc.split_pattern(texts, " "))
+    n_docs = int(of_row[-1]) + 1
+    for view, split, *asked in splits:
+        for term, at, times, spell in _view_terms(split, code, words, row, pattern, *asked):
+            tallied = _tallied(term, of_row[at], times, n_docs)
+            if len(tallied[0]):
+                yield view, *tallied, spell
 
 
 def term_blocks(text: DataFrame, views: Sequence[View]) -> DataFrame:
@@ -218,37 +307,27 @@ def term_blocks(text: DataFrame, views: Sequence[View]) -> DataFrame:
     keep = ["source", "pmcid"]
     whole = F.coalesce("text", F.lit(""))
     dealt = by_document(text.select(*keep, whole.alias("text")), keep).sortWithinPartitions(*keep)
-    splits = [(v.name, v.split) for v in views]
+    splits, pattern = [(v.name, v.split) for v in views], word_pattern(text.sparkSession)
     schema = ["block", "source", "view", "term", "docs", "tfs", "total", "ids"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for place, (rows, of_row) in enumerate(_text_blocks(batches)):
-            n_docs, block, source = int(of_row[-1]) + 1, first + place, rows["source"][0].as_py()
+            block, source = first + place, rows["source"][0].as_py()
             fixed = lambda n, view: [
                 pa.array(np.full(n, block)), pa.array([source] * n, pa.string()), pa.array([view] * n, pa.string())
             ]
             ids = rows["pmcid"].take(pa.array(_changes(of_row))).to_pylist()
             none = [pa.nulls(1, t) for t in (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())]
             yield pa.RecordBatch.from_arrays([*fixed(1, None), *none, pa.array([ids], pa.list_(pa.string()))], schema)
-            for view, split in splits:
-                for term, doc, spell in _view_terms(split, rows, of_row):
-                    key = np.sort(term * n_docs + doc)
-                    at = _changes(key)
-                    tf = np.diff(np.append(at, len(key)))
-                    of_term, docs = np.divmod(key[at], n_docs)
-                    begins = _changes(of_term)
-                    if not len(begins):
-                        continue
-                    ends = pa.array(np.append(begins, len(docs)), pa.int32())
-                    lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (docs, tf)]
-                    n, total = len(begins), np.add.reduceat(tf, begins)
-                    term_names = spell(pa.array(of_term[begins]))
-                    columns = [*fixed(n, view), term_names, *lists, pa.array(total), pa.nulls(n, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, schema)
-
-    split_once = dealt.select(*keep, "text", words_only(F.col("text")).alias("words"))
-    return split_once.mapInArrow(count, _BLOCKS)
+            for view, term, begins, docs, tf, spell in _block_terms(rows["text"].combine_chunks(), of_row, splits, pattern):
+                ends = pa.array(np.append(begins, len(docs)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (docs, tf)]
+                n, total = len(begins), np.add.reduceat(tf, begins)
+                columns = [*fixed(n, view), spell(pa.array(term)), *lists, pa.array(total), pa.nulls(n, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, schema)
+
+    return dealt.mapInArrow(count, _BLOCKS)
 
 
 def by_document(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -280,20 +359,182 @@ def _limits(views: Sequence[View], name: str, attribute: str, default) -> Column
     return chosen
 
 
-def fit_vocabulary(
-    terms: DataFrame, sizes: DataFrame, views: Sequence[View], path: str
-) -> DataFrame:
-    """Document frequency limits, the cap on terms and the smoothed idf, per domain and view."""
-    counted = terms.groupBy(*_TERM).agg(
-        F.sum(F.size("docs").cast("long")).alias("df"), F.sum("total").alias("corpus_tf")
-    )
-    counted = counted.join(sizes, "source").filter(
-        (F.col("df") >= _limits(views, "view", "min_df", 1))
-        & (F.col("df") <= _limits(views, "view", "max_df", 1.0) * F.col("n_docs"))
+def _shares(names: pa.Array, shares: int) -> np.ndarray:
+    """The share each term falls into, by a hash of its bytes that is the same in every block."""
+    ends = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].astype(np.int64)
+    data = np.frombuffer(names.buffers()[2] or b"", np.uint8)
+    out = np.empty(len(names), np.int64)
+    for at in range(0, len(names), 1 << 16):
+        some = ends[at : at + (1 << 16) + 1]
+        place = _runs(np.zeros(len(some) - 1, np.int64), np.diff(some))
+        powers = np.multiply.accumulate(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        hashed = np.add.reduceat(data[some[0] : some[-1]].astype(np.uint64) * powers[place], some[:-1] - some[0])
+        hashed ^= hashed >> np.uint64(29)
+        hashed *= np.uint64(0xBF58476D1CE4E5B9)
+        hashed ^= hashed >> np.uint64(32)
+        out[at : at + len(some) - 1] = hashed % np.uint64(shares)
+    return out
+
+
+def _packed(*arrays: np.ndarray) -> tuple[int, bytes]:
+    plain = b"".join(a.tobytes() for a in arrays)
+    return len(plain), pa.Codec("zstd").compress(plain, asbytes=True)
+
+
+def _unpacked(size: int, packed: bytes) -> memoryview:
+    return memoryview(pa.Codec("zstd").decompress(packed, size, asbytes=True))
+
+
+def _block_documents(rows: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Ids, texts and document numbers of the texts of a block, in one order whenever it is read."""
+    rows = rows.take(pc.sort_indices(rows, [("pmcid", "ascending")])).combine_chunks()
+    lists = rows["texts"].combine_chunks()
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return rows["pmcid"].combine_chunks(), lists.flatten(), np.repeat(np.arange(len(lists)), lengths)
+
+
+def _view_tables(texts: pa.Array, of_row: np.ndarray, splits, pattern: str, shares: int) -> Iterator[tuple]:
+    """Per view: its kinds of terms, all their spellings, their shares and the order by share."""
+    found = groupby(_block_terms(texts, of_row, splits, pattern), lambda kind: kind[0])
+    for view, kinds in found:
+        kinds = list(kinds)
+        names = pa.concat_arrays([spell(pa.array(term)).cast(pa.string()) for _, term, *_, spell in kinds])
+        share = _shares(names, shares)
+        # Short numbers are ordered without comparisons.
+        yield view, kinds, names, share, np.argsort(share.astype(np.uint16) if shares < 1 << 16 else share, kind="stable")
+
+
+def count_shares(blocks: DataFrame, views: Sequence[View]) -> DataFrame:
+    """``source, part, view, share, n, size, packed``: the terms of a block that fall into a share, packed.
+
+    A block has a row for each share of the terms of its domain, not one a term. It holds the
+    spellings, in how many documents of the block and how often each occurs.
+    """
+    splits, pattern = [(v.name, v.split) for v in views], word_pattern(blocks.sparkSession)
+    schema = pa.schema([
+        ("source", pa.string()), ("part", pa.int32()), ("view", pa.string()), ("share", pa.int32()),
+        ("n_docs", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("packed", pa.binary()),
+    ])
+
+    def count(rows: pa.Table) -> pa.Table:
+        source, part, shares, n_docs = (rows[c][0].as_py() for c in ("source", "part", "shares", "n_docs"))
+        _, texts, of_row = _block_documents(rows)
+        out = []
+        for view, kinds, names, share, order in _view_tables(texts, of_row, splits, pattern, shares):
+            df = np.concatenate([np.diff(np.append(begins, len(docs))) for _, _, begins, docs, *_ in kinds])[order]
+            total = np.concatenate([np.add.reduceat(tf, begins) for _, _, begins, _, tf, _ in kinds])[order]
+            names, share = names.take(pa.array(order)), share[order]
+            ends = np.frombuffer(names.buffers()[1], np.int32)[: len(names) + 1]
+            data = np.frombuffer(names.buffers()[2], np.uint8)
+            cuts = np.append(_changes(share), len(share))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                held = _packed(df[a:b], total[a:b], np.diff(ends[a : b + 1]), data[ends[a] : ends[b]])
+                out.append((source, part, view, int(share[a]), n_docs, int(b - a), *held))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.nulls(0, t) for t in schema.types], schema=schema)
+
+    made = "source string, part int, view string, share int, n_docs long, n long, size long, packed binary"
+    return blocks.groupBy("source", "part").applyInArrow(count, made)
+
+
+def merge_shares(counted: DataFrame, views: Sequence[View]) -> DataFrame:
+    """The terms of every share within the limits of document frequency, and for each block theirs.
+
+    Rows with a ``term`` are the vocabulary: ``source, view, term, df, corpus_tf, n_docs``. The
+    others have, for a block and a share, the frequencies of its terms in their order, packed; 0
+    stands for a term outside the limits.
+    """
+    limits = {v.name: (v.min_df, v.max_df) for v in views}
+    schema = pa.schema([
+        ("source", pa.string()), ("view", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("corpus_tf", pa.int64()),
+        ("n_docs", pa.int64()), ("part", pa.int32()), ("share", pa.int32()), ("size", pa.int64()), ("packed", pa.binary()),
+    ])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        source, view, share, n_docs = (rows[c][0].as_py() for c in ("source", "view", "share", "n_docs"))
+        parts, sizes = rows["part"].to_pylist(), rows["n"].to_pylist()
+        names, dfs, totals = [], [], []
+        for n, size, packed in zip(sizes, rows["size"].to_pylist(), rows["packed"], strict=True):
+            held = _unpacked(size, packed.as_buffer())
+            dfs.append(np.frombuffer(held, np.int64, n))
+            totals.append(np.frombuffer(held, np.int64, n, 8 * n))
+            ends = np.append(0, np.cumsum(np.frombuffer(held, np.int32, n, 16 * n))).astype(np.int32)
+            names.append(pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(held[20 * n :])))
+        coded = pa.concat_arrays(names).dictionary_encode()
+        code, terms = coded.indices.to_numpy(), coded.dictionary
+        # Sums of whole numbers, exact in doubles.
+        df, total = (np.bincount(code, np.concatenate(v), len(terms)).astype(np.int64) for v in (dfs, totals))
+        least, most = limits[view]
+        kept = (df >= least) & (df <= most * n_docs)
+        at = np.flatnonzero(kept)
+        of_blocks = np.split(np.where(kept, df, 0)[code], np.cumsum(sizes)[:-1])
+        back = [_packed(held) for held in of_blocks]
+        n, m = len(at), len(back)
+        columns = {
+            "source": [source] * (n + m), "view": [view] * (n + m),
+            "term": pa.concat_arrays([terms.take(pa.array(at)), pa.nulls(m, pa.string())]),
+            "df": pa.concat_arrays([pa.array(df[at]), pa.nulls(m, pa.int64())]),
+            "corpus_tf": pa.concat_arrays([pa.array(total[at]), pa.nulls(m, pa.int64())]),
+            "n_docs": np.full(n + m, n_docs), "part": [None] * n + parts, "share": [share] * (n + m),
+            "size": [None] * n + [size for size, _ in back], "packed": [None] * n + [held for _, held in back],
+        }
+        return pa.table(columns, schema=schema)
+
+    made = (
+        "source string, view string, term string, df long, corpus_tf long, n_docs long, part int, share int, "
+        "size long, packed binary"
     )
-    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    counted.withColumn("idf", idf).write.parquet(f"{path}/counted")
-    vocabulary = terms.sparkSession.read.parquet(f"{path}/counted")
+    return counted.groupBy("source", "view", "share").applyInArrow(merge, made)
+
+
+def _damped(tf: np.ndarray, view: View) -> np.ndarray:
+    return 1 + np.log(tf) if view.sublinear else tf.astype(float)
+
+
+def _steady_sums(value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """``steady_sum`` of an array by number."""
+    coarse = np.rint(value * 2**20) / 2**20
+    return np.bincount(of, coarse, n) + np.bincount(of, value - coarse, n)
+
+
+def block_norms(blocks: DataFrame, found: DataFrame, views: Sequence[View]) -> DataFrame:
+    """``source, view, pmcid, norm``: a block counts its texts again and weighs each term by its frequency.
+
+    ``found`` has the frequencies of the terms of each block, so neither terms nor their
+    documents are dealt out. A document without a term of the vocabulary has no norm.
+    """
+    splits, pattern = [(v.name, v.split) for v in views], word_pattern(blocks.sparkSession)
+    named = {v.name: v for v in views}
+    schema = pa.schema([("source", pa.string()), ("view", pa.string()), ("pmcid", pa.string()), ("norm", pa.float64())])
+
+    def weigh(rows: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and found.num_rows:
+            source, shares, n_docs = (rows[c][0].as_py() for c in ("source", "shares", "n_docs"))
+            ids, texts, of_row = _block_documents(rows)
+            for view, kinds, _, share, order in _view_tables(texts, of_row, splits, pattern, shares):
+                of_view = found.filter(pc.equal(found["view"], view)).sort_by("share")
+                held = [np.frombuffer(_unpacked(s.as_py(), p.as_buffer()), np.int64) for s, p in zip(of_view["size"], of_view["packed"])]
+                df = np.empty(len(order), np.int64)
+                if sum(map(len, held)) != len(order) or of_view["share"].to_pylist() != np.unique(share).tolist():
+                    raise ContractError(f"a block of {source!r} has other terms than when they were counted")
+                df[order] = np.concatenate(held)
+                idf = np.where(df > 0, np.log((1 + n_docs) / (1 + df)) + 1, 0)
+                squares, at = np.zeros(len(ids)), 0
+                for _, term, begins, docs, tf, _ in kinds:
+                    weight = _damped(tf, named[view]) * np.repeat(idf[at : at + len(term)], np.diff(np.append(begins, len(docs))))
+                    squares += _steady_sums(weight * weight, docs, len(ids))
+                    at += len(term)
+                at = np.flatnonzero(squares > 0)
+                out.append(pa.table([[source] * len(at), [view] * len(at), ids.take(pa.array(at)), np.sqrt(squares[at])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    keys = ["source", "part"]
+    both = blocks.groupBy(*keys).cogroup(found.groupBy(*keys))
+    return both.applyInArrow(weigh, "source string, view string, pmcid string, norm double").filter("pmcid IS NOT NULL")
+
+
+def _capped(vocabulary: DataFrame, views: Sequence[View]) -> DataFrame | None:
+    """The vocabulary without terms past the cap of their domain and view; None where no cap is reached."""
     cap = _limits(views, "view", "max_features", 2**62)
     crowded = (
         vocabulary.groupBy("source", "view")
@@ -302,15 +543,26 @@ def fit_vocabulary(
         .select("source", "view")
     )
     if crowded.limit(1).count() == 0:
-        return vocabulary
+        return None
     over = vocabulary.join(crowded, ["source", "view"], "left_semi")
     ranked = ordered_positions(
         over, ["source", "view"], [F.col("corpus_tf").desc(), F.col("term")], "_place"
     )
     kept = ranked.filter(F.col("_place") <= cap).drop("_place")
-    within = vocabulary.join(crowded, ["source", "view"], "left_anti")
-    within.unionByName(kept).write.parquet(f"{path}/vocabulary")
-    return terms.sparkSession.read.parquet(f"{path}/vocabulary")
+    return vocabulary.join(crowded, ["source", "view"], "left_anti").unionByName(kept)
+
+
+def _capped_norms(blocks: DataFrame, vocabulary: DataFrame, views: Sequence[View]) -> DataFrame:
+    """``source, view, pmcid, norm`` where a cap took terms out: the terms of the blocks meet what is left."""
+    weight = _weight(F.col("view"), F.col("tf"), F.col("idf"), views)
+    terms = blocks.filter("view IS NOT NULL").drop("ids")
+    lengths = (
+        _postings(terms.join(vocabulary.select(*_TERM, "idf"), _TERM[::-1]), "view", "idf")
+        .groupBy("block", "doc", "view")
+        .agg(F.sqrt(steady_sum(weight * weight)).alias("norm"))
+    )
+    ids = blocks.filter("view IS NULL").select("block", "source", F.posexplode("ids").alias("doc", "pmcid"))
+    return lengths.join(ids.filter("pmcid IS NOT NULL"), ["block", "doc"]).select("source", "view", "pmcid", "norm")
 
 
 def _postings(rows: DataFrame, *keep: str) -> DataFrame:
@@ -340,52 +592,86 @@ def build_index(
     spark = documents.sparkSession
     path = path or scratch_path(spark, "index")
     named = _named(documents)
-    searched = strip_accents(eligible_text(F.col("title"), F.col("case_summary")))
-    text = spread(named).select("source", "pmcid", searched.alias("text"))
-    fitted = text
+    # Apart, as the folded text is read several times by the next step.
+    eligible = spread(named).select("source", "pmcid", eligible_text(F.col("title"), F.col("case_summary")).alias("text"))
+    fitted = eligible.withColumn("text", strip_accents(F.col("text")))
+    sizes = named.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     if extra is not None:
         other = extra.select(
             F.col("source").cast("string").alias("source"),
             F.lit(None).cast("string").alias("pmcid"),
             strip_accents(normalize_text(F.col("text"))).alias("text"),
         )
-        fitted = text.unionByName(other)
-    sizes = named.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
-    if extra is not None:
+        fitted = fitted.unionByName(other)
         more = extra.groupBy(F.col("source").cast("string").alias("source")).count()
         sizes = sizes.join(more, "source", "left").select(
             "source", (F.col("n_docs") + F.coalesce("count", F.lit(0))).alias("n_docs")
         )
-    term_blocks(fitted, views).write.parquet(f"{path}/terms")
-    stored = spark.read.parquet(f"{path}/terms")
-    terms = stored.filter("view IS NOT NULL").drop("ids")
-    vocabulary = fit_vocabulary(terms, sizes, views, path)
-    weight = _weight(F.col("view"), F.col("tf"), F.col("idf"), views)
-    # Sorting by the term first compares numbers; domains and views have few values.
-    lengths = (
-        _postings(terms.join(vocabulary.select(*_TERM, "idf"), _TERM[::-1]), "view", "idf")
-        .groupBy("block", "doc", "view")
-        .agg(F.sqrt(steady_sum(weight * weight)).alias("norm"))
+    ids = named.select("source", "pmcid")
+    if extra is not None:
+        ids = ids.unionByName(other.select("source", "pmcid"))
+    store_texts(fitted, ids, f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts")
+    # A block of a domain holds about BLOCK_TEXT bytes and at most some BLOCK_ROWS documents.
+    held = texts.groupBy("source").agg(F.sum("bytes").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+    parts = F.ceil(F.greatest(F.col("_bytes") / BLOCK_TEXT, F.col("_rows") / BLOCK_ROWS, F.lit(1.0)))
+    parted = sizes.join(held, "source").select(
+        "source", "n_docs", parts.cast("int").alias("parts"), F.ceil(parts * SHARES).cast("int").alias("shares")
     )
-    ids = stored.filter("view IS NULL").select("block", "source", F.posexplode("ids").alias("doc", "pmcid"))
-    norms = lengths.join(ids.filter("pmcid IS NOT NULL"), ["block", "doc"])
-    norms.select("block", "doc", "source", "view", "pmcid", "norm").write.parquet(f"{path}/norms")
+    part = F.pmod(F.xxhash64("source", "pmcid"), F.col("parts")).cast("int")
+    keys = ["source", "part"]
+    sized = texts.drop("bytes").join(written(parted, "sizes"), "source").withColumn("part", part).drop("parts")
+    blocks = by_document(sized, keys)
+    merge_shares(count_shares(blocks, views), views).write.option("compression", "zstd").parquet(f"{path}/counted")
+    merged = spark.read.parquet(f"{path}/counted")
+    capped = _capped(_vocabulary(merged), views)
+    if capped is None:
+        norms = block_norms(blocks, merged.filter("term IS NULL"), views)
+    else:
+        capped.write.parquet(f"{path}/vocabulary")
+        flat = texts.select("source", "pmcid", F.explode("texts").alias("text"))
+        norms = _capped_norms(written(term_blocks(flat, views), "terms"), spark.read.parquet(f"{path}/vocabulary"), views)
+    norms.write.parquet(f"{path}/norms")
     named.select("pmcid", "source").write.parquet(f"{path}/documents")
     return read_index(spark, path, views)
 
 
+def store_texts(text: DataFrame, ids: DataFrame, path: str) -> None:
+    """``source, pmcid, texts, bytes`` of every document, written to ``path``.
+
+    Texts stay where they are; only where ids (source, pmcid) occur twice are they brought together.
+    """
+    repeated = ids.groupBy("source", "pmcid").count().filter("count > 1")
+    whole = F.coalesce("text", F.lit(""))
+    if repeated.limit(1).count():
+        documents = text.groupBy("source", "pmcid").agg(F.sort_array(F.collect_list(whole)).alias("texts"))
+    else:
+        documents = text.select("source", "pmcid", F.array(whole).alias("texts"))
+    size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
+    documents.withColumn("bytes", size).write.option("compression", "zstd").parquet(path)
+
+
+def _vocabulary(merged: DataFrame) -> DataFrame:
+    """The rows with a term and their smoothed idf."""
+    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+    return merged.filter("term IS NOT NULL").select(*_TERM, "df", "corpus_tf", "n_docs", idf.alias("idf"))
+
+
 def read_index(spark: SparkSession, path: str, views: Sequence[View] = RELEASE_VIEWS) -> Index:
     """The index whose tables lie below ``path``; a capped vocabulary replaces the counted one."""
     read = spark.read.parquet
-    chosen = "vocabulary" if path_exists(spark, f"{path}/vocabulary") else "counted"
-    terms = read(f"{path}/terms").filter("view IS NOT NULL").drop("ids")
-    return Index(read(f"{path}/documents"), terms, read(f"{path}/{chosen}"), read(f"{path}/norms"), views)
+    capped = path_exists(spark, f"{path}/vocabulary")
+    vocabulary = read(f"{path}/vocabulary") if capped else _vocabulary(read(f"{path}/counted"))
+    texts = read(f"{path}/texts")
+    flat = texts.select("source", "pmcid", F.explode("texts").alias("text"))
+    terms = term_blocks(flat, views).filter("view IS NOT NULL").drop("ids")
+    return Index(read(f"{path}/documents"), texts, terms, vocabulary, read(f"{path}/norms"), views)
 
 
 def _receipt(index: Index) -> DataFrame:
     """``table, n_rows, digest`` of what a request reads; sums of row hashes, as tables are large."""
     parts = []
-    for name in ("documents", "terms", "vocabulary", "norms"):
+    for name in ("documents", "texts", "vocabulary", "norms"):
         rows = getattr(index, name)
         hashed = rows.select(F.xxhash64(*sorted(rows.columns)).alias("_h"))
         sums = [F.bit_xor("_h"), F.sum(F.shiftright("_h", 32)), F.sum(F.col("_h").bitwiseAND(0xFFFFFFFF))]
@@ -454,7 +740,8 @@ def query_weights(index: Index, facets: DataFrame) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         strip_accents(normalize_text(F.col("text"))).alias("text"),
     )
-    counts = term_counts(asked, index.views, ["source"])
+    # Stored, so that the planner knows they are few and leaves the vocabulary where it is.
+    counts = written(term_counts(asked, index.views, ["source"]), "asked")
     raw = _weight(F.col("view"), F.col("tf"), F.col("idf"), index.views)
     known = counts.join(index.vocabulary.select(*_TERM, "idf"), _TERM).withColumn("_w", raw)
     lengths = known.groupBy("source", "view").agg(
@@ -465,19 +752,74 @@ def query_weights(index: Index, facets: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents in pieces of bounded text."""
+    for batch in batches:
+        size = np.cumsum(batch.column("bytes").to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + BLOCK_TEXT, "right")))
+            yield batch.slice(at, min(to - at, BLOCK_ROWS))
+            at += min(to - at, BLOCK_ROWS)
+
+
+def term_dots(texts: DataFrame, asked: Sequence[tuple], views: Sequence[View]) -> DataFrame:
+    """``source, view, pmcid, dot`` of the documents that share a term with the request.
+
+    ``asked`` has rows (source, view, term, idf, weight). Texts are counted where they lie; of
+    their terms only those of the request are kept, and only the dots leave a task.
+    """
+    pattern = word_pattern(texts.sparkSession)
+    sources = {name: i for i, name in enumerate(sorted({r[0] for r in asked}))}
+    tables = []
+    for view in views:
+        mine = [r for r in asked if r[1] == view.name]
+        terms = sorted({r[2] for r in mine})
+        place = {t: i for i, t in enumerate(terms)}
+        key = np.array([sources[r[0]] * len(terms) + place[r[2]] for r in mine], np.int64)
+        order = np.argsort(key)
+        tables.append((view, terms, key[order], *(np.array([r[c] for r in mine], float)[order] for c in (3, 4))))
+    schema = pa.schema([("source", pa.string()), ("view", pa.string()), ("pmcid", pa.string()), ("dot", pa.float64())])
+
+    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = [(view, pa.array(terms, pa.string()), *rest) for view, terms, *rest in tables if terms]
+        for rows in _pieces(batches):
+            lists, source = rows.column("texts"), rows.column("source")
+            domain = np.array([sources.get(s, -1) for s in source.to_pylist()], np.int64)
+            of_row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            n = len(lists)
+            sums = {view.name: (np.zeros(n), np.zeros(n, bool)) for view, *_ in wanted}
+            splits = [(view.name, view.split, terms) for view, terms, *_ in wanted]
+            by_name = {view.name: (view, *rest) for view, *rest in wanted}
+            for name, term, begins, docs, tf, spell in _block_terms(lists.flatten(), of_row, splits, pattern):
+                (total, hit), (view, terms, keys, idf, weight) = sums[name], by_name[name]
+                place = pc.fill_null(pc.index_in(spell(pa.array(term)), terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                place = np.repeat(place, np.diff(np.append(begins, len(docs))))
+                some = np.flatnonzero((place >= 0) & (domain[docs] >= 0))
+                key = domain[docs[some]] * len(terms) + place[some]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                same = keys[at] == key
+                some, at = some[same], at[same]
+                total += _steady_sums(_damped(tf[some], view) * idf[at] * weight[at], docs[some], n)
+                hit[docs[some]] = True
+            for name, (total, hit) in sums.items():
+                held = pa.array(np.flatnonzero(hit))
+                columns = [source.take(held), pa.array([name] * len(held), pa.string()), rows.column("pmcid").take(held), pa.array(total[hit])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    searched = texts.filter("source IS NOT NULL AND pmcid IS NOT NULL")
+    return searched.mapInArrow(dots, "source string, view string, pmcid string, dot double")
+
+
 def cosine_scores(index: Index, facets: DataFrame) -> DataFrame:
     """``source, view, pmcid, score`` of every document; 0 without a common term.
 
-    The request's terms are few whatever the corpus size, so the planner broadcasts them and
-    only matching rows of terms are laid out by document and meet the norms.
+    The request's terms are few whatever the corpus size; they travel to the texts, and a row
+    with the dot of each document and view meets the norms.
     """
-    weight = _weight(F.col("view"), F.col("tf"), F.col("idf"), index.views)
-    dots = (
-        _postings(index.terms.join(query_weights(index, facets), _TERM), "view", "idf", "weight")
-        .groupBy("block", "doc", "view")
-        .agg(steady_sum(weight * F.col("weight")).alias("dot"))
-    )
-    hits = dots.join(index.norms, ["block", "doc", "view"]).select(
+    asked = [tuple(r) for r in query_weights(index, facets).select(*_TERM, "idf", "weight").collect()]
+    hits = term_dots(index.texts, asked, index.views).join(index.norms, ["source", "view", "pmcid"]).select(
         "source", "view", "pmcid", (F.col("dot") / F.col("norm")).alias("score")
     )
     names = F.array(*[F.lit(v.name) for v in index.views])
